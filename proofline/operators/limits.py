@@ -428,7 +428,7 @@ def reference_integrity(authors: DataFrame, affiliations: DataFrame, contacts: D
     ``contacts(doc_id, name)``.
     """
     used = authors.select("doc_id", "name", F.explode("keys").alias("key"))
-    shape = lambda df, kind, item: df.select("doc_id", F.lit(kind).alias("problem"), item.alias("item"))
+    shape = lambda df, kind, item: df.select("doc_id", F.lit(kind).alias("problem"), item.cast("string").alias("item"))
     undefined = used.join(affiliations, ["doc_id", "key"], "left_anti")
     unused = affiliations.distinct().join(used, ["doc_id", "key"], "left_anti")
     twice = affiliations.groupBy("doc_id", "key").count().where("count > 1")

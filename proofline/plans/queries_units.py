@@ -43,12 +43,12 @@ SELECT doc_id, para_idx, trim(s) AS sentence FROM (
   SELECT doc_id, para_idx, unnest(string_split(regexp_replace(regexp_replace(text,
       {quoted("(^|[ ])([(]?(?:" + _ABBR + "|[A-Za-z]))[.]([ ]|$)")}, '\\1\\2' || chr(2) || '\\3', 'gi'),
       '([.!?]+["'')]*)([ ]+[\\p{{Lu}}0-9(]|[ ]*$)', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s
-  FROM ({{lines}})) WHERE trim(s) <> ''"""
+  FROM (@lines)) WHERE trim(s) <> ''"""
 
 
 @query("b4_sentence_spans", f"""
 SELECT doc_id, para_idx, count(*) AS sentences, sum(length(replace(sentence, chr(2), '.'))) AS chars
-FROM ({SENTENCES_SQL.format(lines=LINES_SQL)}) GROUP BY ALL""")
+FROM ({SENTENCES_SQL.replace('@lines', LINES_SQL)}) GROUP BY ALL""")
 def b4(spark, sf):
     rows = U.paragraphs(table(spark, sf, "documents")).select(
         "doc_id", "para_idx", T.sentence_spans("text").alias("s")).where(F.size("s") > 0)

@@ -35,6 +35,11 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``; a plain column inside a lambda is evaluated per element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def word_count(text) -> Column:
     """Runs of characters other than ASCII white space; an embedded object counts as space."""
     return F.regexp_count(F.translate(_col(text), OBJECT_MARK, " "), F.lit(r"\S+"))

@@ -84,14 +84,15 @@ def line_hits(text: str = "text", lexicon: Sequence[LexiconRule] = LEXICON) -> C
 def outside_quotes(hits: Column, text: str = "text") -> Column:
     """Drop hits that lie inside a quotation; curly-quote hits are about the marks themselves."""
     quotes = T.spans(F.col(text), QUOTED)
-    return F.filter(hits, lambda h: (h["rule"] == "prose.curly-quote") | ~F.exists(
-        quotes, lambda q: (q["start"] <= h["start"]) & (h["end"] <= q["end"])))
+    return T.let(quotes, lambda qs: F.filter(hits, lambda h: (h["rule"] == "prose.curly-quote") | ~F.exists(
+        qs, lambda q: (q["start"] <= h["start"]) & (h["end"] <= q["end"]))))
 
 
 def gate_weak(hits: Column) -> Column:
     """A weak hit stays only when enough other rules share its paragraph."""
-    rules = F.array_distinct(F.transform(hits, lambda h: h["rule"]))
-    return F.filter(hits, lambda h: ~h["weak"] | (F.size(rules) - 1 >= WEAK_COMPANY))
+    kinds = lambda hs: F.size(F.array_distinct(F.transform(hs, lambda h: h["rule"])))
+    return T.let(hits, lambda hs: T.let(kinds(hs), lambda n: F.filter(
+        hs, lambda h: ~h["weak"] | (n - 1 >= WEAK_COMPANY))))
 
 
 def prose_hits(docs: DataFrame, lexicon: Sequence[LexiconRule] = LEXICON, gate: bool = True,

@@ -210,12 +210,15 @@ def typography(paras: DataFrame, profile: dict) -> DataFrame:
 
 def placeholder_spans(text) -> Column:
     """Citation placeholders of three kinds; an earlier kind wins where two overlap."""
+    def add(found, pattern):
+        return T.let(found, lambda taken: F.concat(taken, F.filter(
+            T.spans(text, pattern), lambda m: ~F.exists(taken, lambda s: (
+                (s["start"] <= m["start"]) & (m["start"] < s["end"])
+                | (m["start"] <= s["start"]) & (s["start"] < m["end"]))))))
+
     taken = T.spans(text, PLACEHOLDERS[0])
     for pattern in PLACEHOLDERS[1:]:
-        fresh = F.filter(T.spans(text, pattern), lambda m: ~F.exists(taken, lambda s: (
-            (s["start"] <= m["start"]) & (m["start"] < s["end"])
-            | (m["start"] <= s["start"]) & (s["start"] < m["end"]))))
-        taken = F.concat(taken, fresh)
+        taken = add(taken, pattern)
     return taken
 
 

@@ -141,9 +141,9 @@ def b10(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.heading_level(style).alias("level"))
 
 
-def revision_runs(spark, sf):
+def revision_runs(spark, sf, text: str = "text"):
     """Three runs per document line: kept, inserted or deleted, moved; some paragraph marks revised."""
-    lines = U.paragraphs(table(spark, sf, "documents"))
+    lines = U.paragraphs(table(spark, sf, "documents")).withColumn("text", F.expr(text))
     kind = F.expr("CASE (doc_id + para_idx) % 5 WHEN 0 THEN 'ins' WHEN 1 THEN 'del' WHEN 2 THEN 'moveFrom' "
                   "WHEN 3 THEN 'moveTo' END")
     mark = F.expr("CASE (doc_id + para_idx) % 7 WHEN 0 THEN 'del' WHEN 1 THEN 'ins' END")
@@ -156,19 +156,19 @@ def revision_runs(spark, sf):
     return lines.select("doc_id", "para_idx", mark.alias("mark_revision"), F.inline(parts))
 
 
-def _positional_sql(gone: str, mark: str) -> str:
+def positional_sql(gone: str, mark: str, lines: str = LINES_SQL) -> str:
     return f"""SELECT doc_id, para_idx,
   substr(text, 1, 40) || CASE WHEN coalesce(kind, '') IN ({gone}) THEN '' ELSE '<' || para_idx || '>' END || substr(text, 41) AS text,
   coalesce(mark = '{mark}', false) AS mark_removed
   FROM (SELECT *, CASE (doc_id + para_idx) % 5 WHEN 0 THEN 'ins' WHEN 1 THEN 'del' WHEN 2 THEN 'moveFrom' WHEN 3 THEN 'moveTo' END AS kind,
-        CASE (doc_id + para_idx) % 7 WHEN 0 THEN 'del' WHEN 1 THEN 'ins' END AS mark FROM ({LINES_SQL}))"""
+        CASE (doc_id + para_idx) % 7 WHEN 0 THEN 'del' WHEN 1 THEN 'ins' END AS mark FROM ({lines}))"""
 
 
-ACCEPT_SQL = _positional_sql("'del', 'moveFrom'", "del")
-REJECT_SQL = _positional_sql("'ins', 'moveTo'", "ins")
+ACCEPT_SQL = positional_sql("'del', 'moveFrom'", "del")
+REJECT_SQL = positional_sql("'ins', 'moveTo'", "ins")
 
 
-def _merged_sql(view: str) -> str:
+def merged_sql(view: str) -> str:
     return f"""SELECT doc_id, CAST(island - 1 AS INTEGER) AS view_idx, max(para_idx) AS para_idx,
   sha256(string_agg(text, '' ORDER BY para_idx)) AS digest
 FROM (SELECT *, sum(CASE WHEN coalesce(before, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY para_idx) AS island
@@ -180,12 +180,12 @@ def _digest(df):
     return df.withColumn("digest", F.sha2("text", 256)).drop("text")
 
 
-@query("b11_accept_view", _merged_sql(ACCEPT_SQL))
+@query("b11_accept_view", merged_sql(ACCEPT_SQL))
 def b11(spark, sf):
     return _digest(U.revision_view(revision_runs(spark, sf), "accept"))
 
 
-@query("b11_reject_view", _merged_sql(REJECT_SQL))
+@query("b11_reject_view", merged_sql(REJECT_SQL))
 def b11_reject(spark, sf):
     return _digest(U.revision_view(revision_runs(spark, sf), "reject"))
 

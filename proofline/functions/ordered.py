@@ -38,20 +38,28 @@ def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequenc
     )
 
 
-def running_max_before(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence, value: Column,
-                       out: str) -> DataFrame:
-    """Largest value strictly before each row; NULL for the first row of a key."""
+def running_extreme(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: Column, out: str,
+                    largest: bool = True, inclusive: bool = False, backwards: bool = False) -> DataFrame:
+    """Largest (or smallest) value among the rows before each row, or after it when ``backwards``.
+
+    NULL where there is none; ``inclusive`` counts the row itself and its ties in the order.
+    """
+    pick = F.max if largest else F.min
+    best = F.greatest if largest else F.least
     groups = [*keys, chunk]
-    local = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    direction = (lambda c: F.desc(c)) if backwards else (lambda c: F.asc(c))
+    if inclusive:
+        local = Window.partitionBy(*groups).orderBy(direction(order)).rangeBetween(Window.unboundedPreceding, 0)
+    else:
+        local = Window.partitionBy(*groups).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, -1)
     work = df.withColumn("_value", value)
-    tops = work.groupBy(*groups).agg(F.max("_value").alias("_top"))
-    carry = tops.withColumn(
-        "_carry", F.max("_top").over(_over(keys, [chunk]).rowsBetween(Window.unboundedPreceding, -1))
-    ).drop("_top")
-    return (
-        work.withColumn("_local", F.max("_value").over(local)).join(carry, groups)
-        .withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", "_value")
-    )
+    tops = work.groupBy(*groups).agg(pick("_value").alias("_top"))
+    carry = tops.withColumn("_carry", pick("_top").over(
+        _over(keys, [direction(chunk)]).rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    both = work.withColumn("_local", pick("_value").over(local)).join(carry, groups)
+    chosen = F.when(F.col("_local").isNull(), F.col("_carry")).when(F.col("_carry").isNull(), F.col("_local")).otherwise(
+        best("_local", "_carry"))
+    return both.withColumn(out, chosen).drop("_local", "_carry", "_value")
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], value: Column,

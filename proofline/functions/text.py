@@ -35,6 +35,13 @@ def _col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def without_marks(text) -> Column:
+    """The text without the control characters used to mark matches (a byte search when there are none)."""
+    body = _col(text)
+    dirty = body.contains(MATCH_MARK) | body.contains(GROUP_MARK)
+    return F.when(dirty, F.translate(body, MATCH_MARK + GROUP_MARK, "  ")).otherwise(body)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``; a plain column inside a lambda is evaluated per element."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -61,7 +68,7 @@ def spans(text, pattern: str, groups: int = 0, keep=None) -> Column:
     groups 1..n must together make up the whole match. ``keep`` (match -> boolean) drops matches before
     they are collected, so a frequent pattern with a rare condition stays linear in the text.
     """
-    body = F.translate(_col(text), MATCH_MARK + GROUP_MARK, "  ")
+    body = without_marks(text)
     inner = GROUP_MARK.join(f"${i}" for i in range(1, groups + 1)) if groups else "$0"
     pieces = F.split(F.regexp_replace(body, F.lit(pattern), F.lit(MATCH_MARK + inner + MATCH_MARK)), MATCH_MARK, -1)
     empty = F.from_json(F.lit("[]"), SPAN_SCHEMA)
@@ -79,19 +86,25 @@ def spans(text, pattern: str, groups: int = 0, keep=None) -> Column:
             F.when(wanted, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
         )
 
+    # one evaluation of the pattern: a text without a match is a single piece and folds to nothing
     start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), empty.alias("out"))
-    folded = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(F.size(pieces) > 1, folded).otherwise(empty)
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def mask(text, pattern: str = ADDRESS_PATTERN) -> Column:
     """Replace every match by filler of the same length, so offsets still hold."""
-    body = F.translate(_col(text), MATCH_MARK, " ")
+    body = without_marks(text)
     pieces = F.split(F.regexp_replace(body, F.lit(pattern), F.lit(f"{MATCH_MARK}$0{MATCH_MARK}")), MATCH_MARK, -1)
     filled = F.array_join(
         F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(MASK_CHAR), F.length(p))).otherwise(p)), ""
     )
-    return F.when(F.size(pieces) > 1, filled).otherwise(body)
+    if pattern != ADDRESS_PATTERN:
+        return filled
+    # plain substring tests first: most text holds no address at all
+    maybe = F.lit(False)
+    for sign in ("@", "http", "www.", "doi:", "10."):
+        maybe = maybe | body.contains(sign)
+    return F.when(maybe, filled).otherwise(body)
 
 
 def mask_fields(text, field_spans) -> Column:
@@ -162,9 +175,10 @@ def _sentence_boundary() -> str:
     words = "|".join(re.escape(w) for w in sorted(SENTENCE_ABBREVIATIONS, key=len, reverse=True))
     closers = "[\"'”’)\\]]*"
     openers = "[(\\[{\"'“‘]{0,8}"
-    abbreviation = f"(?<=(?:^|\\s){openers}(?i:{words}|[a-z])\\.{{0,3}})"
+    # the stop is matched first, so the look behind it runs at stops only
+    stop = f"\\.(?<!(?:^|\\s){openers}(?i:{words}|[a-z])\\.{{1,4}})"
     follows = "(?=\\s|$)(?=\\s*(?:$|[\\p{Lu}\\p{Lt}\\p{Nd}(\\[\"'“‘]))"
-    return f"(?U)(?:(?!{abbreviation})\\.|[!?][.!?]*|\\.[.!?]+){closers}{follows}"
+    return f"(?U)(?:[!?][.!?]*|\\.[.!?]+|{stop}){closers}{follows}"
 
 
 SENTENCE_BOUNDARY = _sentence_boundary()
@@ -176,7 +190,7 @@ def sentences(text) -> Column:
     Whether a stop ends a sentence depends only on the run of characters before it and the next
     visible character, so one pattern decides and no ordered state is needed.
     """
-    body = F.translate(_col(text), MATCH_MARK, " ")
+    body = without_marks(text)
     marked = F.regexp_replace(body, F.lit(SENTENCE_BOUNDARY), F.lit(f"$0{MATCH_MARK}"))
     parts = F.transform(F.split(marked, MATCH_MARK, -1), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
@@ -184,7 +198,7 @@ def sentences(text) -> Column:
 
 def sentence_spans(text) -> Column:
     """Sentences with character offsets."""
-    body = F.translate(_col(text), MATCH_MARK, " ")
+    body = without_marks(text)
     pieces = F.split(F.regexp_replace(body, F.lit(SENTENCE_BOUNDARY), F.lit(f"$0{MATCH_MARK}")), MATCH_MARK, -1)
     schema = "array<struct<start:int,end:int,text:string>>"
 

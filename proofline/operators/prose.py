@@ -54,7 +54,9 @@ def phrase_pattern(phrases: Sequence[str], opens_sentence: bool = False, other_s
         re.escape(p).replace("\\ ", " ").replace("'", "['’]") + (EDGE_RIGHT if p[-1].isalnum() else "")
         for p in sorted(phrases, key=len, reverse=True))
     left = r"(?<=^|[.!?][\"'”’)]{0,2}\s{1,3})" if opens_sentence else EDGE_LEFT
-    words = f"{left}(?:{body})"
+    # a first-letter class ahead of the alternation rules out most word starts at once
+    firsts = "".join(sorted({re.escape(p[0]) for p in phrases} | {re.escape(p[0].upper()) for p in phrases}))
+    words = f"{left}(?=[{firsts}])(?:{body})"
     others = "|".join(re.escape(p) for p in sorted(other_scripts, key=len, reverse=True))
     return "(?i)" + (f"{words}|{others}" if others else words)
 

@@ -24,8 +24,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A table; text that comes as fewer scan partitions than the session has cores is spread by key.
+
+    Text rules are heavy per row, so one small file must not run as one task. On a real corpus the
+    scan already has far more partitions than cores and nothing is shuffled.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, TEXT_KEYS[name])
+    return df
 
 
 def quoted(text: str) -> str:

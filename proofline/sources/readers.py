@@ -120,9 +120,10 @@ def parse_articles(rows: DataFrame, xml: str = "xml") -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article sets: the scan splits at the closing tag, so one large file is read by many tasks."""
-    raw = spark.read.option("lineSep", "Article>").text(path)
-    body = F.regexp_extract("value", r"(?s)(<Pubmed(?:Book)?Article(?:\s[^>]*)?>.*</Pubmed(?:Book)?)$", 1)
-    return parse_articles(raw.select(F.concat(body, F.lit("Article>")).alias("xml")).where(F.length("xml") > 10))
+    raw = spark.read.option("lineSep", "</Pubmed").text(path)
+    body = F.regexp_extract("value", r"(?s)(<Pubmed(?:Book)?Article(?:\s[^>]*)?>.*)$", 1)
+    closing = F.when(body.startswith("<PubmedBook"), "</PubmedBookArticle>").otherwise("</PubmedArticle>")
+    return parse_articles(raw.select(F.concat(body, closing).alias("xml"), (body != "").alias("_ok")).where("_ok").drop("_ok"))
 
 
 # -- work JSON ---------------------------------------------------------------------------------

@@ -60,13 +60,15 @@ def clean(text) -> Column:
     return F.replace(out, F.lit("( "), F.lit("("))
 
 
-def spans(text, pattern: str, groups: int = 0, keep=None) -> Column:
+def spans(text, pattern: str, groups: int = 0, keep=None, hints: tuple[str, ...] = ()) -> Column:
     """All matches of a pattern, left to right, with character offsets.
 
     One replace pass wraps every match in a control character; splitting on it gives gaps and
     matches alternately, and the running length gives offsets. With ``groups`` > 0 the pattern's
     groups 1..n must together make up the whole match. ``keep`` (match -> boolean) drops matches before
     they are collected, so a frequent pattern with a rare condition stays linear in the text.
+    ``hints`` are substrings of which every match needs at least one: text without any skips the
+    pattern after a byte search.
     """
     body = without_marks(text)
     inner = GROUP_MARK.join(f"${i}" for i in range(1, groups + 1)) if groups else "$0"
@@ -88,7 +90,14 @@ def spans(text, pattern: str, groups: int = 0, keep=None) -> Column:
 
     # one evaluation of the pattern: a text without a match is a single piece and folds to nothing
     start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), empty.alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    if not hints:
+        return found
+    body = F.lower(_col(text)) if any(sign.lower() != sign.upper() for sign in hints) else _col(text)
+    maybe = F.lit(False)
+    for sign in hints:
+        maybe = maybe | body.contains(sign.lower())
+    return F.when(maybe, found).otherwise(empty)
 
 
 def mask(text, pattern: str = ADDRESS_PATTERN) -> Column:
@@ -157,13 +166,15 @@ def _folding_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold(text) -> Column:
     """Lower case without accents (compatibility decomposition, combining marks dropped)."""
     source, target, several = _folding_tables()
-    out = F.translate(_col(text), source, target)
+    body = _col(text)
+    out = F.translate(body, source, target)
     rare = "[" + "".join(re.escape(c) for c, _ in several) + "]"
     expanded = out
     for char, folded in several:
         expanded = F.replace(expanded, F.lit(char), F.lit(folded))
     out = F.when(out.rlike(rare), expanded).otherwise(out)
-    return F.lower(F.regexp_replace(out, r"\p{Mn}+", ""))
+    plain = F.regexp_replace(out, r"\p{Mn}+", "")
+    return F.lower(F.when(body.rlike(r"[^\x00-\x7f]"), plain).otherwise(body))
 
 
 def fold_tokens(text) -> Column:

@@ -52,7 +52,7 @@ def figure_calls(paras: DataFrame) -> DataFrame:
     """First call-out of each figure number, in text order."""
     scope = paras.where(F.col("region").isin("abstract", "body") & ~_is_caption() & ~F.col("is_bib")
                         & ~F.col("title_page_only") & F.col("text").rlike("Fig"))
-    calls = F.filter(T.spans("text", CALL_OUT, 4), lambda s: F.get(s["groups"], 0) == "")
+    calls = F.filter(T.spans("text", CALL_OUT, 4, hints=("Fig",)), lambda s: F.get(s["groups"], 0) == "")
     rows = scope.select("doc_id", "para_idx", F.explode(calls).alias("s"))
     rows = rows.select("doc_id", "para_idx", "s.start", "s.end",
                        F.posexplode(callout_numbers(F.get("s.groups", 3))).alias("pos", "figure"))

@@ -61,8 +61,8 @@ def phrase_pattern(phrases: Sequence[str], opens_sentence: bool = False, other_s
     return "(?i)" + (f"{words}|{others}" if others else words)
 
 
-def _hits(text: Column, rule: str, pattern: str, weak: bool = False) -> Column:
-    return F.transform(T.spans(text, pattern), lambda s: F.struct(
+def _hits(text: Column, rule: str, pattern: str, weak: bool = False, hints: tuple[str, ...] = ()) -> Column:
+    return F.transform(T.spans(text, pattern, hints=hints), lambda s: F.struct(
         F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("phrase"),
         F.lit(weak).alias("weak")))
 
@@ -71,12 +71,12 @@ def line_hits(text: str = "text", lexicon: Sequence[LexiconRule] = LEXICON) -> C
     """Hits of every rule that can be decided inside one line, unfiltered."""
     body = F.col(text)
     found = [
-        _hits(body, "prose.contrast", CONTRAST + "|" + CONTRAST_OTHER),
-        _hits(body, "prose.triad", TRIAD), _hits(body, "prose.dash", DASH, True),
-        _hits(body, "prose.hyphen-pair", HYPHEN_AFTER, True), _hits(body, "prose.passive", PASSIVE, True),
-        _hits(body, "prose.rider", RIDER), _hits(body, "prose.bold", BOLD),
-        _hits(body, "prose.inline-header", INLINE_HEADER), _hits(body, "prose.curly-quote", CURLY, True),
-        _hits(body, "prose.colon", COLON), _hits(body, "prose.false-range", FALSE_RANGE),
+        _hits(body, "prose.contrast", CONTRAST + "|" + CONTRAST_OTHER, hints=("not ", "n't", "n’t", "no guessing", "不仅")),
+        _hits(body, "prose.triad", TRIAD, hints=(" and ",)), _hits(body, "prose.dash", DASH, True, ("—", "–", " -- ")),
+        _hits(body, "prose.hyphen-pair", HYPHEN_AFTER, True, ("-",)), _hits(body, "prose.passive", PASSIVE, True),
+        _hits(body, "prose.rider", RIDER, hints=(", ",)), _hits(body, "prose.bold", BOLD, hints=("**",)),
+        _hits(body, "prose.inline-header", INLINE_HEADER, hints=("**",)), _hits(body, "prose.curly-quote", CURLY, True, ("“", "”")),
+        _hits(body, "prose.colon", COLON, hints=(": ",)), _hits(body, "prose.false-range", FALSE_RANGE, hints=("from ",)),
     ]
     found += [_hits(body, r.rule, phrase_pattern(r.phrases, r.opens_sentence, r.other_scripts), r.weak)
               for r in lexicon]
@@ -85,7 +85,7 @@ def line_hits(text: str = "text", lexicon: Sequence[LexiconRule] = LEXICON) -> C
 
 def outside_quotes(hits: Column, text: str = "text") -> Column:
     """Drop hits that lie inside a quotation; curly-quote hits are about the marks themselves."""
-    quotes = T.spans(F.col(text), QUOTED)
+    quotes = T.spans(F.col(text), QUOTED, hints=("\"", "“"))
     return T.let(quotes, lambda qs: F.filter(hits, lambda h: (h["rule"] == "prose.curly-quote") | ~F.exists(
         qs, lambda q: (q["start"] <= h["start"]) & (h["end"] <= q["end"]))))
 

@@ -19,6 +19,8 @@ P_VALUE = rf"(?<![A-Za-z0-9_Ͱ-Ͽ])([Pp])({SP}*)([=<>≤≥⩽⩾])({SP}*)(?=[
 Q_VALUE = rf"(?<![A-Za-z0-9_Ͱ-Ͽ])(q)({SP}*)([=<>≤≥⩽⩾])({SP}*)(?=\.?\d)"
 SAMPLE_SIZE = rf"(?<![A-Za-z0-9_Ͱ-Ͽ])(n)({SP}*)(=)({SP}*)(?=\d)"
 PLUS_MINUS = rf"(?<=[\d%)])({SP}*)(±)({SP}*)(?=[\d(−\-.])"
+COMPARISONS = ("=", "<", ">", "≤", "≥", "⩽", "⩾")
+HYPHENS = ("-", "‐")
 STYLE_EXAMPLE = rf"({SP}*)[=<>≤≥±]({SP}*)"
 MINUS = r"(?U)(?:^|(?<=[\s(\[=<>≤≥±~≈,;:/\u0000]))[-‐](?=\.?\d)"
 RANGE = (rf"(?U)(?<![\w.,\-/‐−–])(\d+(?:\.\d+)?)({SP}?[-‐]{SP}?)(\d+(?:\.\d+)?)"
@@ -86,8 +88,8 @@ def _style_spacing(example: str | None) -> str | None:
 
 def statistics_spans(paras: DataFrame) -> DataFrame:
     """Every P value, q value, sample size and mean-with-spread in the prose, one row each."""
-    def shaped(family, pattern, groups, letter, left, op, right):
-        return F.transform(T.spans("masked", pattern, groups), lambda s: F.struct(
+    def shaped(family, pattern, groups, letter, left, op, right, hints):
+        return F.transform(T.spans("masked", pattern, groups, hints=hints), lambda s: F.struct(
             F.lit(family).alias("family"), s["start"].alias("start"), s["end"].alias("end"),
             (F.get(s["groups"], letter) if letter is not None else F.lit("")).alias("letter"),
             F.get(s["groups"], op).alias("op"),
@@ -96,8 +98,8 @@ def statistics_spans(paras: DataFrame) -> DataFrame:
         ))
 
     found = F.concat(
-        shaped("p", P_VALUE, 4, 0, 1, 2, 3), shaped("q", Q_VALUE, 4, 0, 1, 2, 3),
-        shaped("n", SAMPLE_SIZE, 4, 0, 1, 2, 3), shaped("pm", PLUS_MINUS, 3, None, 0, 1, 2),
+        shaped("p", P_VALUE, 4, 0, 1, 2, 3, COMPARISONS), shaped("q", Q_VALUE, 4, 0, 1, 2, 3, COMPARISONS),
+        shaped("n", SAMPLE_SIZE, 4, 0, 1, 2, 3, ("=",)), shaped("pm", PLUS_MINUS, 3, None, 0, 1, 2, ("±",)),
     )
     rows = prose_scope(paras).select("doc_id", "para_idx", "section", "text", F.explode(found).alias("s"))
     return rows.select("doc_id", "para_idx", "section", "text", "s.*")
@@ -182,21 +184,21 @@ def typography_hits(text: str = "masked") -> Column:
         F.substr(body, s["end"] + 1, F.lit(8)).rlike(r"(?U)^:\s*\d")
         & F.substr(body, s["start"], F.lit(1)).rlike(r"(?U)\d"))
     return F.concat(
-        _found(T.spans(body, MINUS), "typo.minus", "hyphen used as a minus sign", "use the minus sign U+2212",
+        _found(T.spans(body, MINUS, hints=HYPHENS), "typo.minus", "hyphen used as a minus sign", "use the minus sign U+2212",
                after=5, keep=lambda s: ~digit_before(s)),
-        _found(T.spans(body, EPONYM), "typo.eponym-dash", "names joined by a hyphen", lambda s: F.concat(
+        _found(T.spans(body, EPONYM, hints=(*HYPHENS, "‑")), "typo.eponym-dash", "names joined by a hyphen", lambda s: F.concat(
             F.lit("use an en dash: "), F.regexp_replace(s["match"], "[-‐‑]", "–"))),
-        _found(T.spans(body, DEGREE), "typo.degree-sign", "ordinal indicator used for degrees",
+        _found(T.spans(body, DEGREE, hints=("º",)), "typo.degree-sign", "ordinal indicator used for degrees",
                "use the degree sign U+00B0"),
-        _found(T.spans(body, RANGE, 3), "typo.range-dash", "hyphen in a numeric range", lambda s: F.concat(
+        _found(T.spans(body, RANGE, 3, hints=HYPHENS), "typo.range-dash", "hyphen in a numeric range", lambda s: F.concat(
             F.lit("use an en dash: "), F.get(s["groups"], 0), F.lit("–"), F.get(s["groups"], 2))),
-        _found(T.spans(body, DOUBLE_SPACE), "typo.double-space", "several spaces in a row", "use one space"),
-        _found(T.spans(body, SPACE_PUNCTUATION), "typo.space-before-punctuation", "space before punctuation",
+        _found(T.spans(body, DOUBLE_SPACE, hints=("  ",)), "typo.double-space", "several spaces in a row", "use one space"),
+        _found(T.spans(body, SPACE_PUNCTUATION, hints=tuple(f" {c}" for c in ",.;:!?)]")), "typo.space-before-punctuation", "space before punctuation",
                "remove the space", after=1,
                keep=lambda s: ~(next_two(s).rlike(r"(?U)^\.(?:\d|\.$)") | ratio(s))),
         F.when(F.col("region") == "references", F.array().cast("array<struct<rule:string,severity:string,start:int,"
                "end:int,message:string,suggestion:string>>")).otherwise(
-            _found(T.spans(body, FIGURE_ABBREVIATION, 3), "callout.fig-abbreviation", "abbreviated call-out",
+            _found(T.spans(body, FIGURE_ABBREVIATION, 3, hints=("Fig",)), "callout.fig-abbreviation", "abbreviated call-out",
                    lambda s: F.when(F.get(s["groups"], 1) == "", "write 'Figure'").otherwise("write 'Figures'"),
                    after=3)),
     )
@@ -212,11 +214,11 @@ def placeholder_spans(text) -> Column:
     """Citation placeholders of three kinds; an earlier kind wins where two overlap."""
     def add(found, pattern):
         return T.let(found, lambda taken: F.concat(taken, F.filter(
-            T.spans(text, pattern), lambda m: ~F.exists(taken, lambda s: (
+            T.spans(text, pattern, hints=("[", "{")), lambda m: ~F.exists(taken, lambda s: (
                 (s["start"] <= m["start"]) & (m["start"] < s["end"])
                 | (m["start"] <= s["start"]) & (s["start"] < m["end"]))))))
 
-    taken = T.spans(text, PLACEHOLDERS[0])
+    taken = T.spans(text, PLACEHOLDERS[0], hints=("[", "{"))
     for pattern in PLACEHOLDERS[1:]:
         taken = add(taken, pattern)
     return taken
@@ -230,7 +232,7 @@ def citation_marks(paras: DataFrame, profile: dict) -> DataFrame:
     found = F.concat(
         _found(placeholder_spans(F.col("text")), "citation.placeholder", "unconverted citation placeholder",
                "insert the citation"),
-        _found(T.spans("text", ADJACENT_GROUPS), "citation.adjacent-groups", "separate adjacent citation groups",
+        _found(T.spans("text", ADJACENT_GROUPS, hints=(")", "]")), "citation.adjacent-groups", "separate adjacent citation groups",
                lambda s: F.concat(F.lit("cite them as one group ("), groups(s), F.lit(")"))),
     )
     return spread(scope, found)

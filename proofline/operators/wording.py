@@ -291,9 +291,9 @@ def abbreviation_definitions(legends: Column) -> Column:
             offset(s).alias("pos"), s["start"].alias("at"))), lambda d: d["core"].isNotNull())
 
     before = lambda d: F.regexp_replace(F.substr(body, F.lit(1), d["at"]), r"(?U)\s+$", "")
-    paren = F.filter(shaped(T.spans(body, DEFINITION_PAREN, 3), 0, 1), lambda d: (
+    paren = F.filter(shaped(T.spans(body, DEFINITION_PAREN, 3, hints=("(",)), 0, 1), lambda d: (
         before(d).rlike(r"\p{L}$") & F.right(before(d), F.lit(40)).rlike("[A-Za-z]{2,}")))
-    reverse = shaped(T.spans(body, DEFINITION_REVERSE, 2), 1, 0)
+    reverse = shaped(T.spans(body, DEFINITION_REVERSE, 2, hints=("(",)), 1, 0)
     listed = F.when(legends, shaped(T.spans(body, DEFINITION_LIST, 3), 2, 1)).otherwise(
         F.from_json(F.lit("[]"), "array<struct<core:string,form:int,pos:int,at:int>>"))
     return F.concat(paren, reverse, listed)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions.ordered import previous_value, row_numbers, running_extreme, running_total
+from proofline.session import materialise
 
 
 def finite(column: str) -> Column:
@@ -132,6 +133,7 @@ def box_stats(df: DataFrame, group: str, value: str, slices: int = 1000) -> Data
     neither a hot group nor a hot value is ever gathered in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = materialise(counts, "box-values")     # read four times below; one row per distinct value
     span = counts.groupBy(group).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     wide = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * slices)).otherwise(F.lit(0))
     sliced = counts.join(span, group).withColumn("_slice", wide)

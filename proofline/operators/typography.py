@@ -116,13 +116,11 @@ def statistics(paras: DataFrame, profile: dict) -> DataFrame:
     doc = Window.partitionBy("doc_id")
     hits = statistics_spans(paras)
     tally = lambda fam, cond: F.count_if((F.col("family") == fam) & cond).over(doc)
-    for fam in ("p", "q", "n", "pm"):
-        for kind in ("spaced", "unspaced"):
-            hits = hits.withColumn(f"{fam}_{kind}", tally(fam, F.col("kind") == kind))
-    hits = (hits.withColumn("upper", tally("p", F.col("letter") == "P"))
-            .withColumn("lower", tally("p", F.col("letter") == "p"))
-            .withColumn("n_italic", tally("p", F.col("italic")))
-            .withColumn("n_roman", tally("p", ~F.col("italic"))))
+    # all tallies in one projection, so one window operator computes them together
+    counts = {f"{fam}_{kind}": tally(fam, F.col("kind") == kind) for fam in ("p", "q", "n", "pm") for kind in ("spaced", "unspaced")}
+    counts |= {"upper": tally("p", F.col("letter") == "P"), "lower": tally("p", F.col("letter") == "p"),
+               "n_italic": tally("p", F.col("italic")), "n_roman": tally("p", ~F.col("italic"))}
+    hits = hits.withColumns(counts)
 
     def expected(fam, key, fallback):
         fixed = _style_spacing(stats.get(key)) if key else None

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -29,7 +30,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices whose text is about ``limit`` bytes at most (one row may be longer)."""
     at = batch.schema.get_field_index(column)
-    sizes = np.cumsum([0] + [x or 0 for x in pa.compute.binary_length(batch.column(at)).to_pylist()])
+    sizes = np.cumsum([0] + [x or 0 for x in pc.binary_length(batch.column(at)).to_pylist()])
     begin = 0
     while begin < batch.num_rows:
         end = int(np.searchsorted(sizes, sizes[begin] + limit, side="right")) - 1

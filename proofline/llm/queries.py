@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm.byte_bpe import op6_byte_bpe
 from proofline.llm.decontamination import op9_decontamination
+from proofline.llm.personal_data import op5_personal_data
 from proofline.llm.token_counts import op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,

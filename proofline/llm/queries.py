@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from proofline.llm.byte_bpe import op6_byte_bpe
 from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.personal_data import op5_personal_data
+from proofline.llm.simhash import op10_simhash
 from proofline.llm.token_counts import op8_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op10_simhash": op10_simhash,
 }
 
 EQUIVALENT_SQL: dict[str, str] = {}

@@ -11,10 +11,12 @@ from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.personal_data import op5_personal_data
 from proofline.llm.simhash import op10_simhash
 from proofline.llm.token_counts import op8_token_counts
+from proofline.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_token_counts": op8_token_counts,

@@ -11,6 +11,7 @@ from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.personal_data import op5_personal_data
 from proofline.llm.simhash import op10_simhash
 from proofline.llm.substring_dedup import op4_substring_dedup
+from proofline.llm.suffix_dedup import op3_suffix_dedup
 from proofline.llm.token_counts import op8_token_counts
 from proofline.llm.toxicity import op2_toxicity
 
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,

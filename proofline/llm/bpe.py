@@ -6,6 +6,7 @@ import base64
 import heapq
 import json
 import re
+from functools import lru_cache
 
 import regex
 
@@ -34,16 +35,24 @@ def pre_token_pattern(text: str):
     return ANY_TEXT if BEYOND_LATIN.search(text) else LATIN_TEXT
 
 
+NO_RANK = 1 << 30
+
+
 class Encoder:
-    """Ids of pre-tokens by a rank table. Results are remembered; the memory is emptied when it holds ``remember`` pre-tokens."""
+    """Ids of pre-tokens by a rank table in which a token's id is its rank. Results are remembered; the memory is emptied
+    when it holds ``remember`` pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], remember: int = 1 << 18):
         self.ranks, self.remember, self.known = ranks, remember, {}
+        self.bytes_to_ids = [ranks[bytes([b])] for b in range(256)]
+        #: Left id << 20 | right id, to the id of the two joined, for every way to cut a token in two tokens.
+        self.pairs = {left << 20 | right: rank for token, rank in ranks.items() for i in range(1, len(token))
+                      if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
 
     def fresh(self, piece: str) -> tuple[int, ...]:
         raw = piece.encode()
         whole = self.ranks.get(raw)
-        return (whole,) if whole is not None else merge(raw, self.ranks)
+        return (whole,) if whole is not None else self.merge(raw)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.known.get(piece)
@@ -62,51 +71,50 @@ class Encoder:
             out += known.get(p) or piece(p)
         return out
 
-
-def merge(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Join the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
-    if len(raw) > 48:
-        return _merge_long(raw, ranks)
-    parts = [raw[i:i + 1] for i in range(len(raw))]
-    get, none = ranks.get, 1 << 60
-    scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-    while scores:
-        low = min(scores)
-        if low == none:
-            break
-        i = scores.index(low)
-        parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
-        if i < len(scores):
-            scores[i] = get(parts[i] + parts[i + 1], none)
-        if i:
-            scores[i - 1] = get(parts[i - 1] + parts[i], none)
-    return tuple(ranks[p] for p in parts)
-
-
-def _merge_long(raw: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The same with a heap over a linked list: n log n for pre-tokens of any length."""
-    n = len(raw)
-    end = list(range(1, n + 1))           # where the part that starts here ends; 0 if no part starts here
-    before = list(range(-1, n - 1))
-    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i:i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, middle, stop = heapq.heappop(heap)
-        if end[i] != middle or middle >= n or end[middle] != stop:
-            continue                      # one of the two has grown since
-        end[i], end[middle] = stop, 0
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(raw[i:end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, stop, end[stop]))
-        if (left := before[i]) >= 0 and (r := ranks.get(raw[left:stop])) is not None:
-            heapq.heappush(heap, (r, left, i, stop))
-    parts, i = [], 0
-    while i < n:
-        parts.append(ranks[raw[i:end[i]]])
-        i = end[i]
-    return tuple(parts)
+    def merge(self, raw: bytes) -> tuple[int, ...]:
+        """Join the adjacent pair of lowest rank, leftmost first, until no pair has a rank."""
+        if len(raw) > 64:
+            return self.merge_long(raw)
+        get = self.pairs.get
+        ids = list(map(self.bytes_to_ids.__getitem__, raw))
+        scores = [get(a << 20 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
+        while scores and (low := min(scores)) != NO_RANK:
+            i = scores.index(low)
+            ids[i] = low
+            del ids[i + 1], scores[i]
+            if i < len(scores):
+                scores[i] = get(low << 20 | ids[i + 1], NO_RANK)
+            if i:
+                scores[i - 1] = get(ids[i - 1] << 20 | low, NO_RANK)
+        return tuple(ids)
+
+    def merge_long(self, raw: bytes) -> tuple[int, ...]:
+        """The same with a heap over a linked list: n log n for pre-tokens of any length."""
+        get, n = self.pairs.get, len(raw)
+        ids = list(map(self.bytes_to_ids.__getitem__, raw))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue                      # one of the two has grown or gone since
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (new := get(rank << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (new, i, rank, ids[k]))
+            if (h := before[i]) >= 0 and (new := get(ids[h] << 20 | rank)) is not None:
+                heapq.heappush(heap, (new, h, ids[h], rank))
+        return tuple(x for x in ids if x >= 0)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so what it remembers lasts."""
+    return Encoder(read_ranks(path))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

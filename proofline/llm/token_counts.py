@@ -7,6 +7,7 @@ columns are read. A special string inside a text counts as one token and splits
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,12 @@ class Counter:
         return ends, counts
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One counter for all tasks of a worker, so what it remembers lasts."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, chunk: int = CHUNK,
                  overlap: int = OVERLAP) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens and over_limit (n_tokens > ``limit``).
@@ -79,20 +86,16 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
 
     def counter():
-        own = Counter(path)
+        own = counter_of(path)
         return lambda texts: [[own.count(t) for t in texts]]
 
     def stepper():
-        own = Counter(path)
-        return lambda texts: [list(x) for x in zip(*(own.steps(t) for t in texts), strict=True)]
+        return counter_of(path).steps
 
     short = annotate(rows.where(~is_long), "text", counter, [("n_tokens", "bigint")], raw=False, keep=["doc_id", "n_bytes"])
     long = rows.where(is_long).withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
-    scan = lambda df: annotate(df, "piece", stepper, [("ends", "array<int>"), ("counts", "array<int>")], raw=False)
-    parts = spliced_chunks(long.select("key", "text").dropDuplicates(["key"]), scan, chunk, overlap)
-    inside = F.filter(F.arrays_zip("ends", "counts"), lambda x: (x["ends"] > F.col("from_at")) & (x["ends"] <= F.col("to_at")))
-    own = F.aggregate(inside, F.lit(0).cast("bigint"), lambda total, x: total + x["counts"])
-    whole = parts.select("key", own.alias("n")).groupBy("key").agg(F.sum("n").alias("n_tokens"))
+    _, cuts = spliced_chunks(long.select("key", "text"), stepper, chunk, overlap)
+    whole = cuts.groupBy("key").agg(F.sum("weight").alias("n_tokens"))
     counted = short.unionByName(long.select("doc_id", "n_bytes", "key").join(whole, "key").select("doc_id", "n_bytes", "n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm.byte_bpe import op6_byte_bpe
 from proofline.llm.decontamination import op9_decontamination
+from proofline.llm.language_model import op7_language_scores
 from proofline.llm.personal_data import op5_personal_data
 from proofline.llm.simhash import op10_simhash
 from proofline.llm.substring_dedup import op4_substring_dedup
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_personal_data": op5_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_scores": op7_language_scores,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,

@@ -10,6 +10,7 @@ from proofline.llm.byte_bpe import op6_byte_bpe
 from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.language_model import op7_language_scores
 from proofline.llm.personal_data import op5_personal_data
+from proofline.llm.search import op1_topk_search
 from proofline.llm.simhash import op10_simhash
 from proofline.llm.substring_dedup import op4_substring_dedup
 from proofline.llm.suffix_dedup import op3_suffix_dedup
@@ -19,6 +20,7 @@ from proofline.llm.toxicity import op2_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_substring_dedup": op4_substring_dedup,

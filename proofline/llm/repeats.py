@@ -52,10 +52,14 @@ def segments(codes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.
 def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text_key, text): text_key tells rows of one id apart by their text; it is 0 wherever ids are unique."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    unique = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    unique = has_unique_ids(rows)
     return rows.select("doc_id", (F.lit(0).cast("bigint") if unique else F.xxhash64("text")).alias("text_key"), "text")
 
 
+def has_unique_ids(rows: DataFrame, doc_id: str = "doc_id") -> bool:
+    return rows.groupBy(F.col(f"`{doc_id}`")).count().where("count > 1").isEmpty()
+
+
 def scan_segments(rows: DataFrame, codes: Callable[[], Codes], window: int, gram: int, content: bool) -> DataFrame:
     """Segments of every text: anchor, and with ``content`` doc_id, text_key, start, n, the segment's own hash and inner.
 

@@ -1,110 +1,82 @@
 """Comparison of two versions of documents, snapshots and packages.
 
-Equal rows are removed by joins or array equality on the JVM; Python sees only changed pairs, in
-Arrow batches.
+Equal rows are removed by joins or equality first; the rest is aligned by joins and windows (``alignment``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from proofline.functions import text as T
-from proofline.functions import worddiff as W
+from proofline.operators import alignment as A
 from proofline.operators.units import revision_view
 
-
-
-def _rows(**fields) -> ST.ArrayType:
-    return ST.ArrayType(ST.StructType([ST.StructField(n, t) for n, t in fields.items()]))
-
-
-_INTS, _TEXTS = ST.ArrayType(ST.IntegerType()), ST.ArrayType(ST.StringType())
-PAIRS = _rows(old_idx=_INTS, new_idx=_INTS)
-CHANGES = _rows(**{n: ST.IntegerType() for n in ("old_start", "old_end", "new_start", "new_end")})
-HUNKS = _rows(**{n: ST.StringType() for n in ("op", "before", "old", "new", "after")})
-FLAGS = ST.StructType([ST.StructField("lost", _TEXTS), ST.StructField("gained", _TEXTS),
-                       ST.StructField("near", ST.StringType())])
-
-
-@F.pandas_udf(PAIRS)
-def _align_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for old, new in batches:
-        yield pd.Series([[{"old_idx": i, "new_idx": j} for i, j in W.align(list(a), list(b))]
-                         for a, b in zip(old, new)], dtype=object)
-
-
-@F.pandas_udf(CHANGES)
-def _changes_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = ("old_start", "old_end", "new_start", "new_end")
-    for old, new in batches:
-        found = (W.word_changes(a, b) for a, b in zip(old, new))
-        yield pd.Series([None if c is None else [dict(zip(names, x)) for x in c] for c in found], dtype=object)
-
-
-@F.pandas_udf(HUNKS)
-def _hunks_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    names = ("op", "before", "old", "new", "after")
-    for old, new in batches:
-        yield pd.Series([[dict(zip(names, h)) for h in W.word_hunks(a, b)] for a, b in zip(old, new)], dtype=object)
-
-
-@F.pandas_udf(FLAGS)
-def _flags_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    def spread(text, spans):
-        flags = [frozenset()] * len(text)
-        for s in spans:
-            for k in range(s["start"], min(s["end"], len(text))):
-                flags[k] = frozenset(s["flags"])
-        return flags
-
-    for old, new, old_spans, new_spans in batches:
-        rows = [W.flag_changes(a, b, spread(a, x), spread(b, y)) or (None, None, None)
-                for a, b, x, y in zip(old, new, old_spans, new_spans)]
-        yield pd.DataFrame(rows, columns=["lost", "gained", "near"])
-
-
-def _texts(rows: DataFrame, name: str) -> DataFrame:
-    """Ordered paragraph texts of each document as one array (a document is bounded)."""
-    ordered = F.sort_array(F.collect_list(F.struct("idx", "text")))
-    return rows.groupBy("doc_id").agg(F.transform(ordered, lambda r: r["text"]).alias(name))
+# Protected atoms and special spaces.
+ATOM = "⟦[A-Z][0-9]+⟧"
+SPECIAL_SPACES = "\u00a0\u202f\u2007"
+TOKEN = f"(?s){ATOM}|[\\p{{L}}\\p{{N}}_]+|[ \\t{SPECIAL_SPACES}]+|."
+WORD = "(?s)[^ ]+| "
 
 
 def paragraph_align(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changed, removed and added paragraphs of each document: (doc_id, idx, text) against (doc_id, idx, text).
 
-    Documents whose paragraph arrays are equal never leave the JVM.
+    Equal paragraphs are matched by their text's hash; between matched ones, versions of a paragraph find each other by rare words.
     """
-    empty = F.array().cast("array<string>")
-    pairs = _texts(old, "a").join(_texts(new, "b"), "doc_id", "full").select(
-        "doc_id", F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b")).where(F.col("a") != F.col("b"))
-    rows = pairs.withColumn("pairs", _align_udf("a", "b")).select("doc_id", "a", "b", F.posexplode("pairs").alias("k", "p"))
-    o, n = F.get("p.old_idx", 0), F.get("p.new_idx", 0)
-    kind = F.when(o.isNull(), "added").when(n.isNull(), "removed").otherwise("changed")
-    return rows.select("doc_id", "k", kind.alias("kind"), o.alias("old_idx"), n.alias("new_idx"),
-                       F.coalesce(F.get("a", o), F.lit("")).alias("old"), F.coalesce(F.get("b", n), F.lit("")).alias("new"))
-
-
-def word_diff(pairs: DataFrame) -> DataFrame:
-    """Character spans that differ in (id, old, new); ``atoms_changed`` marks pairs that cannot be compared."""
-    changed = pairs.where(F.col("old") != F.col("new")).withColumn("changes", _changes_udf("old", "new"))
-    rows = changed.select("id", "old", "new", F.col("changes").isNull().alias("atoms_changed"),
-                          F.posexplode_outer("changes").alias("k", "c"))
-    cut = lambda text, a, b: F.substr(text, a + 1, b - a)
-    return rows.select(
-        "id", "k", "atoms_changed", "c.old_start", "c.old_end", "c.new_start", "c.new_end",
-        cut("old", F.col("c.old_start"), F.col("c.old_end")).alias("old_text"),
-        cut("new", F.col("c.new_start"), F.col("c.new_end")).alias("new_text"))
-
-
-def diff_hunks(pairs: DataFrame, limit: int = 25) -> DataFrame:
-    """Word hunks of each differing pair; ``limit`` per pair is the report's own length."""
-    rows = pairs.where(F.col("old") != F.col("new")).withColumn("hunks", F.slice(_hunks_udf("old", "new"), 1, limit))
-    return rows.select("id", F.posexplode("hunks").alias("k", "h")).select("id", "k", "h.*")
+    rows = lambda df: df.select(F.col("doc_id").alias("id"), F.col("idx").alias("pos"), F.sha2("text", 256).alias("token"), "text")
+    o, n = rows(old), rows(new)
+    same = A.matched_tokens(o.drop("text"), n.drop("text"))
+    left, right = A.in_gaps(o.drop("token"), same, "a"), A.in_gaps(n.drop("token"), same, "b")
+    pairs = A.similar_paragraphs(left, right)
+    a = left.select("id", F.col("pos").alias("a"), F.col("text").alias("old"))
+    b = right.select("id", F.col("pos").alias("b"), F.col("text").alias("new"))
+    both = a.join(pairs.select("id", "a", "b"), ["id", "a"], "left").join(b, ["id", "b"], "full")
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
+    return both.select(F.col("id").alias("doc_id"), kind.alias("kind"), F.col("a").alias("old_idx"), F.col("b").alias("new_idx"),
+                       F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
+
+
+def _changes(pairs: DataFrame, pattern: str, spaces: bool = True) -> DataFrame:
+    """Changed spans of (id, old, new); with ``spaces`` false, a special space that became a plain one is no change."""
+    old, new = A.token_rows(pairs, "old", pattern), A.token_rows(pairs, "new", pattern)
+    if spaces:
+        matched = A.matched_tokens(old, new)
+    else:
+        fold = lambda df: df.withColumn("token", F.translate("token", SPECIAL_SPACES, " " * len(SPECIAL_SPACES)))
+        named = lambda df, side: df.select("id", F.col("pos").alias(side), F.col("token").alias(f"t{side}"))
+        matched = A.matched_tokens(fold(old), fold(new)).join(named(old, "a"), ["id", "a"]).join(named(new, "b"), ["id", "b"])
+        matched = matched.where((F.col("ta") == F.col("tb")) | ~F.col("tb").rlike(f"[{SPECIAL_SPACES}]")).select("id", "a", "b")
+    sized = matched.join(old.select("id", F.col("pos").alias("a"), F.char_length("token").alias("size")), ["id", "a"])
+    return A.changed_spans(pairs, sized)
+
+
+def word_diff(pairs: DataFrame, spaces: bool = True, joined: bool = True) -> DataFrame:
+    """Character spans that differ in (id, old, new); ``atoms_changed`` marks pairs whose protected atoms differ, without spans."""
+    changed = pairs.select("id", "old", "new").where(F.col("old") != F.col("new"))
+    atoms = lambda c: F.regexp_extract_all(c, F.lit(ATOM), F.lit(0))
+    marked = changed.withColumn("atoms_changed", atoms("old") != atoms("new"))
+    comparable = marked.where("NOT atoms_changed").drop("atoms_changed")
+    spans = _changes(comparable, TOKEN, spaces)
+    if joined:
+        spans = A.join_close(spans.join(comparable, "id"))
+    rows = marked.join(spans, "id", "left").where("atoms_changed OR old_start IS NOT NULL")
+    cut = lambda text, a, b: F.substr(F.col(text), F.col(a) + 1, F.col(b) - F.col(a))
+    return rows.select("id", "atoms_changed", "old_start", "old_end", "new_start", "new_end",
+                       cut("old", "old_start", "old_end").alias("old_text"), cut("new", "new_start", "new_end").alias("new_text"))
+
+
+def diff_hunks(pairs: DataFrame, context: int = 8) -> DataFrame:
+    """Every differing stretch of words of each pair, with up to ``context`` words of the old text on both sides."""
+    changed = pairs.select("id", "old", "new").where(F.col("old") != F.col("new"))
+    rows = _changes(changed, WORD).join(changed, "id")
+    words = lambda text: F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0))
+    before = T.let(words(F.substr(F.col("old"), F.lit(1), F.col("old_start"))), lambda w: F.slice(w, F.greatest(F.size(w) - context + 1, F.lit(1)), F.lit(context)))
+    after = F.slice(words(F.substr(F.col("old"), F.col("old_end") + 1, F.char_length("old"))), 1, context)
+    cut = lambda text, a, b: F.substr(F.col(text), F.col(a) + 1, F.col(b) - F.col(a))
+    op = F.when(F.col("old_end") == F.col("old_start"), "insert").when(F.col("new_end") == F.col("new_start"), "delete").otherwise("replace")
+    return rows.select("id", "old_start", op.alias("op"), F.array_join(before, " ").alias("before"), cut("old", "old_start", "old_end").alias("old"),
+                       cut("new", "new_start", "new_end").alias("new"), F.array_join(after, " ").alias("after"))
 
 
 # Fixed value: numbers, statistics terms, symbols and direction words.
@@ -225,13 +197,17 @@ def citation_context_changes(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def formatting_delta(pairs: DataFrame) -> DataFrame:
-    """Flags lost or gained on unchanged text of aligned paragraphs: (id, old, new, old_spans, new_spans).
+    """Flags lost or gained on every unchanged visible token of (id, old, new, old_spans, new_spans): (id, pos, token, lost, gained).
 
-    Pairs with equal text and equal spans are dropped before Python.
+    A token has the flags of its first character.
     """
     moved = pairs.where((F.col("old") != F.col("new")) | (F.col("old_spans") != F.col("new_spans")))
-    return moved.withColumn("d", _flags_udf("old", "new", "old_spans", "new_spans")).where("d.near IS NOT NULL").select(
-        "id", F.col("d.lost").alias("lost"), F.col("d.gained").alias("gained"), F.col("d.near").alias("near"))
+    old, new = A.token_rows(moved, "old", TOKEN), A.token_rows(moved, "new", TOKEN)
+    rows = A.matched_tokens(old, new).join(old.select("id", F.col("pos").alias("a"), "token"), ["id", "a"]).where(F.trim("token") != "")
+    rows = rows.join(moved.select("id", "old_spans", "new_spans"), "id")
+    had, has = A.flags_at(F.col("old_spans"), F.col("a")), A.flags_at(F.col("new_spans"), F.col("b"))
+    rows = rows.select("id", F.col("a").alias("pos"), "token", F.array_sort(F.array_except(had, has)).alias("lost"), F.array_sort(F.array_except(has, had)).alias("gained"))
+    return rows.where((F.size("lost") > 0) | (F.size("gained") > 0))
 
 
 def picture_set_check(base: DataFrame, new: DataFrame, swaps: DataFrame, removed: DataFrame) -> DataFrame:

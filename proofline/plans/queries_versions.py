@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.operators import versions as V
-from proofline.operators.units import paragraphs, sentence_rows
+from proofline.operators.units import paragraphs
 from proofline.plans.catalog import query, table
 from proofline.plans.queries_units import LINES_SQL, merged_sql, positional_sql, revision_runs
 
@@ -33,23 +33,81 @@ def line_pairs(spark, sf):
     return rows.selectExpr("doc_id * 100000 + para_idx AS id", "doc_id", "text AS old", f"{EDIT} AS new")
 
 
-@query("f1_paragraph_align")
+def matched_sql(old: str, new: str) -> str:
+    """CTEs that end in ``m(id, a, b)``: the tokens matched between two queries of (id, pos, token)."""
+    free = lambda source, keys: (f"(SELECT id, {keys} a, b FROM (SELECT *, max(b) OVER (PARTITION BY id, {keys} 1 ORDER BY a) AS hi, min(b) OVER (PARTITION BY id, {keys} 1 ORDER BY a "
+                                 f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM {source}) WHERE b = hi AND b = lo)")
+    gap = lambda table, side: (f"(SELECT *, row_number() OVER (PARTITION BY id, gap, token ORDER BY pos) AS k FROM (SELECT t.id, t.pos, t.token, count(x.{side}) OVER (PARTITION BY t.id ORDER BY t.pos) "
+                               f"AS gap, x.{side} IS NULL AS free FROM {table} t LEFT JOIN anchor x ON x.id = t.id AND x.{side} = t.pos) WHERE free)")
+    return f"""o AS MATERIALIZED ({old}), n AS MATERIALIZED ({new}),
+u AS (SELECT id, x.p AS a, y.p AS b FROM (SELECT id, token, min(pos) AS p FROM o GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT id, token, min(pos) AS p FROM n GROUP BY ALL HAVING count(*) = 1) y USING (id, token)),
+anchor AS MATERIALIZED {free('u', '')},
+r AS (SELECT id, gap, x.pos AS a, y.pos AS b FROM {gap('o', 'a')} x JOIN {gap('n', 'b')} y USING (id, gap, token, k)),
+m AS MATERIALIZED (SELECT id, a, b FROM anchor UNION ALL SELECT id, a, b FROM {free('r', 'gap,')})"""
+
+
+def tokens_sql(source: str, text: str, pattern: str) -> str:
+    return f"""SELECT id, CAST(coalesce(sum(length(token)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos, token
+FROM (SELECT id, w[k] AS token, k FROM (SELECT id, w, unnest(generate_series(1, len(w))) AS k FROM (SELECT id, regexp_extract_all({text}, '{pattern}') AS w FROM {source})))"""
+
+
+def changes_sql(pattern: str) -> str:
+    """CTEs that end in ``c(id, old_start, old_end, new_start, new_end, old, new)``; they read ``p(id, old, new)``."""
+    return f"""{matched_sql(tokens_sql('p', 'old', pattern), tokens_sql('p', 'new', pattern))},
+e AS (SELECT m.id, a, b, length(token) AS size FROM m JOIN o ON o.id = m.id AND o.pos = m.a UNION ALL SELECT id, length(old), length(new), 0 FROM p),
+s AS (SELECT id, coalesce(lag(a + size) OVER w, 0) AS old_start, a AS old_end, coalesce(lag(b + size) OVER w, 0) AS new_start, b AS new_end FROM e WINDOW w AS (PARTITION BY id ORDER BY a, b)),
+c AS (SELECT s.*, p.old, p.new FROM s JOIN p USING (id) WHERE old_end > old_start OR new_end > new_start)"""
+
+
+PAIRS_SQL = f"p AS MATERIALIZED (SELECT id, old, new FROM (SELECT doc_id * 100000 + para_idx AS id, text AS old, {EDIT} AS new FROM ({LINES_SQL})) WHERE old <> new)"
+_CUT = "CAST({0}_start AS INTEGER) AS {0}_start, CAST({0}_end AS INTEGER) AS {0}_end"
+JOINED_SQL = f"""WITH {PAIRS_SQL}, {changes_sql(V.TOKEN)},
+z AS (SELECT *, greatest(old_end - old_start, new_end - new_start) AS size, old_end > old_start AND new_end > new_start AS two,
+  trim(substr(old, old_start + 1, old_end - old_start)) = '' AND trim(substr(new, new_start + 1, new_end - new_start)) = '' AS blank FROM c),
+y AS (SELECT *, old_start - lag(old_end) OVER w AS gap, lag(size) OVER w AS size0, lag(two) OVER w AS two0, lag(blank) OVER w AS blank0, lag(old_end) OVER w AS end0 FROM z WINDOW w AS (PARTITION BY id ORDER BY old_start, new_start)),
+x AS (SELECT *, coalesce((gap <= least(size, size0) AND NOT blank AND NOT blank0) OR (gap BETWEEN 1 AND 2 AND trim(substr(old, end0 + 1, gap)) = '' AND two AND two0), false) AS joins FROM y),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY old_start, new_start) AS grp FROM x),
+j AS (SELECT id, any_value(old) AS old, any_value(new) AS new, min(old_start) AS old_start, max(old_end) AS old_end, min(new_start) AS new_start, max(new_end) AS new_end FROM g GROUP BY id, grp)"""
+
+
+def _alignment_sql() -> str:
+    old = f"SELECT doc_id AS id, para_idx AS pos, text FROM ({LINES_SQL})"
+    newer = """SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, h) - 1 AS INTEGER) AS pos, text FROM (
+SELECT doc_id, i, h, CASE WHEN (doc_id + i) % 9 = 0 THEN l || ' P = 0.05 higher' WHEN h = 1 THEN 'New line ' || i || ' with 12% more' ELSE l END AS text
+FROM (SELECT doc_id, para_idx AS i, text AS l FROM (LINES)), (SELECT unnest([0, 1]) AS h)
+WHERE (doc_id + i) % 11 <> 3 AND (h = 0 OR ((doc_id + i) % 13 = 5 AND (doc_id + i) % 9 <> 0)))""".replace("LINES", LINES_SQL)
+    side = lambda name, rows: (f"(SELECT id, gap, pos AS {name}, text, list_distinct(regexp_extract_all(text, '\\S+')) AS w FROM (SELECT t.*, count(m.{name}) OVER (PARTITION BY t.id ORDER BY t.pos) AS gap, "
+                               f"m.{name} IS NULL AS free FROM {rows} t LEFT JOIN m ON m.id = t.id AND m.{name} = t.pos) WHERE free)")
+    rare = lambda name, rows: f"(SELECT id, gap, word, min({name}) AS {name} FROM (SELECT id, gap, {name}, unnest(w) AS word FROM {rows}) GROUP BY id, gap, word HAVING count(*) = 1)"
+    return f"""WITH ot AS MATERIALIZED ({old}), nt AS MATERIALIZED ({newer}), {matched_sql('SELECT id, pos, sha256(text) AS token FROM ot', 'SELECT id, pos, sha256(text) AS token FROM nt')},
+l AS MATERIALIZED {side('a', 'ot')}, r2 AS MATERIALIZED {side('b', 'nt')},
+cand AS (SELECT DISTINCT x.id, x.gap, a, b FROM {rare('a', 'l')} x JOIN {rare('b', 'r2')} y USING (id, gap, word)),
+sc AS (SELECT * FROM (SELECT c.id, c.gap, c.a, c.b, 2 * len(list_intersect(l.w, r2.w)) / (len(l.w) + len(r2.w)) AS score FROM cand c JOIN l ON l.id = c.id AND l.a = c.a JOIN r2 ON r2.id = c.id AND r2.b = c.b) WHERE score >= 0.5),
+mu AS (SELECT id, gap, a, b FROM (SELECT *, row_number() OVER (PARTITION BY id, gap, a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY id, gap, b ORDER BY score DESC, a) AS rb FROM sc) WHERE ra = 1 AND rb = 1),
+pr AS (SELECT id, a, b FROM (SELECT *, max(b) OVER (PARTITION BY id, gap ORDER BY a) AS hi, min(b) OVER (PARTITION BY id, gap ORDER BY a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM mu) WHERE b = hi AND b = lo),
+al AS (SELECT coalesce(x.id, r2.id) AS doc_id, CASE WHEN x.a IS NULL THEN 'added' WHEN r2.b IS NULL THEN 'removed' ELSE 'changed' END AS kind, x.a AS old_idx, r2.b AS new_idx, coalesce(x.text, '') AS old, coalesce(r2.text, '') AS new
+ FROM (SELECT l.id, l.a, l.text, pr.b FROM l LEFT JOIN pr ON pr.id = l.id AND pr.a = l.a) x FULL JOIN r2 ON r2.id = x.id AND r2.b = x.b)"""
+
+
+ALIGNMENT_SQL = _alignment_sql()
+
+
+@query("f1_paragraph_align", f"""{ALIGNMENT_SQL} SELECT doc_id, kind, old_idx, new_idx, sha256(old) AS old, sha256(new) AS new FROM al""")
 def f1(spark, sf):
     return V.paragraph_align(*both_versions(spark, sf)).select(
         "doc_id", "kind", "old_idx", "new_idx", F.sha2("old", 256).alias("old"), F.sha2("new", 256).alias("new"))
 
 
-@query("f2_word_diff")
+@query("f2_word_diff", f"""WITH {PAIRS_SQL}, {changes_sql(V.TOKEN)}
+SELECT id, false AS atoms_changed, {_CUT.format('old')}, {_CUT.format('new')}, substr(old, old_start + 1, old_end - old_start) AS old_text, substr(new, new_start + 1, new_end - new_start) AS new_text FROM c""")
 def f2(spark, sf):
-    return V.word_diff(line_pairs(spark, sf)).drop("k")
+    return V.word_diff(line_pairs(spark, sf), joined=False)
 
 
-@query("f3_diff_cleanup", f"""
-SELECT doc_id * 100000 + para_idx AS id FROM (SELECT *, {EDIT} AS new FROM ({LINES_SQL})) WHERE text <> new""")
+@query("f3_diff_cleanup", f"""{JOINED_SQL}
+SELECT id, {_CUT.format('old')}, {_CUT.format('new')}, substr(old, old_start + 1, old_end - old_start) AS old_text, substr(new, new_start + 1, new_end - new_start) AS new_text FROM j""")
 def f3(spark, sf):
-    """After merging, changes of a pair never touch; every changed pair keeps at least one change."""
-    found = V.word_diff(line_pairs(spark, sf))
-    return found.groupBy("id").agg(F.count("*").alias("n")).where("n > 0").select("id")
+    return V.word_diff(line_pairs(spark, sf)).drop("atoms_changed")
 
 
 _SCIENCE = V.SCIENCE.replace("(?U)", "")
@@ -68,7 +126,17 @@ def f4(spark, sf):
     return delta.select("id", join("removed"), join("added"), "reordered")
 
 
-@query("f5_drift_report")
+#: The second engine's word edges know ASCII letters only; other letters become one that can start no term.
+_ASCII_WORDS = "regexp_replace(@, '[À-ÖØ-öø-ɏ]', 'x', 'g')"
+
+
+@query("f5_drift_report", f"""{ALIGNMENT_SQL}, q AS (SELECT doc_id, kind, {_TERMS.replace('@', _ASCII_WORDS.replace('@', 'old'))} AS a, {_TERMS.replace('@', _ASCII_WORDS.replace('@', 'new'))} AS b FROM al),
+t AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda t: greatest(len(list_filter(a, lambda x: x = t)) - len(list_filter(b, lambda x: x = t)), 0))) AS gone,
+  list_sum(list_transform(list_distinct(b), lambda t: greatest(len(list_filter(b, lambda x: x = t)) - len(list_filter(a, lambda x: x = t)), 0))) AS come FROM q),
+k AS (SELECT id, 0 AS v, sum(len(regexp_extract_all(text, '\\[\\d+\\]'))) AS c, count(*) FILTER (contains(text, '!')) AS i FROM ot GROUP BY id UNION ALL SELECT id, 1, sum(len(regexp_extract_all(text, '\\[\\d+\\]'))), count(*) FILTER (contains(text, '!')) FROM nt GROUP BY id),
+f AS (SELECT id, count(*) < 2 OR min(c) <> max(c) OR min(i) <> max(i) AS counts_changed FROM k GROUP BY id)
+SELECT t.doc_id, count(*) FILTER (kind = 'changed') AS changed, count(*) FILTER (kind = 'removed') AS paragraphs_removed, count(*) FILTER (kind = 'added') AS paragraphs_added,
+ CAST(sum(coalesce(gone, 0)) AS BIGINT) AS terms_removed, CAST(sum(coalesce(come, 0)) AS BIGINT) AS terms_added, any_value(counts_changed) AS counts_changed FROM t LEFT JOIN f ON f.id = t.doc_id GROUP BY t.doc_id""")
 def f5(spark, sf):
     old, new = both_versions(spark, sf)
     count = lambda df: df.groupBy("doc_id").agg(
@@ -132,14 +200,20 @@ def f9(spark, sf):
     return V.citation_context_changes(V.citation_contexts(base, at(40)), V.citation_contexts(new, at(42))).select("doc_id", "pos")
 
 
-@query("f10_formatting_delta")
+_MARKED = f"SELECT doc_id * 100000 + para_idx AS id, doc_id + para_idx AS n, text AS old, {EDIT} AS new FROM ({LINES_SQL})"
+
+
+@query("f10_formatting_delta", f"""WITH p AS MATERIALIZED (SELECT * FROM ({_MARKED}) WHERE old <> new OR n % 4 = 0),
+{matched_sql(tokens_sql('p', 'old', V.TOKEN), tokens_sql('p', 'new', V.TOKEN))},
+x AS (SELECT m.id, m.a AS pos, o.token, length(p.old) // 2 > m.a AS had, length(p.new) // 2 > m.b AS has, n % 4 = 0 AS bold FROM m JOIN o ON o.id = m.id AND o.pos = m.a JOIN p ON p.id = m.id WHERE trim(token) <> '')
+SELECT id, pos, token, CASE WHEN had AND (bold OR NOT has) THEN 'italic' ELSE '' END AS lost, CASE WHEN has AND bold THEN 'bold' WHEN has AND NOT had THEN 'italic' ELSE '' END AS gained
+FROM x WHERE (had AND (bold OR NOT has)) OR (has AND (bold OR NOT had))""")
 def f10(spark, sf):
-    """Sentences as the aligned units: character alignment is quadratic in the unit, so units stay short."""
-    flags = lambda name: f"array(named_struct('start', 0, 'end', 12, 'flags', array('{name}')))"
-    rows = sentence_rows(table(spark, sf, "documents")).withColumn("text", F.col("sentence"))
-    rows = rows.selectExpr("concat_ws('-', doc_id, para_idx, sent_idx) AS id", "doc_id + sent_idx AS n", "sentence AS old", f"{EDIT} AS new")
-    rows = rows.selectExpr("id", "old", "new", f"{flags('italic')} AS old_spans", f"CASE WHEN n % 4 = 0 THEN {flags('bold')} ELSE {flags('italic')} END AS new_spans")
-    return V.formatting_delta(rows).select("id", F.array_join("lost", ",").alias("lost"), F.array_join("gained", ",").alias("gained"))
+    """The first half of every line is italic; in every fourth line of the newer version it is bold."""
+    half = lambda text, name: f"array(named_struct('start', 0, 'end', cast(char_length({text}) div 2 AS int), 'flags', array('{name}')))"
+    rows = paragraphs(table(spark, sf, "documents")).selectExpr("doc_id * 100000 + para_idx AS id", "doc_id + para_idx AS n", "text AS old", f"{EDIT} AS new")
+    rows = rows.selectExpr("id", "old", "new", f"{half('old', 'italic')} AS old_spans", f"CASE WHEN n % 4 = 0 THEN {half('new', 'bold')} ELSE {half('new', 'italic')} END AS new_spans")
+    return V.formatting_delta(rows).select("id", "pos", "token", F.array_join("lost", ",").alias("lost"), F.array_join("gained", ",").alias("gained"))
 
 
 PICTURES = "SELECT o_custkey AS doc_id, o_orderkey AS pos, 'img' || (o_orderkey % 20) AS name, 'd' || (o_orderkey % 33) AS digest, 'img' || (o_custkey % 20) AS swap FROM orders"
@@ -180,7 +254,11 @@ def f13(spark, sf):
     return V.view_compare(rows)
 
 
-@query("f14_diff_hunks")
+@query("f14_diff_hunks", f"""WITH {PAIRS_SQL}, {changes_sql(V.WORD)}
+SELECT id, CAST(old_start AS INTEGER) AS old_start, CASE WHEN old_end = old_start THEN 'insert' WHEN new_end = new_start THEN 'delete' ELSE 'replace' END AS op,
+ array_to_string(list_reverse(list_slice(list_reverse(regexp_extract_all(substr(old, 1, old_start), '[^ ]+')), 1, 8)), ' ') AS before,
+ substr(old, old_start + 1, old_end - old_start) AS old, substr(new, new_start + 1, new_end - new_start) AS new,
+ array_to_string(list_slice(regexp_extract_all(substr(old, old_end + 1), '[^ ]+'), 1, 8), ' ') AS after FROM c""")
 def f14(spark, sf):
     return V.diff_hunks(line_pairs(spark, sf))
 

@@ -185,7 +185,7 @@ def protected_refs(indexes: DataFrame) -> DataFrame:
     values = F.filter(strings, lambda v: ~v.endswith(":"))
     rows = indexes.select("project", F.explode(values).alias("raw"))
     rows = rows.select("project", F.get_json_object(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "$.v").alias("path"))
-    like = F.col("path").rlike(r"[/\\.]") & (F.length("path") < 1024)
+    like = F.col("path").rlike(r"[/\\.]")
     return rows.where(like).groupBy("project", normal_path("path").alias("key")).agg(F.min("path").alias("path"))
 
 
@@ -277,16 +277,20 @@ def threads(comments: DataFrame) -> DataFrame:
 def thread_ids(comments: DataFrame, roots: DataFrame) -> DataFrame:
     """Each root comment and every comment below it: (doc_id, id, parent), (doc_id, id).
 
-    Links are doubled each round, so a chain of n replies takes log2(n) rounds, whatever its length.
+    Links are doubled each round, so a chain of n replies takes log2(n) rounds, whatever its length. A round that
+    reaches nothing new is the last one, so parents that form a cycle end too.
     """
     jump = comments.where("parent IS NOT NULL").select("doc_id", "id", F.col("parent").alias("up"))
     reach = roots.select("doc_id", F.col("id").alias("root"), "id")
     while not jump.isEmpty():
         below = jump.join(reach.select("doc_id", "root", F.col("id").alias("up")), ["doc_id", "up"]).select(
-            "doc_id", "root", "id")
-        reach = materialise(reach.unionByName(below), "thread-reach")
+            "doc_id", "root", "id").distinct()
+        fresh = materialise(below.join(reach, ["doc_id", "root", "id"], "left_anti"), "thread-fresh")
+        if fresh.isEmpty():
+            break
+        reach = materialise(reach.unionByName(fresh), "thread-reach")
         jump = materialise(jump.join(jump.select("doc_id", F.col("id").alias("up"), F.col("up").alias("top")),
-                                     ["doc_id", "up"]).select("doc_id", "id", F.col("top").alias("up")), "thread-links")
+                                     ["doc_id", "up"]).select("doc_id", "id", F.col("top").alias("up")).distinct(), "thread-links")
     return reach
 
 

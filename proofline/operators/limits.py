@@ -17,14 +17,15 @@ CALL_OUT = (r"(?<![A-Za-z])(Supplementa(?:ry|l)\s+|)(Figs?\.|Figures?)(\s*)"
             r"(\d+[A-Za-z]*(?:\s*(?:,|and|&|–|—|-|to)\s*\d+[A-Za-z]*)*)")
 
 
-def callout_numbers(group: Column) -> Column:
-    """'1-3, 5' -> [1, 2, 3, 5]; a range longer than 50 is two single numbers."""
+def callout_numbers(group: Column, longest: int | None = None) -> Column:
+    """'1-3, 5' -> [1, 2, 3, 5]; with ``longest``, a range that long or longer is two single numbers."""
     tokens = F.regexp_extract_all(group, F.lit(r"\d+|,|and|&|–|—|-|to"), F.lit(0))
 
     def step(acc, token):
         value = token.try_cast("int")
         last = F.try_element_at(acc["out"], F.lit(-1))
-        fills = acc["pending"] & last.isNotNull() & (value > last) & (value - last < 50)
+        fills = acc["pending"] & last.isNotNull() & (value > last)
+        fills = fills if longest is None else fills & (value - last < longest)
         grown = F.when(F.coalesce(fills, F.lit(False)), F.concat(acc["out"], F.sequence(last + 1, value))).otherwise(
             F.concat(acc["out"], F.array(value)))
         return F.struct(
@@ -376,7 +377,7 @@ def is_declaration() -> Column:
     """Back-matter declarations, by section heading or by a leading label."""
     head = F.btrim("text")
     return _bare_label(F.col("section")).rlike(ANY_DECLARATION) | (
-        F.substr(head, F.lit(1), F.lit(70)).contains(":")
+        head.contains(":")
         & _bare_label(F.split_part(head, F.lit(":"), F.lit(1))).rlike(ANY_DECLARATION))
 
 
@@ -386,7 +387,7 @@ def declaration_positions(paras: DataFrame, keys: list[str]) -> DataFrame:
     text = F.btrim("text")
     heading = F.btrim(F.regexp_replace(F.regexp_replace(text, r"^\d+(\.\d+)*\.?\s*", ""), r"[:. ]+$", ""))
     inline = F.btrim(F.regexp_replace(F.btrim(F.split_part(text, F.lit(":"), F.lit(1))), r"^\*+", ""))
-    label = F.when(F.col("level") > 0, heading).when(F.substr(text, F.lit(1), F.lit(70)).contains(":"), inline)
+    label = F.when(F.col("level") > 0, heading).when(text.contains(":"), inline)
     scope = paras.where(F.col("region").isin("body", "appendix", "front") & (text != "") & ~F.col("in_table")
                         & ~F.col("title_page_only"))
     hits = [F.when(F.col("label").rlike("(?i)^" + DECLARATIONS.get(k, re.escape(k.replace("_", " "))) + "$"), F.lit(k))

@@ -11,8 +11,7 @@ from proofline.session import materialise
 # Words that carry no title information.
 STOPWORDS = ("a an and are as at be by for from in into is it its of on or that the their this to was were with without "
              "within than via vs versus after before between among during under over").split()
-PROBE_CHARS = 60      # fixed values: passage length, shortest passage, fallback prefix
-MIN_PROBE_CHARS = 8
+MIN_PROBE_CHARS = 8   # fixed values: shortest passage that is looked for, fallback prefix
 PREFIX_CHARS = 30
 TITLE_THRESHOLD = 0.9
 
@@ -76,8 +75,10 @@ def _inner_words(text: Column) -> Column:
     return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
 
 
-def reference_trace(probes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Where each passage occurs: full match, else its 30-character prefix, else none.
+def reference_trace(probes: DataFrame, pages: DataFrame, probe_chars: int | None = None) -> DataFrame:
+    """Where each passage occurs: full match, else its 30-character prefix, else none; "too short" below eight characters.
+
+    With ``probe_chars``, only so many first characters of a passage are looked for.
 
     ``probes(probe_id, text)``, ``pages(page_id, text)``. A passage's interior words stand whole and
     in order wherever it occurs, so the longest run of up to three of them from the first 30
@@ -86,8 +87,9 @@ def reference_trace(probes: DataFrame, pages: DataFrame) -> DataFrame:
     Returns probe_id, match, page_id (one row per page; page_id NULL for none).
     """
     short = lambda c: F.left(c, F.lit(PREFIX_CHARS))
-    shaped = probes.select("probe_id", F.btrim(F.left(normalise_passage("text"), F.lit(PROBE_CHARS))).alias("probe"))
-    shaped = shaped.where(F.length("probe") >= MIN_PROBE_CHARS)
+    whole = normalise_passage("text")
+    every = probes.select("probe_id", (whole if probe_chars is None else F.btrim(F.left(whole, F.lit(probe_chars)))).alias("probe"))
+    shaped = every.where(F.length("probe") >= MIN_PROBE_CHARS)
     head = F.when(F.length("probe") > PREFIX_CHARS, F.btrim(short(F.col("probe")))).otherwise(F.col("probe"))
     shaped = shaped.withColumn("head", head).withColumn("inner", _inner_words(F.col("head")))
     width = F.least(F.size("inner"), F.lit(3))
@@ -124,5 +126,5 @@ def reference_trace(probes: DataFrame, pages: DataFrame) -> DataFrame:
     best = checked.groupBy("probe_id").agg(F.bool_or("full").alias("any_full"))
     kept = checked.join(best, "probe_id").where(F.col("full") | ~F.col("any_full"))
     placed = kept.select("probe_id", F.when(F.col("any_full"), "full").otherwise("prefix30").alias("match"), "page_id")
-    return shaped.select("probe_id").join(placed, "probe_id", "left").select(
-        "probe_id", F.coalesce("match", F.lit("none")).alias("match"), "page_id")
+    missing = F.when(F.coalesce(F.length("probe"), F.lit(0)) < MIN_PROBE_CHARS, "too short").otherwise("none")
+    return every.join(placed, "probe_id", "left").select("probe_id", F.coalesce("match", missing).alias("match"), "page_id")

@@ -208,7 +208,7 @@ def heading_style(docs: DataFrame) -> DataFrame:
     """Title-case headings and decorated headings or list items."""
     rows = paragraphs(docs)
     head = rows.where(F.col("text").rlike("^#{1,6} ")).withColumn("title", F.regexp_replace("text", "^#{1,6} +", ""))
-    words = F.slice(F.regexp_extract_all("title", F.lit(r"\p{L}{4,}"), F.lit(0)), 1, 10000)
+    words = F.regexp_extract_all("title", F.lit(r"\p{L}{4,}"), F.lit(0))
     capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     cased = head.where((F.size(words) >= 3) & (capital / F.size(words) >= TITLE_CASE_SHARE))
     decorated = rows.where(F.col("text").rlike(r"^(?:#{1,6} |\s*[-*•] )") & F.col("text").rlike(DECORATION))

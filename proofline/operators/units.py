@@ -79,19 +79,17 @@ def structured_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     plain = lambda line: F.when(marked(line), F.regexp_replace(line, r"^#{1,6}\s+", "")).otherwise(line)
     lines = F.split(F.translate(F.col(text), T.MATCH_MARK + T.GROUP_MARK + T.MASK_CHAR, "   "), "\n", -1)
     base = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("_lines"))
-    # only headings, table rows and short lines can change the region; text lines skip every pattern
-    special = lambda line: marked(line) | F.ltrim(line).startswith("|") | (F.length(line) < 40)
     events = F.transform(
         F.col("_lines"),
-        lambda line, i: F.struct(i.alias("idx"), F.when(special(line), _region_event(
-            level_of(line), plain(line), F.ltrim(line).startswith("|"))).alias("event")),
+        lambda line, i: F.struct(i.alias("idx"), _region_event(
+            level_of(line), plain(line), F.ltrim(line).startswith("|")).alias("event")),
     )
     titled = F.filter(
         F.transform(F.col("_lines"), lambda line, i: F.struct(i.alias("idx"), line.alias("line"))),
         lambda h: marked(h["line"]) & (level_of(h["line"]) > 0))
     headings = F.transform(titled, lambda h: F.struct(
         h["idx"].alias("idx"), level_of(h["line"]).alias("level"),
-        F.substr(F.regexp_replace(F.btrim(plain(h["line"])), r"(?U)\s+", " "), F.lit(1), F.lit(60)).alias("text")))
+        F.regexp_replace(F.btrim(plain(h["line"])), r"(?U)\s+", " ").alias("text")))
     base = base.select(
         "*", F.filter(events, lambda e: e["event"].isNotNull()).alias("_events"), headings.alias("_heads"),
         F.exists(F.col("_lines"), lambda line: line.rlike(TITLE_PAGE_LABEL)).alias("_label"),
@@ -154,7 +152,7 @@ def assign_regions(paras: DataFrame) -> DataFrame:
     marks = (
         paras.select("doc_id", "para_idx", "level", event.alias("event"),
                      F.col("text").rlike(TITLE_PAGE_LABEL).alias("label"),
-                     F.substr(F.regexp_replace(F.btrim("text"), r"(?U)\s+", " "), F.lit(1), F.lit(60)).alias("head"))
+                     F.regexp_replace(F.btrim("text"), r"(?U)\s+", " ").alias("head"))
         .where(F.col("event").isNotNull() | (F.col("level") > 0) | F.col("label"))
     )
     states = marks.groupBy("doc_id").agg(

@@ -198,13 +198,13 @@ def g14(spark, sf):
 
 
 @query("g15_anchor_texts", f"""
-SELECT doc_id, CAST(1 AS INTEGER) AS id, sha256(trim(string_agg(CASE WHEN para_idx = 0 THEN substr(text, 11) WHEN para_idx = 2 THEN substr(text, 1, 10) ELSE text END, chr(10) ORDER BY para_idx))) AS digest
-FROM ({LINES_SQL}) WHERE para_idx <= 2 GROUP BY doc_id""")
+SELECT doc_id, CAST(1 AS INTEGER) AS id, sha256(trim(string_agg(CASE WHEN para_idx = 0 THEN substr(text, 11) WHEN para_idx = n - 1 THEN substr(text, 1, 10) ELSE text END, chr(10) ORDER BY para_idx))) AS digest
+FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({LINES_SQL})) WHERE n > 1 GROUP BY doc_id""")
 def g15(spark, sf):
     docs = table(spark, sf, "documents")
     runs = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("para_idx", "line")).selectExpr(
         "doc_id", "para_idx", "inline(array(named_struct('run_idx', 0, 'text', substr(line, 1, 10)), named_struct('run_idx', 1, 'text', substr(line, 11))))")
-    ranges = docs.selectExpr("doc_id", "1 AS id", "0 AS start_para", "1 AS start_run", "2 AS end_para", "1 AS end_run")
+    ranges = docs.selectExpr("doc_id", "1 AS id", "0 AS start_para", "1 AS start_run", "size(split(text, '\\n')) - 1 AS end_para", "1 AS end_run")
     return H.anchor_texts(runs, ranges).select("doc_id", "id", F.sha2("anchor", 256).alias("digest"))
 
 
@@ -213,10 +213,11 @@ BLOCKED = "concat('Journal AB here', chr(10), '<!-- gen:status:start -->', chr(1
 
 @query("g16_lines_outside_blocks", """
 SELECT doc_id, CAST(1 AS INTEGER) AS line_no, 'Journal AB here' AS line FROM documents
-UNION ALL SELECT doc_id, CAST(2 * len(string_split(text, chr(10))) + 5 AS INTEGER), 'XAB and AB' || doc_id || ' then AB.' FROM documents""")
+UNION ALL SELECT doc_id, CAST(2 * len(string_split(text, chr(10))) + 5 AS INTEGER), 'XAB and AB' || doc_id || ' then AB.' FROM documents
+UNION ALL SELECT doc_id, CAST(4 + n + para_idx + 1 AS INTEGER), text FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM (LINES)) WHERE regexp_matches(text, '(^|[^A-Za-z0-9])AB([^A-Za-z0-9]|$)')""".replace("LINES", LINES_SQL))
 def g16(spark, sf):
     rows = table(spark, sf, "documents").selectExpr("doc_id", f"{BLOCKED} AS text")
-    return H.stale_names(rows, "AB").where("length(line) < 60")
+    return H.stale_names(rows, "AB")
 
 
 @query("g17_scrub_paths", """

@@ -170,7 +170,7 @@ SELECT doc_id, para_idx, CASE WHEN contains(text, ';12:') THEN 1990 + doc_id % 3
 def e15(spark, sf):
     year = R.entry_year(F.col("text"), F.col("doi"))
     return entries(spark, sf).select("doc_id", "para_idx", year["year"].cast("int").alias("year"),
-                                     F.replace(year["form"], F.lit("fallback"), F.lit("year_dot")).alias("form"))
+                                     year["form"].alias("form"))
 
 
 INDEX_FIELDS = """p_partkey AS load_order, CASE WHEN p_size % 2 = 0 THEN 'article' ELSE 'work' END AS source,
@@ -209,10 +209,10 @@ COVERAGE_SQL = f"""round(len(list_filter(w, lambda x: list_contains(t, x))) / le
 
 @query("e18_title_coverage", f"""
 SELECT doc_id, item_id, {COVERAGE_SQL} AS coverage FROM (SELECT d.doc_id, b.item_id, list_filter({_TOKENS.format('b.text')}, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS w, list_distinct({_TOKENS.format('d.text')}) AS t
-FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)""")
+FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)""")
 def e18(spark, sf):
-    d = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
     b = table(spark, sf, "benchmark").withColumnRenamed("text", "title")
+    d = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % b.count())
     return d.join(b, "item_id").select("doc_id", "item_id", M.title_coverage("title", "text").alias("coverage"))
 
 
@@ -228,11 +228,19 @@ def e19(spark, sf):
     return found.select(F.col("entry_id").alias("doc_id"), F.col("record_id").alias("item_id"), "coverage")
 
 
-AUDIT_ENTRY = """text || CASE doc_id % 3 WHEN 0 THEN ' J Test. 2016;4:5. doi:10.1000/r' || (doc_id % 60) WHEN 1 THEN ' (1995)' ELSE '' END"""
+#: Records that entries cite: every item of the benchmark, and twenty that do not exist.
+MODULUS_SQL = "(SELECT count(*) + 20 FROM benchmark)"
+
+
+def with_modulus(spark, sf, text):
+    return text.replace("MODULUS", str(table(spark, sf, "benchmark").count() + 20))
+
+
+AUDIT_ENTRY = """text || CASE doc_id % 3 WHEN 0 THEN ' J Test. 2016;4:5. doi:10.1000/r' || (doc_id % MODULUS) WHEN 1 THEN ' (1995)' ELSE '' END"""
 
 
 @query("e20_bib_audit", f"""
-WITH d AS (SELECT doc_id // 5 AS doc_id, doc_id % 5 AS para_idx, CASE WHEN doc_id % 3 = 0 THEN '10.1000/r' || (doc_id % 60) END AS doi,
+WITH d AS (SELECT doc_id // 5 AS doc_id, doc_id % 5 AS para_idx, CASE WHEN doc_id % 3 = 0 THEN '10.1000/r' || (doc_id % MODULUS) END AS doi,
    CASE doc_id % 3 WHEN 0 THEN 2016 WHEN 1 THEN 1995 END AS yr, list_distinct({_TOKENS.format(AUDIT_ENTRY)}) AS t FROM documents),
 b AS (SELECT item_id, '10.1000/r' || item_id AS doi, 2010 + item_id % 8 AS yr, list_filter({_TOKENS.format('text')}, lambda x: NOT list_contains({_STOP}, x) AND length(x) > 1) AS w FROM benchmark),
 s AS (SELECT doc_id, para_idx, item_id, {COVERAGE_SQL} AS coverage FROM d, b WHERE d.doi IS NULL AND len(w) > 0),
@@ -241,26 +249,26 @@ j AS (SELECT d.*, count(*) OVER (PARTITION BY d.doc_id, d.doi) AS copies, coales
    CASE WHEN bd.item_id IS NOT NULL THEN 'doi' WHEN m.item_id IS NOT NULL THEN 'title' END AS matched_by
    FROM d LEFT JOIN b bd ON bd.doi = d.doi LEFT JOIN m USING (doc_id, para_idx) LEFT JOIN b bm ON bm.item_id = m.item_id)
 SELECT doc_id, para_idx, matched_by, array_to_string(list_filter([CASE WHEN doi IS NULL THEN 'NO_DOI' END, CASE WHEN doi IS NOT NULL AND copies > 1 THEN 'DUPLICATE_DOI' END,
-  CASE WHEN item IS NULL THEN CASE WHEN CAST(regexp_extract(doi, '[0-9]+$') AS INTEGER) >= 50 THEN 'FETCH_ERROR' ELSE 'NO_RECORD' END END,
+  CASE WHEN item IS NULL THEN CASE WHEN CAST(regexp_extract(doi, '[0-9]+$') AS INTEGER) >= MODULUS - 10 THEN 'FETCH_ERROR' ELSE 'NO_RECORD' END END,
   CASE WHEN item IS NOT NULL AND {COVERAGE_SQL} < 0.5 THEN 'TITLE_MISMATCH' END,
-  CASE WHEN item IS NOT NULL AND yr IS NULL THEN 'YEAR_NOT_FOUND' WHEN item IS NOT NULL AND abs(yr - ryr) > 1 THEN 'YEAR_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS issues FROM j""")
+  CASE WHEN item IS NOT NULL AND yr IS NULL THEN 'YEAR_NOT_FOUND' WHEN item IS NOT NULL AND abs(yr - ryr) > 1 THEN 'YEAR_MISMATCH' END], lambda x: x IS NOT NULL), ',') AS issues FROM j""".replace("MODULUS", MODULUS_SQL))
 def e20(spark, sf):
     rows = table(spark, sf, "documents").selectExpr(
         "cast(floor(doc_id / 5) as bigint) AS doc_id", "doc_id % 5 AS para_idx", "cast(null as int) AS number",
-        f"{AUDIT_ENTRY} AS text", "CASE WHEN doc_id % 3 = 0 THEN concat('10.1000/r', doc_id % 60) END AS doi")
+        with_modulus(spark, sf, f"{AUDIT_ENTRY} AS text"), with_modulus(spark, sf, "CASE WHEN doc_id % 3 = 0 THEN concat('10.1000/r', doc_id % MODULUS) END AS doi"))
     recs = table(spark, sf, "benchmark").selectExpr(
         "item_id AS load_order", "'work' AS source", "cast(null as string) AS pmid", "concat('10.1000/r', item_id) AS doi",
         "text AS title", "array(cast(2010 + item_id % 8 as int)) AS years")
-    failed = table(spark, sf, "documents").where("doc_id % 60 >= 50").selectExpr("concat('10.1000/r', doc_id % 60) AS doi")
+    failed = table(spark, sf, "documents").where(with_modulus(spark, sf, "doc_id % MODULUS >= MODULUS - 10")).selectExpr(with_modulus(spark, sf, "concat('10.1000/r', doc_id % MODULUS) AS doi"))
     return R.bibliography_audit(rows, recs, failed).select(
         "doc_id", "para_idx", "matched_by", F.array_join("issues", ",").alias("issues"))
 
 
 def claim_inputs(spark, sf):
     rows = paragraphs(table(spark, sf, "documents")).withColumn("section", F.lit("Results"))
-    markers = rows.where(F.length("text") > 40).selectExpr(
-        "doc_id", "para_idx", "doc_id * 1000 + para_idx AS field_index", "cast((doc_id * 37 + para_idx) % length(text) as int) AS position",
-        "concat('', doc_id % 60) AS pmid", "cast(null as string) AS doi")
+    markers = rows.selectExpr(
+        "doc_id", "para_idx", "doc_id * 1000 + para_idx AS field_index", "cast((doc_id * 37 + para_idx) % greatest(length(text), 1) as int) AS position",
+        with_modulus(spark, sf, "concat('', doc_id % MODULUS) AS pmid"), "cast(null as string) AS doi")
     recs = table(spark, sf, "benchmark").selectExpr(
         "item_id AS load_order", "'article' AS source", "concat('', item_id) AS pmid", "cast(null as string) AS doi",
         "CASE WHEN item_id % 5 <> 0 THEN text END AS abstract")
@@ -270,20 +278,19 @@ def claim_inputs(spark, sf):
 @query("e21_claim_items")
 def e21(spark, sf):
     rows, markers, recs = claim_inputs(spark, sf)
-    items = R.claim_items(rows, markers, recs, 100)
+    items = R.claim_items(rows, markers, recs, 0)
     return items.select("doc_id", "para_idx", "field_index", F.sha2("claim", 256).alias("claim"),
                         F.length("context_before").alias("before"), F.length("context_after").alias("after"),
                         "abstract_available", "abstract_truncated")
 
 
 @query("e22_claim_manifest", r"""
-SELECT count(*) AS fields, count(*) AS occurrences, count(DISTINCT doc_id % 60) AS records, count_if(doc_id % 60 >= n OR doc_id % 60 % 5 = 0) AS without_abstract,
-  count_if(doc_id % 60 < n AND doc_id % 60 % 5 <> 0 AND length(b.text) > 100) AS truncated
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 60, (SELECT max(item_id) + 1 AS n FROM benchmark)
-WHERE length(line) > 40""")
+SELECT count(*) AS fields, count(*) AS occurrences, count(DISTINCT doc_id % MODULUS) AS records, count_if(doc_id % MODULUS >= n OR doc_id % MODULUS % 5 = 0) AS without_abstract,
+  0::BIGINT AS truncated
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d LEFT JOIN benchmark b ON b.item_id = d.doc_id % MODULUS, (SELECT max(item_id) + 1 AS n FROM benchmark)""".replace("MODULUS", MODULUS_SQL))
 def e22(spark, sf):
     rows, markers, recs = claim_inputs(spark, sf)
-    return R.claim_manifest(R.claim_items(rows, markers, recs, 100))
+    return R.claim_manifest(R.claim_items(rows, markers, recs, 0))
 
 
 VERDICT_FIELDS = """o_orderkey AS file_order, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey - 1 END AS field_index,
@@ -295,7 +302,7 @@ c AS (SELECT v.*, i.c_custkey AS item, CASE WHEN field_index IS NULL THEN 'missi
    || CASE WHEN verdict = 'MAYBE' THEN 'bad verdict,' ELSE '' END || CASE WHEN trim(reason) = '' THEN 'reason is empty,' ELSE '' END
    || CASE WHEN field_index IS NOT NULL AND i.c_custkey IS NULL THEN 'not an item,' ELSE '' END
    || CASE WHEN i.c_custkey IS NOT NULL AND cited_key NOT IN (concat('k', (i.c_custkey + 1) % 5), CASE WHEN i.c_custkey % 2 = 0 THEN 'k0' ELSE 'k1' END) THEN 'unknown key,' ELSE '' END AS e
-  FROM v LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) i ON i.c_custkey = field_index),
+  FROM v LEFT JOIN (SELECT * FROM customer) i ON i.c_custkey = field_index),
 d AS (SELECT *, CASE WHEN e = '' AND file_order > min(file_order) FILTER (e = '') OVER (PARTITION BY field_index) THEN 'duplicate,' ELSE e END AS errors FROM c),
 ok AS (SELECT *, CASE verdict WHEN 'WEAK' THEN 'weak' WHEN 'SUPPORTED' THEN 'supported' WHEN 'UNVERIFIED_NO_ABSTRACT' THEN 'unverified' ELSE
    CASE WHEN tier IS NOT NULL THEN 'tier' || tier WHEN suggested_action = 'TEXT' THEN 'tier3' WHEN confidence = 'high' THEN 'tier1' ELSE 'tier2' END END AS tier_name FROM d WHERE errors = '')
@@ -305,7 +312,7 @@ ok AS (SELECT *, CASE verdict WHEN 'WEAK' THEN 'weak' WHEN 'SUPPORTED' THEN 'sup
 def verdict_inputs(spark, sf):
     v = spark.sql(f"SELECT {VERDICT_FIELDS}, array(concat('k', o_custkey % 5)) AS cited FROM {{rows}}",
                   rows=table(spark, sf, "orders"))
-    items = table(spark, sf, "customer").where("c_acctbal > 0").selectExpr(
+    items = table(spark, sf, "customer").selectExpr(
         "c_custkey AS field_index", "array(concat('k', (c_custkey + 1) % 5), CASE WHEN c_custkey % 2 = 0 THEN 'k0' ELSE 'k1' END) AS keys")
     return v, items
 
@@ -330,7 +337,7 @@ def e25(spark, sf):
     return R.verdict_rollup(valid_verdicts(spark, sf)[0])
 
 
-@query("e26_not_judged", VERDICT_SQL + "SELECT c_custkey AS field_index FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT field_index FROM ok)")
+@query("e26_not_judged", VERDICT_SQL + "SELECT c_custkey AS field_index FROM customer WHERE c_custkey NOT IN (SELECT field_index FROM ok)")
 def e26(spark, sf):
     valid, items = valid_verdicts(spark, sf)
     return R.not_judged(items, valid)
@@ -360,11 +367,11 @@ def e27(spark, sf):
 
 @query("e28_fetch_status", """
 SELECT c_custkey AS pmid, CASE WHEN c_custkey IN (SELECT s_suppkey * 7 FROM supplier) THEN 'fetch_error' WHEN p.p_partkey IS NULL THEN 'not_found' WHEN p.p_size % 3 = 0 THEN 'no_abstract' ELSE 'ok' END AS status
-FROM customer LEFT JOIN part p ON p.p_partkey = c_custkey * 2""")
+FROM customer LEFT JOIN part p ON p.p_partkey = c_custkey""")
 def e28(spark, sf):
     requested = table(spark, sf, "customer").selectExpr("c_custkey AS pmid")
-    fetched = table(spark, sf, "part").where("p_partkey % 2 = 0").selectExpr(
-        "cast(p_partkey / 2 as bigint) AS pmid", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS abstract")
+    fetched = table(spark, sf, "part").selectExpr(
+        "p_partkey AS pmid", "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END AS abstract")
     failed = table(spark, sf, "supplier").selectExpr("s_suppkey * 7 AS pmid")
     return R.fetch_status(requested, fetched, failed)
 
@@ -373,11 +380,10 @@ _NORM = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
 @query("e29_reference_trace", f"""
-WITH b AS (SELECT item_id, trim(substr({_NORM.format('text')}, 1, 60)) AS probe FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS body FROM documents),
-m AS (SELECT item_id, doc_id, contains(body, probe) AS f, length(probe) > 30 AND contains(body, trim(substr(probe, 1, 30))) AS p FROM b, d),
+WITH b AS (SELECT item_id, {_NORM.format('text')} AS probe FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS body FROM documents),
+m AS (SELECT item_id, doc_id, contains(body, probe) AS f, length(probe) > 30 AND contains(body, trim(substr(probe, 1, 30))) AS p FROM b, d WHERE length(probe) >= 8),
 k AS (SELECT *, bool_or(f) OVER (PARTITION BY item_id) AS anyf FROM m WHERE f OR p)
-SELECT b.item_id AS probe_id, coalesce(CASE WHEN k.anyf THEN 'full' ELSE CASE WHEN k.p THEN 'prefix30' END END, 'none') AS match, k.doc_id AS page_id FROM b LEFT JOIN (SELECT * FROM k WHERE f OR NOT anyf) k USING (item_id)
-WHERE length(probe) >= 8""")
+SELECT b.item_id AS probe_id, coalesce(CASE WHEN k.anyf THEN 'full' ELSE CASE WHEN k.p THEN 'prefix30' END END, CASE WHEN coalesce(length(probe), 0) < 8 THEN 'too short' ELSE 'none' END) AS match, k.doc_id AS page_id FROM b LEFT JOIN (SELECT * FROM k WHERE f OR NOT anyf) k USING (item_id)""")
 def e29(spark, sf):
     return M.reference_trace(
         table(spark, sf, "benchmark").select(F.col("item_id").alias("probe_id"), "text"),

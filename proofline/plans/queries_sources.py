@@ -114,7 +114,7 @@ def a8(spark, sf):
 
 @query("a9_content_digest", """
 WITH h AS (SELECT source, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || ':' || sha256(text)) AS h FROM documents)
-SELECT source, count(*) AS files, sha256(count(*) || ':' || concat_ws(':', sum(('0x' || substr(h, 1, 12))::BIGINT), sum(('0x' || substr(h, 13, 12))::BIGINT), sum(('0x' || substr(h, 25, 12))::BIGINT), sum(('0x' || substr(h, 37, 12))::BIGINT), sum(('0x' || substr(h, 49, 12))::BIGINT))) AS digest FROM h GROUP BY source""")
+SELECT source, count(*) AS files, sha256(count(*) || ':' || concat_ws(':', sum(('0x' || substr(h, 1, 12))::BIGINT), sum(('0x' || substr(h, 13, 12))::BIGINT), sum(('0x' || substr(h, 25, 12))::BIGINT), sum(('0x' || substr(h, 37, 12))::BIGINT), sum(('0x' || substr(h, 49, 12))::BIGINT), sum(('0x' || substr(h, 61, 12))::BIGINT))) AS digest FROM h GROUP BY source""")
 def a9(spark, sf):
     return S.content_digest(table(spark, sf, "documents"), "source", "doc_id", "text")
 
@@ -136,9 +136,9 @@ def a10_rejected(spark, sf):
 
 
 @query("a11_batch_rows", """
-SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_number, CAST(ceil(row_number() OVER (ORDER BY event_id) / 40) AS BIGINT) AS batch FROM events WHERE value > 5""")
+SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_number, CAST(ceil(row_number() OVER (ORDER BY event_id) / 40) AS BIGINT) AS batch FROM events""")
 def a11(spark, sf):
-    rows = table(spark, sf, "events").where("value > 5").select("event_id")
+    rows = table(spark, sf, "events").select("event_id")
     return batch_rows(rows, 40, "event_id", F.floor(F.col("event_id") / 1000))
 
 

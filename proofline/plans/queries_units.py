@@ -96,11 +96,9 @@ def b6(spark, sf):
 @query("b7_mask", f"""
 SELECT doc_id, para_idx, length(text) AS chars,
   length(text) - length(regexp_replace(text, {quoted('doi:[ ]*[^ ]+|10[.][0-9]{4,9}/[^ ]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+([.][A-Za-z0-9_-]+)+')}, '', 'g')) AS masked
-FROM ({MANUSCRIPT_LINES_SQL})
-WHERE text LIKE '%doi:%' OR text LIKE '10.%' OR text LIKE '% 10.1000%' """)
+FROM ({MANUSCRIPT_LINES_SQL})""")
 def b7(spark, sf):
-    paras = U.structured_paragraphs(manuscripts(spark, sf)).where(
-        F.col("text").contains("doi:") | F.col("text").startswith("10.") | F.col("text").contains(" 10.1000"))
+    paras = U.structured_paragraphs(manuscripts(spark, sf))
     return paras.select("doc_id", "para_idx", F.length("masked").alias("chars"),
                         F.regexp_count("masked", F.lit("\u0000")).alias("masked"))
 

@@ -315,12 +315,12 @@ def f20(spark, sf):
 
 
 @query("f21_intended_replacements", """
-WITH d AS (SELECT doc_id, text, substr(text, 1, 12) AS a, (length(text) - length(replace(text, substr(text, 1, 12), ''))) / length(substr(text, 1, 12)) AS n FROM documents WHERE length(text) > 12),
+WITH d AS (SELECT doc_id, text, substr(text, 1, 12) AS a, (length(text) - length(replace(text, substr(text, 1, 12), ''))) / length(substr(text, 1, 12)) AS n FROM documents),
 e AS (SELECT *, CASE WHEN n = 1 THEN replace(text, a, 'NEW') ELSE text END AS t2 FROM d)
 SELECT doc_id, CAST(CASE WHEN n = 1 THEN 0 ELSE 1 END + CASE WHEN contains(t2, 'NEW') AND (length(t2) - length(replace(t2, 'NEW', ''))) / 3 = 1 THEN 0 ELSE 1 END AS INTEGER) AS not_found_once,
   n = 1 AND (length(t2) - length(replace(t2, 'NEW', ''))) / 3 = 1 AND doc_id % 3 <> 0 AS as_intended FROM e""")
 def f21(spark, sf):
-    rows = table(spark, sf, "documents").where("length(text) > 12").selectExpr(
+    rows = table(spark, sf, "documents").selectExpr(
         "doc_id", "text AS old", "if(doc_id % 3 = 0, text, replace(replace(text, substr(text, 1, 12), 'NEW'), 'NEW', 'DONE')) AS new",
         "array(named_struct('old', substr(text, 1, 12), 'new', 'NEW'), named_struct('old', 'NEW', 'new', 'DONE')) AS intended")
     return V.intended_replacements(rows)

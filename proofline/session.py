@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +30,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, named by the cluster; a temporary folder only when unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            return existing
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
+
+    Where it is unset, a local master (one machine, as in tests) gets a folder under its warehouse; on any other
+    master that is an error, as each executor would write to its own disk.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not re.match(r"local($|\[)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), f"scratch-{uuid.uuid4().hex}")
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 

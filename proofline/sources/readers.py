@@ -303,8 +303,8 @@ def content_digest(files: DataFrame, group: str, name: str, body: str) -> DataFr
     one = F.sha2(F.concat_ws(":", F.length(label), label, F.sha2(F.col(body), 256)), 256)
     limb = lambda i: F.conv(F.substr(F.col("_h"), F.lit(1 + 12 * i), F.lit(12)), 16, 10).cast("bigint")
     sums = kept.select(group, one.alias("_h")).groupBy(group).agg(
-        F.count("*").alias("files"), *[F.sum(limb(i).cast("decimal(20,0)")).alias(f"_s{i}") for i in range(5)])
-    return sums.select(group, "files", F.sha2(F.concat_ws(":", "files", *[F.col(f"_s{i}").cast("decimal(38,0)").cast("string") for i in range(5)]), 256).alias("digest"))
+        F.count("*").alias("files"), *[F.sum(limb(i).cast("decimal(20,0)")).alias(f"_s{i}") for i in range(6)])
+    return sums.select(group, "files", F.sha2(F.concat_ws(":", "files", *[F.col(f"_s{i}").cast("decimal(38,0)").cast("string") for i in range(6)]), 256).alias("digest"))
 
 
 def write_exclusive(df: DataFrame, path: str) -> None:

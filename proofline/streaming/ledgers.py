@@ -20,7 +20,7 @@ OPEN_SCHEMA = ST.StructType([
 
 
 class OpenOperation(StatefulProcessor):
-    """Per (event, operation): remembers a pending entry until an answer arrives or its timer fires."""
+    """Per (event, operation): remembers a pending entry or an answer until its timer fires; then the key's state is gone."""
 
     def __init__(self, timeout_ms: int):
         self._timeout_ms = timeout_ms
@@ -31,25 +31,28 @@ class OpenOperation(StatefulProcessor):
         self._answered = handle.getValueState("answered", ST.StructType([ST.StructField("yes", ST.BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
         for batch in rows:
+            latest = max(batch["opened_ms"].max(), latest) if latest is not None else batch["opened_ms"].max()
             if (batch["status"] != "pending").any():
                 self._answered.update((True,))
             opened = batch.loc[batch["status"] == "pending", "opened_ms"]
             if len(opened) and not self._pending.exists():
                 self._pending.update((int(opened.min()),))
-        if self._pending.exists() and self._answered.exists():
-            for due in list(self._handle.listTimers()):
-                self._handle.deleteTimer(due)
-            self._pending.clear()
-        elif self._pending.exists() and not list(self._handle.listTimers()):
-            self._handle.registerTimer(self._pending.get()[0] + self._timeout_ms)
+        # one timer a key: an open operation's own deadline, else the end of what an answer has to be remembered for
+        for due in list(self._handle.listTimers()):
+            self._handle.deleteTimer(due)
+        waits = self._pending.exists() and not self._answered.exists()
+        self._handle.registerTimer(int(self._pending.get()[0] if waits else latest) + self._timeout_ms)
         yield pd.DataFrame({"event": pd.Series(dtype="object"), "seq": pd.Series(dtype="int64"),
                             "opened_ms": pd.Series(dtype="int64")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         opened = self._pending.get()[0] if self._pending.exists() else None
+        answered = self._answered.exists()
         self._pending.clear()
-        if opened is not None and not self._answered.exists():
+        self._answered.clear()
+        if opened is not None and not answered:
             yield pd.DataFrame({"event": [key[0]], "seq": [int(key[1])], "opened_ms": [int(opened)]})
 
     def close(self) -> None:

@@ -66,14 +66,16 @@ def volcano_labels(points: DataFrame, p: str, top: int, tie: str) -> DataFrame:
 def roc_auc(df: DataFrame, curve: str, fpr: str, tpr: str, row: str, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Trapezoid area per curve after a stable sort by false-positive rate, and whether input came sorted.
 
-    A curve may hold most of the rows, so neighbours are found inside slices of the rate and of the
-    row number, with one row carried per slice.
+    A curve may hold most of the rows, so rates are aggregated first and neighbours are found inside slices of the rate
+    and of the row number, with one row carried per slice.
     """
     base = df.select(curve, F.col(fpr).alias("x"), F.col(tpr).alias("y"), F.col(row).alias("row"))
-    base = base.withColumn("_slice", F.floor(F.col("x") * 1000)).withColumn("_block", F.floor(F.col("row") / rows_per_chunk))
-    prior = previous_value(base, [curve], "_slice", ["x", "row"], F.struct("x", "y"), "_p")
+    # at one rate only the first and the last row count: a rate that most rows share is one row after map-side aggregation
+    rates = base.groupBy(curve, "x").agg(F.min_by("y", "row").alias("y"), F.max_by("y", "row").alias("last"), F.count("*").alias("n"))
+    prior = previous_value(rates.withColumn("_slice", F.floor(F.col("x") * 1000)), [curve], "_slice", ["x"], F.struct("x", "last"), "_p")
     area = prior.groupBy(curve).agg(
-        F.sum((F.col("x") - F.col("_p.x")) * (F.col("y") + F.col("_p.y")) / 2).alias("auc"), F.count("*").alias("n"))
+        F.sum((F.col("x") - F.col("_p.x")) * (F.col("y") + F.col("_p.last")) / 2).alias("auc"), F.sum("n").alias("n"))
+    base = base.withColumn("_block", F.floor(F.col("row") / rows_per_chunk))
     arrival = previous_value(base, [curve], "_block", ["row"], F.col("x"), "_before")
     order = arrival.groupBy(curve).agg(F.bool_and(F.coalesce(F.col("_before") <= F.col("x"), F.lit(True))).alias("sorted_input"))
     return area.join(order, curve)

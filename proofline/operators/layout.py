@@ -95,6 +95,17 @@ def _meet(small: DataFrame, big: DataFrame, keep: Column) -> DataFrame:
     return small.alias("s").join(big.alias("b"), on).where(keep & corner & (intersection_area(s, b) > 0))
 
 
+def _used_levels(df: DataFrame) -> DataFrame:
+    return df.select("page", _level(box()).alias("lv")).groupBy("page").agg(F.collect_set("lv").alias("levels"))
+
+
+def _met_within(boxes: DataFrame) -> DataFrame:
+    """Overlapping boxes of one table, each pair once, as columns s.* and b.*."""
+    a = boxes.select("page", "idx", "x0", "y0", "x1", "y1")
+    once = (F.col("s.own") < F.col("s.level")) | (F.col("s.idx") < F.col("b.idx"))
+    return _meet(_probes(a, _used_levels(a), False), _homes(a), once)
+
+
 def overlapping_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """Pairs of boxes on a page that share area: (page, left_idx, right_idx).
 
@@ -104,16 +115,13 @@ def overlapping_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFr
     """
     cols = ["page", "idx", "x0", "y0", "x1", "y1"]
     a = left.select(*cols)
-    used = lambda df: df.select("page", _level(box()).alias("lv")).groupBy("page").agg(F.collect_set("lv").alias("levels"))
     out = lambda df, l, r: df.select(F.col("s.page").alias("page"), F.col(f"{l}.idx").alias("left_idx"), F.col(f"{r}.idx").alias("right_idx"))
     if right is None:
-        home = _homes(a)
-        once = (F.col("s.own") < F.col("s.level")) | (F.col("s.idx") < F.col("b.idx"))
-        pairs = out(_meet(_probes(a, used(a), False), home, once), "s", "b")
+        pairs = out(_met_within(a), "s", "b")
         return pairs.select("page", F.least("left_idx", "right_idx").alias("left_idx"), F.greatest("left_idx", "right_idx").alias("right_idx"))
     b = right.select(*cols)
-    up = out(_meet(_probes(a, used(b), False), _homes(b), F.lit(True)), "s", "b")
-    down = out(_meet(_probes(b, used(a), True), _homes(a), F.lit(True)), "b", "s")
+    up = out(_meet(_probes(a, _used_levels(b), False), _homes(b), F.lit(True)), "s", "b")
+    down = out(_meet(_probes(b, _used_levels(a), True), _homes(a), F.lit(True)), "b", "s")
     return up.unionByName(down)
 
 
@@ -125,9 +133,9 @@ def _with_boxes(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
 
 def text_text_overlap(texts: DataFrame, minimum: float = MIN_OVERLAP) -> DataFrame:
     """Text boxes of one page that overlap by at least a share of the smaller one."""
-    pairs = _with_boxes(overlapping_pairs(texts), texts, texts)
-    ratio = overlap_ratio(box("left_"), box("right_"))
-    return pairs.select("page", "left_idx", "right_idx", ratio.alias("ratio")).where(F.col("ratio") >= minimum)
+    ratio = overlap_ratio(box("s."), box("b."))
+    least, most = F.least("s.idx", "b.idx"), F.greatest("s.idx", "b.idx")
+    return _met_within(texts).select(F.col("s.page").alias("page"), least.alias("left_idx"), most.alias("right_idx"), ratio.alias("ratio")).where(F.col("ratio") >= minimum)
 
 
 def segment_enters(segment: Column, b: Box) -> Column:

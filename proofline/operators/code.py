@@ -56,7 +56,7 @@ GUARDED_RULES: tuple[GuardedRule, ...] = (
                  r"(?:padj|pval|p_value|pvalue)[^\n]{0,50}<=\s*0", r"non.?positive", r"strictly\s+positive|pseudocount|epsilon|eps\b")),
     GuardedRule("PANEL-ALIGNMENT-GATE",
                 ((r"plot_layout\s*\(", r"wrap_plots\s*\(", r"patchworkGrob\s*\(", r"[A-Za-z][A-Za-z0-9_.]*\s*\|\s*[A-Za-z][A-Za-z0-9_.]*"),),
-                (r"(?:require|audit)_(?:[A-Za-z0-9]+_)*panel_alignment\b",), unguarded="FAIL", lang="r"),
+                (r"require_patchwork_panel_alignment\s*\(", r"audit_panel_alignment\.py"), unguarded="FAIL", lang="r"),
 )
 BACKEND_MIX = {"python": (r"\bRscript\b", r"\brpy2\b", r"ggplot2|ComplexHeatmap|patchwork"),
                "r": (r"matplotlib|seaborn|plotly|reticulate::py_run",)}

@@ -110,6 +110,7 @@ def figure_counts(captions: DataFrame, calls: DataFrame) -> DataFrame:
 
 # -- word counts -------------------------------------------------------------------------------
 
+# Stated word counts.
 WORD_COUNT_LINE = r"(?i)^\s*word count\s*:"
 STATED_COUNT = r"(?i)word count\s*:\s*(\d[\d,.    ]*\d|\d)(?:\s*words?\b)?"
 STATED_SCOPE = r"(?i)word count\s*:\s*(?:\d[\d,.    ]*\d|\d)\s*words?\s*\(([^()]*)\)"
@@ -236,6 +237,7 @@ def count_scope(excludes: Column, method: str = "house") -> Column:
 
 # -- limits ------------------------------------------------------------------------------------
 
+# Running title and keyword lines.
 RUNNING_TITLE = r"(?is)^\s*(?:running\s+(?:title|head)|short\s+title)\s*:\s*(.*)$"
 KEYWORDS = r"(?is)^\s*key\s?-?words?\s*:\s*(.*)$"
 

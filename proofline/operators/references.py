@@ -436,6 +436,7 @@ def resolve_placeholders(paras: DataFrame, library: DataFrame, skip_unmapped: bo
 
 # -- links -------------------------------------------------------------------------------------
 
+# Fixed value: a Markdown link.
 LINK = r"\[[^\]\n]+\]\((?:<([^>\n]+)>|([^\s)\n]+))\)"
 UNFINISHED = r"\b(?:TODO|TBD|FIXME|PLACEHOLDER)\b|\[(?:INSERT|REPLACE|FILL IN)\b[^\]\n]*\]"   # fixed values
 

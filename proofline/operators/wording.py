@@ -238,6 +238,25 @@ def reference_spacing(paras: DataFrame, styles: DataFrame, wanted: str, default_
     return off.groupBy("doc_id").agg(F.min(F.struct("para_idx", "line")).alias("m")).select("doc_id", "m.*")
 
 
+@rule("format.reference-spacing")
+def reference_spacing_rule(paras: DataFrame, profile: dict) -> DataFrame:
+    """The profile's ``styles`` is the style table, a frame (doc_id, style, based_on, line); ``paras`` may carry a ``line`` of its own.
+
+    Without either, no spacing is known and nothing is reported.
+    """
+    wanted = (profile.get("formatting") or {}).get("references_line_spacing")
+    styles = profile.get("styles")
+    rows = paras if "line" in paras.columns else paras.withColumn("line", F.lit(None).cast("int"))
+    if styles is None:
+        styles = rows.select("doc_id", "style", F.lit(None).cast("string").alias("based_on"), F.lit(None).cast("int").alias("line")).where("false")
+    if wanted not in LINE_TARGETS or ("line" not in paras.columns and profile.get("styles") is None):
+        off = rows.select("doc_id", "para_idx", "line").where("false")
+    else:
+        off = reference_spacing(rows, styles, wanted)
+    return document_findings(off, "format.reference-spacing", F.concat_ws(" ", F.lit("reference list line spacing is"), F.col("line"), F.lit(f"; wanted {wanted}")),
+                             f"set the reference list to {wanted} spacing", para_idx=F.col("para_idx"))
+
+
 # -- abbreviations -----------------------------------------------------------------------------
 
 # Token and definition forms, exempt tokens, address codes.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from proofline.operators import findings as FX
 from proofline.operators import limits, typography, wording  # noqa: F401  (rules register on import)
 from proofline.operators.units import structured_paragraphs
+from proofline.session import materialise
 
 # House profile: limits and conventions used when a profile leaves a value open.
 DEFAULT_PROFILE = {
@@ -38,7 +39,7 @@ def merge_profile(base: dict, override: dict) -> dict:
 def lint_paragraphs(paras: DataFrame, profile: dict | None = None) -> DataFrame:
     """Findings of every registered rule; a rule function that emits several ids runs once.
 
-    Persist ``paras`` first when they come from an expensive source: each rule family is one pass.
+    Write ``paras`` first (``session.materialise``) when they come from an expensive source: each rule family is one pass.
     """
     full = merge_profile(DEFAULT_PROFILE, profile or {})
     functions = list(dict.fromkeys(FX.REGISTRY.values()))
@@ -46,6 +47,7 @@ def lint_paragraphs(paras: DataFrame, profile: dict | None = None) -> DataFrame:
     return FX.filter_disabled(found, (full.get("lint") or {}).get("disabled_rules") or [])
 
 
-def lint_documents(docs: DataFrame, profile: dict | None = None, persist: bool = True) -> DataFrame:
+def lint_documents(docs: DataFrame, profile: dict | None = None, written: bool = True) -> DataFrame:
+    """Findings over raw documents; the paragraphs are written to the shared folder once, unless ``written`` is false."""
     paras = structured_paragraphs(docs)
-    return lint_paragraphs(paras.persist() if persist else paras, profile)
+    return lint_paragraphs(materialise(paras, "lint-paragraphs") if written else paras, profile)

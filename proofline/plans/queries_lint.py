@@ -437,10 +437,20 @@ def c43(spark, sf):
     return FX.summarise(simple_findings(spark, sf))
 
 
+def all_findings(spark, sf):
+    return lint_paragraphs(materialise(with_italic_lead(paras(spark, sf)), "lint-paragraphs"), PROFILE)
+
+
+@query("lint_summary")
+def lint_summary(spark, sf):
+    """Counts by severity and the status of every document, over every registered rule."""
+    return FX.summarise(all_findings(spark, sf))
+
+
 @query("lint_all_rules")
 def lint_all(spark, sf):
     """Every registered rule over the corpus, counted per rule."""
-    found = lint_paragraphs(materialise(with_italic_lead(paras(spark, sf)), "lint-paragraphs"), PROFILE)
+    found = all_findings(spark, sf)
     return found.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 

@@ -133,16 +133,16 @@ CLEAN = ("A short title\nKeywords: one, two, three, four\n# Abstract\nLevels ros
 
 
 def test_clean_document_has_no_findings_and_leaves_others_alone(spark):
-    assert lint_documents(docs(spark, CLEAN), persist=False).collect() == []
+    assert lint_documents(docs(spark, CLEAN), written=False).collect() == []
     bad = CLEAN.replace("We measured pressure.", "We  measured pressure , p=0.1 .")
-    alone = {tuple(r)[1:] for r in lint_documents(docs(spark, bad), persist=False).collect()}
-    both = {tuple(r)[1:] for r in lint_documents(docs(spark, bad, CLEAN), persist=False).collect()}
+    alone = {tuple(r)[1:] for r in lint_documents(docs(spark, bad), written=False).collect()}
+    both = {tuple(r)[1:] for r in lint_documents(docs(spark, bad, CLEAN), written=False).collect()}
     assert alone == both and {r[1] for r in alone} >= {"typo.double-space", "typo.space-before-punctuation", "stats.p-case"}
 
 
 def test_partitioning_does_not_change_findings(spark, rows):
     source = docs(spark, *[CLEAN.replace("rose", "rose  , by -5") for _ in range(6)])
-    assert rows(lint_documents(source.coalesce(1), persist=False)) == rows(lint_documents(source.repartition(5), persist=False))
+    assert rows(lint_documents(source.coalesce(1), written=False)) == rows(lint_documents(source.repartition(5), written=False))
 
 
 def test_profile_and_disabled_rules(spark):
@@ -160,3 +160,16 @@ def test_count_scope(spark):
     assert [r[0] for r in df.select(L.count_scope(F.col("e"))).collect()] == [
         "excluding references and figure legends", "excluding references and figure legends", "excluding figure legends and references"]
     assert "to the end of Conclusions" in df.select(L.count_scope(F.col("e"), "strict")).head()[0]
+
+
+def test_every_rule_is_registered_and_reference_spacing_is_reported(spark):
+    from proofline.operators import findings as FX
+    from proofline.operators.units import structured_paragraphs
+    from proofline.plans.lint import lint_paragraphs
+
+    assert set(FX.REGISTRY) == set(FX.SEVERITIES)
+    docs = spark.createDataFrame([(1, "# Title\nText\n# References\n1. Doe J. A study. 2001."), (2, "# Title\nText\n# References\n1. Roe J. A study. 2002.")], "doc_id int, text string")
+    styles = spark.createDataFrame([(1, "", None, 480), (2, "", None, 240)], "doc_id int, style string, based_on string, line int")
+    found = lint_paragraphs(structured_paragraphs(docs), {"styles": styles}).where("rule = 'format.reference-spacing'")
+    assert [r.doc_id for r in found.collect()] == [1]
+    assert lint_paragraphs(structured_paragraphs(docs)).where("rule = 'format.reference-spacing'").count() == 0

@@ -32,7 +32,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where it is unset, a local master (one machine, as in tests) gets a folder under its warehouse; on any other
+    Where it is unset, a local master (one machine, as in tests) gets a folder under spark.local.dir; on any other
     master that is an error, as each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -41,7 +41,7 @@ def scratch_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not re.match(r"local($|\[)", master):
         raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-    root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), f"scratch-{uuid.uuid4().hex}")
+    root = os.path.join(spark.conf.get("spark.local.dir", None) or "/tmp", f"spark-{uuid.uuid4().hex}")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 

@@ -141,14 +141,16 @@ def author_checks(records: DataFrame) -> DataFrame:
 
 def collisions(records: DataFrame, keys: list[Column], names: list[str], member: str,
                distinct: bool = False) -> DataFrame:
-    """Groups of records that share a key; size and least member are kept, so no group is collected."""
-    named = [k.alias(n) for k, n in zip(keys, names)]
-    size = F.count_distinct(member) if distinct else F.count("*")
-    out = records.groupBy("doc_id", *named).agg(size.alias("members"), F.min(member).alias("first"))
-    keep = F.col("members") > 1
-    for name in names:
-        keep = keep & F.col(name).isNotNull()
-    return out.where(keep)
+    """Every record that shares a key with another one of its document: the key, the number of members, and the member, one row each.
+
+    Groups are counted with map-side combination and meet their rows again in a join, so no group is collected. Records without a
+    key are left out before anything is shuffled.
+    """
+    rows = records.select("doc_id", *[k.alias(n) for k, n in zip(keys, names)], F.col(member).alias("member")).where(
+        " AND ".join(f"{n} IS NOT NULL" for n in names))
+    rows = rows.distinct() if distinct else rows
+    groups = rows.groupBy("doc_id", *names).agg(F.count("*").alias("members")).where("members > 1")
+    return rows.join(groups, ["doc_id", *names]).select("doc_id", *names, "members", "member")
 
 
 def author_year_collisions(records: DataFrame) -> DataFrame:

@@ -135,20 +135,21 @@ def e10(spark, sf):
 
 
 @query("e11_author_year_collisions", f"""
-SELECT doc_id, lower(split_part(author, ',', 1)) AS author_label, year, count(*) AS members, min(recnum) AS first FROM ({RECORDS_SQL}) GROUP BY ALL HAVING members > 1""")
+SELECT * FROM (SELECT doc_id, lower(split_part(author, ',', 1)) AS author_label, year, count(*) OVER (PARTITION BY doc_id, lower(split_part(author, ',', 1)), year) AS members, recnum AS member
+FROM ({RECORDS_SQL}) WHERE author IS NOT NULL AND year IS NOT NULL) WHERE members > 1""")
 def e11(spark, sf):
     return R.author_year_collisions(records(spark, sf))
 
 
 @query("e12_recnum_collisions", f"""
-SELECT doc_id, recnum, count(DISTINCT db_id) AS members, min(db_id) AS first FROM ({RECORDS_SQL}) GROUP BY ALL HAVING members > 1""")
+SELECT * FROM (SELECT doc_id, recnum, count(*) OVER (PARTITION BY doc_id, recnum) AS members, db_id AS member FROM (SELECT DISTINCT doc_id, recnum, db_id FROM ({RECORDS_SQL}))) WHERE members > 1""")
 def e12(spark, sf):
     return R.recnum_collisions(records(spark, sf))
 
 
 @query("e13_duplicate_ids", f"""
-SELECT doc_id, lower(doi) AS id, count(*) AS members, min(recnum) AS first, 'doi' AS kind FROM ({RECORDS_SQL}) WHERE doi IS NOT NULL GROUP BY ALL HAVING members > 1
-UNION ALL SELECT doc_id, pmid, count(*), min(recnum), 'pmid' FROM ({RECORDS_SQL}) WHERE pmid <> '' GROUP BY ALL HAVING count(*) > 1""")
+SELECT * FROM (SELECT doc_id, lower(doi) AS id, count(*) OVER (PARTITION BY doc_id, lower(doi)) AS members, recnum AS member, 'doi' AS kind FROM ({RECORDS_SQL}) WHERE doi IS NOT NULL) WHERE members > 1
+UNION ALL SELECT * FROM (SELECT doc_id, pmid, count(*) OVER (PARTITION BY doc_id, pmid), recnum, 'pmid' FROM ({RECORDS_SQL}) WHERE pmid <> '') t(doc_id, id, members, member, kind) WHERE members > 1""")
 def e13(spark, sf):
     return R.duplicate_ids(records(spark, sf))
 

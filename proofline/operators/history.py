@@ -294,6 +294,17 @@ def thread_ids(comments: DataFrame, roots: DataFrame) -> DataFrame:
     return reach
 
 
+def thread_comments(comments: DataFrame) -> DataFrame:
+    """Every comment with the top-level comment it hangs below: (doc_id, thread, ...all other columns of comments).
+
+    A comment whose parent does not exist is top-level. Comments on a cycle of parents have no top and are left out.
+    """
+    ids = comments.select("doc_id", F.col("id").alias("parent")).distinct()
+    top = comments.join(ids, ["doc_id", "parent"], "left_anti").select("doc_id", "id")
+    below = thread_ids(comments, top).select("doc_id", F.col("root").alias("thread"), "id")
+    return below.join(comments, ["doc_id", "id"])
+
+
 def anchor_texts(runs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Text between the start and end markers of each comment: runs in order, paragraphs joined by a line break.
 

@@ -380,6 +380,11 @@ def verdict_rollup(valid: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("field_index").alias("first_field"))
 
 
+def action_fields(valid: DataFrame) -> DataFrame:
+    """Every field that a verdict asks to act on: (suggested_action, field_index), one row each."""
+    return valid.where("suggested_action IS NOT NULL AND suggested_action <> 'NONE'").select("suggested_action", "field_index").distinct()
+
+
 def not_judged(items: DataFrame, valid: DataFrame) -> DataFrame:
     return items.select("field_index").distinct().join(valid.select("field_index"), "field_index", "left_anti")
 

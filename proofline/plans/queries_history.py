@@ -188,6 +188,16 @@ def g13(spark, sf):
         "conv_id AS doc_id", "turn AS id", "CASE WHEN turn % 3 = 1 THEN turn - 1 WHEN turn % 3 = 2 THEN turn + 90 END AS parent", "role AS author", "turn % 2 = 0 AS done"))
 
 
+@query("g13_thread_comments", """
+WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn % 3 = 1 THEN turn - 1 WHEN turn % 3 = 2 THEN turn + 90 END AS parent, role AS author, text FROM conversations),
+b AS (SELECT doc_id, id AS thread, id FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.doc_id = c.doc_id AND p.id = c.parent) UNION ALL SELECT c.doc_id, b.thread, c.id FROM c JOIN b ON c.doc_id = b.doc_id AND c.parent = b.id)
+SELECT doc_id, thread, id, parent, author, sha256(text) AS text FROM b JOIN c USING (doc_id, id)""")
+def g13_comments(spark, sf):
+    comments = table(spark, sf, "conversations").selectExpr(
+        "conv_id AS doc_id", "turn AS id", "CASE WHEN turn % 3 = 1 THEN turn - 1 WHEN turn % 3 = 2 THEN turn + 90 END AS parent", "role AS author", "text")
+    return H.thread_comments(comments).withColumn("text", F.sha2("text", 256))
+
+
 @query("g14_thread_ids", """
 WITH RECURSIVE c AS (SELECT conv_id AS doc_id, turn AS id, CASE WHEN turn > 0 THEN turn - 1 - (conv_id % 2) * (turn % 2) END AS parent FROM conversations),
 b AS (SELECT doc_id, id AS root, id FROM c WHERE id % 3 = 0 UNION ALL SELECT c.doc_id, b.root, c.id FROM c JOIN b ON c.doc_id = b.doc_id AND c.parent = b.id)

@@ -338,6 +338,11 @@ def e25(spark, sf):
     return R.verdict_rollup(valid_verdicts(spark, sf)[0])
 
 
+@query("e25_action_fields", VERDICT_SQL + "SELECT DISTINCT suggested_action, field_index FROM ok WHERE suggested_action <> 'NONE'")
+def e25_fields(spark, sf):
+    return R.action_fields(valid_verdicts(spark, sf)[0])
+
+
 @query("e26_not_judged", VERDICT_SQL + "SELECT c_custkey AS field_index FROM customer WHERE c_custkey NOT IN (SELECT field_index FROM ok)")
 def e26(spark, sf):
     valid, items = valid_verdicts(spark, sf)

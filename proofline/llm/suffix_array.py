@@ -14,8 +14,8 @@ Array = np.ndarray
 def small_suffixes(text: Array) -> Array:
     """Which suffixes are smaller than the next one. The last letter must be the only least one."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    after = differs[np.searchsorted(differs, np.arange(n - 1))]
+    places = np.where(text[:-1] != text[1:], np.arange(n - 1), n)
+    after = np.minimum.accumulate(places[::-1])[::-1]        # where the run of equal letters ends
     return np.append(text[after] < text[after + 1], True)
 
 
@@ -25,26 +25,28 @@ def induce(text: Array, small: Array, leftmost: Array, letters: int) -> Array:
     seeds = _dealt(leftmost, text[leftmost], letters)
     large: list[list[Array]] = [[] for _ in n_range]
     for c in n_range:                                   # upwards: large suffixes from what is to their right
-        at = 0
-        while at < len(large[c]):
-            _push(text, small, large[c][at], False, large)
-            at += 1
+        large[c] = [_drained(text, small, large, c, False)]
         if len(seeds[c]):
             _push(text, small, seeds[c], False, large)
     lesser: list[list[Array]] = [[] for _ in n_range]
     for c in reversed(n_range):                         # downwards: small suffixes, each bucket from its end
-        at = 0
-        while at < len(lesser[c]):
-            _push(text, small, lesser[c][at], True, lesser)
-            at += 1
-        for part in reversed(large[c]):
-            _push(text, small, part[::-1], True, lesser)
-    out = []
+        lesser[c] = [_drained(text, small, lesser, c, True)]
+        _push(text, small, large[c][0][::-1], True, lesser)
+    out = [np.array([len(text) - 1])]                   # nothing precedes the last letter's own suffix
     for c in n_range:
-        out += large[c]
-        out += [part[::-1] for part in reversed(lesser[c])]
-    order = np.concatenate(out) if out else np.empty(0, np.int64)
-    return np.concatenate(([len(text) - 1], order))     # nothing precedes the last letter's own suffix
+        out += [large[c][0], lesser[c][0][::-1]]
+    return np.concatenate(out)
+
+
+def _drained(text: Array, small: Array, buckets: list[list[Array]], c: int, kind: bool) -> Array:
+    """All entries of bucket ``c``, those that its own entries add included: a wave for each repetition of the letter."""
+    waves = []
+    while buckets[c]:
+        wave = np.concatenate(buckets[c])
+        buckets[c] = []
+        waves.append(wave)
+        _push(text, small, wave, kind, buckets)
+    return np.concatenate(waves) if waves else np.empty(0, np.int64)
 
 
 def _push(text: Array, small: Array, known: Array, kind: bool, buckets: list[list[Array]]) -> None:
@@ -59,7 +61,7 @@ def _grouped(places: Array, letters: Array):
     if len(places) < 2 or (letters[0] == letters).all():
         yield int(letters[0]), places
         return
-    order = np.argsort(letters, kind="stable")
+    order = np.argsort(letters.astype(np.uint16), kind="stable")   # a radix sort
     places, letters = places[order], letters[order]
     cuts = np.flatnonzero(np.diff(letters)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):

@@ -22,7 +22,8 @@ from proofline.llm.common import covered, materialise, mixed, read_table, runs_o
 from proofline.llm.repeats import gather_ranges, identified, repeated_segments, with_ranges
 from proofline.llm.suffix_array import repeated_starts
 
-WIDTH, GRAM = 400, 16
+#: Anchors are half a string long: segments that share one are likely to share whole strings, so few are sorted in vain.
+WIDTH, GRAM = 400, 200
 #: Bytes sorted at once, and distinct segments of one anchor that may be sorted together.
 SHARD_BYTES, GROUP = 1 << 20, 300
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -99,7 +100,8 @@ def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
     unlike = materialise(live.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.max("inner").alias("inner")), "segments")
     equal = unlike.where("copies > 1").select("anchor", "segment")
     whole = live.join(equal, ["anchor", "segment"], "left_semi").select("doc_id", "text_key", "start", (F.col("start") + F.col("n") + (width - 1)).alias("end"))
-    groups = unlike.groupBy("anchor").agg(F.count("*").alias("k"), F.max("inner").alias("inner"), F.sum(F.col("first.n") + (width - 1)).alias("bytes")).where("k > 1 OR inner")
+    groups = unlike.groupBy("anchor").agg(F.count("*").alias("k"), F.max("inner").alias("inner"), F.sum(F.col("first.n") + (width - 1)).alias("bytes"),
+                                           F.min("copies").alias("fewest")).where("fewest = 1 AND (k > 1 OR inner)")   # where all have copies, all is settled
     groups = materialise(groups.select("anchor", "k", "bytes"), "segments")
     total = groups.where(F.col("k") <= group).agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))

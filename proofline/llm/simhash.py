@@ -24,6 +24,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints sampled for the tree, and how many may share a leaf of it (counted in the whole table, by estimate).
 SAMPLE, LEAF = 20_000, 400
 BLOCK = 192
+#: Fingerprints placed by a task, leaves searched by a task.
+PLACED, LEAVES_A_TASK = 50_000, 24
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -81,6 +83,10 @@ def build_tree(sample: np.ndarray, leaf: float, radius: int, seed: int = 7):
     return grow(sample, 0)
 
 
+def leaf_count(tree) -> int:
+    return 1 if isinstance(tree, int) else leaf_count(tree[2]) + leaf_count(tree[3])
+
+
 def leaves_of(prints: np.ndarray, tree, radius: int):
     """(leaf, prints) for every leaf that a fingerprint belongs to."""
     if isinstance(tree, int):
@@ -130,15 +136,20 @@ def links(prints: DataFrame, *, radius: int = RADIUS, sample: int = SAMPLE, leaf
 
     def place(frames):
         for frame in frames:
-            for number, own in leaves_of(frame["print"].to_numpy(np.int64).view(np.uint64), shared.value, radius):
-                yield pd.DataFrame({"leaf": np.full(len(own), number, np.int32), "print": own.view(np.int64)})
+            found = list(leaves_of(frame["print"].to_numpy(np.int64).view(np.uint64), shared.value, radius))
+            if not found:
+                continue
+            sizes = [len(own) for _, own in found]
+            yield pd.DataFrame({"leaf": np.repeat(np.array([n for n, _ in found], np.int32), sizes), "print": np.concatenate([own for _, own in found]).view(np.int64)})
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         own = np.sort(frame["print"].to_numpy(np.int64)).view(np.uint64)
         edges = np.array(local_groups(own, radius), np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return prints.mapInPandas(place, "leaf int, print bigint").groupBy("leaf").applyInPandas(meet, "a bigint, b bigint")
+    # numbers are small but work is not: tasks are counted in fingerprints and leaves, not in bytes
+    spread = prints.repartition(max(1, total // PLACED), "print").mapInPandas(place, "leaf int, print bigint")
+    return spread.repartition(max(1, leaf_count(tree) // LEAVES_A_TASK), "leaf").groupBy("leaf").applyInPandas(meet, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -265,6 +265,11 @@ def test_search_equals_brute_force(docs, none):
     assert search.search(none, F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_search_does_not_depend_on_shards_and_blocks(docs):
+    ask = lambda **bounds: sorted((tuple(r) for r in search.search(docs, F.col("doc_id") % 3 == 0, **bounds).collect()), key=repr)
+    assert ask() == ask(shard_rows=50, block_words=40)
+
+
 def test_wand_is_exact():
     rng = np.random.default_rng(8)
     for _ in range(200):

@@ -265,6 +265,23 @@ def test_search_equals_brute_force(docs, none):
     assert search.search(none, F.col("doc_id") % 20 == 0).count() == 0
 
 
+def test_search_takes_every_word_by_default(spark):
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join(common[i:] + [f"own{i}"]) for i in range(30)] + ["alone here", ""]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = [Counter(t.encode().split()) for t in texts]
+    df = Counter(w for c in counts for w in c)
+    n, mean = len(texts), sum(sum(c.values()) for c in counts) / len(texts)
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    got = defaultdict(list)
+    for r in search.search(frame, F.col("doc_id") % 5 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["doc_id"], round(r["score"], 9)))
+    for q in (0, 5, 10, 15, 20, 25, 30):
+        scores = [(-sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in counts[q] if w in c), d) for d, c in enumerate(counts)]
+        expected = [(k + 1, d, round(-s, 9)) for k, (s, d) in enumerate(sorted(x for x in scores if x[0] < 0)[:10])]
+        assert got[q] == expected, q
+
+
 def test_search_does_not_depend_on_shards_and_blocks(docs):
     ask = lambda **bounds: sorted((tuple(r) for r in search.search(docs, F.col("doc_id") % 3 == 0, **bounds).collect()), key=repr)
     assert ask() == ask(shard_rows=50, block_words=40)

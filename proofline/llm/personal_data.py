@@ -103,8 +103,12 @@ def may_be_spelled(text: str) -> bool:
         a in known and (b in known or b[0].isdigit()) or b in known and a[0].isdigit() for a, b in zip(words, words[1:], strict=False))
 
 
+SPACED_SIGN = re.compile(r"\s@|@\s")
+
+
 def may_be_disguised(text: str) -> bool:
-    return any(sign in text for sign in "([{<") or "dot" in text.lower()
+    """Whether a bracket, "dot" or a sign with white space beside it stands in the text; cheap, and never wrongly false."""
+    return any(sign in text for sign in "([{<") or "dot" in text.lower() or "@" in text and SPACED_SIGN.search(text) is not None
 
 
 class Mapped:

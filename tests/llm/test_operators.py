@@ -190,6 +190,15 @@ def test_personal_data(spark, docs, none):
     assert personal_data.find_personal_data(docs).count() == len(corpus()) and personal_data.find_personal_data(none).count() == 0
 
 
+def test_each_disguise_alone_is_found():
+    for address in ("john @ example.com", "john @example.com", "john@ example.com", "john\t@\nexample.com", "john [at] example.com", "john {@} example.com", "john at example dot com", "john@example dot com"):
+        for text in (address, f"mail {address} now", f"(mail) {address} now"):
+            start = text.index(address)
+            base, added = personal_data.find_spans(text)
+            assert personal_data._named(base + added) == [f"email:{start}:{start + len(address)}"], text
+            assert personal_data.redacted(text) == text.replace(address, "<EMAIL>")
+
+
 def test_plain_spans_equal_patterns():
     rng = random.Random(2)
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

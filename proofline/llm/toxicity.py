@@ -38,7 +38,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 # fixed values: letters that figures and signs stand for
 LEET = str.maketrans("01345789@$!|+", "oieastbgasiit")
 OBFUSCATED = re.compile(r"[^\W\d_]+[0-9@$!|*+]+[^\W\d_]+|(?<![\w@$])[@$][^\W\d_]{3,}")
-SPACED = re.compile(r"(?<!\w)(?:\w[ .*-]){3,}\w(?!\w)")
+SPACED = re.compile(r"(?<!\w)\w(?:[ .*-]\w(?!\w)){3,}+")   # possessive: linear, and keeps no state for a long run
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 UPPER = bytes(range(65, 91))
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -103,7 +103,7 @@ def features_of(text: str, scorer: Scorer) -> list[float]:
         right = np.searchsorted(second, strong)
         gap = np.minimum(np.abs(strong - second[np.minimum(right, len(second) - 1)]), np.abs(strong - second[np.maximum(right - 1, 0)]))
         near = int((gap <= NEAR).sum())
-    obfuscated = OBFUSCATED.findall(text) + (SPACED.findall(text) if len(raw) < 1 << 20 else [])
+    obfuscated = OBFUSCATED.findall(text) + SPACED.findall(text)
     plain = [re.sub(r"[ .*-]", "", w).lower().translate(LEET) for w in obfuscated]
     hidden = sum(scorer[w] >= STRONG for w in plain)
     count = lambda signs: len(raw) - len(raw.translate(None, signs))

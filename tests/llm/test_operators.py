@@ -351,3 +351,16 @@ def test_toxicity_learns_and_never_sees_held_out_labels(spark, none):
     assert all((got[i] >= toxicity.THRESHOLD) == (i % 5 == 0) for i in range(400))
     assert toxicity.fit(frame, table.limit(0)).score(frame).agg(F.max("score")).first()[0] == 0
     assert model.score(none.select("doc_id", "text")).count() == 0
+
+
+def test_spaced_words_count_in_texts_of_any_length():
+    scorer = toxicity.Scorer({"idiot": 5.0})
+    at = [toxicity.FEATURES.index(name) for name in ("obfuscated", "hidden hits")]
+    for filler in (10, 1_000_000):                          # the second text is over 1 MiB
+        got = toxicity.features_of("i d i o t " + "it " * filler, scorer)
+        assert [got[i] for i in at] == [100 / (filler + 5)] * 2
+    plain = re.compile(r"(?<!\w)(?:\w[ .*-]){3,}\w(?!\w)")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab_é .*-,") for _ in range(rng.randint(0, 60)))
+        assert toxicity.SPACED.findall(text) == plain.findall(text)

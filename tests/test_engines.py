@@ -33,3 +33,20 @@ def test_stream_replay_equals_batch(spark, rows):
     queries = entry_module.queries()
     batch, stream = queries["g1_history_fold"](spark, SF), queries["k2_history_fold_stream"](spark, SF)
     assert rows(batch.select(sorted(batch.columns))) == rows(stream.select(sorted(batch.columns)))
+
+
+def test_catalogue_loads_without_the_training_data_part(tmp_path):
+    """In a copy without the optional folders, the entry module lists the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "proofline", tmp_path / "proofline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 200 and set(s) <= set(q) and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm.byte_bpe import op6_byte_bpe
+from proofline.llm.conversations import op12_conversation_repair
 from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.language_model import op7_language_scores
 from proofline.llm.personal_data import op5_personal_data
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: A window is known by its words; the other operators need places of matches, 64-bit hashes, token ids or learned models.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm.byte_bpe import op6_byte_bpe
+from proofline.llm.clusters import clusters_sql, op11_centroid_clusters
 from proofline.llm.conversations import op12_conversation_repair
 from proofline.llm.decontamination import op9_decontamination
 from proofline.llm.language_model import op7_language_scores
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_centroid_clusters": op11_centroid_clusters,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
@@ -63,4 +65,5 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 EQUIVALENT_SQL: dict[str, str] = {
     "op4_substring_dedup": WORD_REPEATS_SQL,
     "op9_decontamination": CONTAMINATION_SQL,
+    "op11_centroid_clusters": clusters_sql(),
 }

@@ -10,6 +10,7 @@ from proofline.llm.byte_bpe import op6_byte_bpe
 from proofline.llm.clusters import clusters_sql, op11_centroid_clusters
 from proofline.llm.conversations import op12_conversation_repair
 from proofline.llm.decontamination import op9_decontamination
+from proofline.llm.embedding_dedup import op13_embedding_dedup
 from proofline.llm.language_model import op7_language_scores
 from proofline.llm.personal_data import op5_personal_data
 from proofline.llm.search import op1_topk_search
@@ -34,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 #: A window is known by its words; the other operators need places of matches, 64-bit hashes, token ids or learned models.

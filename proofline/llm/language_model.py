@@ -81,15 +81,23 @@ class Vocabulary:
 
 def learn_vocabulary(counts: DataFrame, heavy: int = HEAVY) -> Vocabulary:
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.select("word", "n").orderBy(F.desc("n"), "word").limit(heavy).toPandas()
+    # the count from which at most ``heavy`` words are left, to a sixteenth of a power of two: a few hundred rows, then ``heavy`` at most
+    level = F.floor(F.log2("n") * 16).cast("int")
+    cut, room = 0, heavy
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if (room := room - r["count"]) < 0:
+            cut = r["level"] + 1
+            break
+    top = counts.where(level >= cut).select("word", "n").toPandas()
     words, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    single = {int(w): i for i, w in enumerate(words[:SINGLE].tolist())}
+    first = counts.orderBy(F.desc("n"), "word").limit(SINGLE).collect()
+    single = {r["word"]: i for i, r in enumerate(first)}
     rest = counts.where(~F.col("word").isin(list(single))) if single else counts
     common = rest.groupBy("ending").agg(F.sum(F.col("n") + 1).alias("size")).orderBy(F.desc("size"), "ending").limit(ENDINGS).collect()
     endings = {r["ending"]: SINGLE + i for i, r in enumerate(common)}
     sizes = np.ones(CLASSES)
-    for i, value in enumerate(n[:SINGLE].tolist()):
-        sizes[i] += value + 1
+    for i, r in enumerate(first):
+        sizes[i] += r["n"] + 1
     for r in common:
         sizes[endings[r["ending"]]] += r["size"]
     sizes[CLASSES - 1] += tokens + types - (sizes[:-1] - 1).sum()

@@ -2,7 +2,8 @@
 
 Every stage reads all that the one before has kept, written as Parquet, and decides over whole texts and the whole table. All
 but the last return the columns of documents. Defined results: NULL texts count as empty and stay NULL; rows with a NULL id are
-never dropped as duplicates; repeated rows of one id leave one row after the second stage; columns beyond those of documents are kept.
+never dropped as duplicates; rows of one id are told apart by their texts, and equal ones leave one row after the second stage; columns
+beyond those of documents are kept.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the least id."""
-    groups = materialise(simhash.near_duplicates(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    """Of each group of linked fingerprints the document with the least id (of unlike texts of that id in the group, one)."""
+    rows = materialise(simhash.near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    gone = rows.join(first, "component").where(F.struct("doc_id", "text_key") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    if rows.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

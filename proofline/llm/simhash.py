@@ -46,10 +46,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print bigint) per row."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """(doc_id, text_key, print bigint) per row; text_key is a hash of the text, which tells rows of one id apart."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_key"), F.col(f"`{text}`").alias("text"))
     make = lambda: lambda texts: [[fingerprint(t, shingle) for t in texts]]
-    return annotate(rows, "text", make, [("print", "bigint")], keep=["doc_id"])
+    return annotate(rows, "text", make, [("print", "bigint")], keep=["doc_id", "text_key"])
 
 
 def distance(prints: np.ndarray, point: int) -> np.ndarray:
@@ -130,7 +130,8 @@ def links(prints: DataFrame, *, radius: int = RADIUS, sample: int = SAMPLE, leaf
     """Edges (a, b) that connect exactly the distinct fingerprints (column ``print``) linked within ``radius``."""
     spark = prints.sparkSession
     total = prints.count()
-    some = prints.orderBy(F.xxhash64("print")).limit(sample).collect()
+    share = int((1 << 30) * min(1.0, sample / max(total, 1)))
+    some = prints.where(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < share).collect()     # about ``sample`` rows, by hash
     tree = build_tree(np.array([r[0] for r in some], np.int64).view(np.uint64), leaf * min(1.0, sample / max(total, 1)), radius)
     shared = spark.sparkContext.broadcast(tree)                  # at most twice as many splits as sampled fingerprints
 
@@ -153,7 +154,8 @@ def links(prints: DataFrame, *, radius: int = RADIUS, sample: int = SAMPLE, leaf
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, print, component_id) per row: component_id is the least doc_id reachable over links, its own included.
+    """(doc_id, text_key, print, component, component_id) per row: component_id is the least doc_id reachable over links, its own included;
+    component is the least fingerprint reachable, which tells apart groups whose least id is that of rows with unlike texts.
 
     Equal fingerprints are one node, so copies of any number cost one row after their first aggregation.
     """
@@ -162,9 +164,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     groups = connected_components(links(nodes.select("print"), radius=radius))
     named = groups.join(nodes.withColumnRenamed("print", "node"), "node")
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = named.join(names, "component").select(F.col("node").alias("print"), "component_id")
-    of_print = nodes.join(of_print, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(materialise(of_print, "fingerprints"), "print").select("doc_id", "print", "component_id")
+    of_print = named.join(names, "component").select(F.col("node").alias("print"), "component", "component_id")
+    of_print = nodes.join(of_print, "print", "left").select("print", F.coalesce("component", "print").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(materialise(of_print, "fingerprints"), "print").select("doc_id", "text_key", "print", "component", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

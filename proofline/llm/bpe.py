@@ -42,7 +42,7 @@ class Encoder:
     """Ids of pre-tokens by a rank table in which a token's id is its rank. Results are remembered; the memory is emptied
     when it holds ``remember`` pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], remember: int = 1 << 18):
+    def __init__(self, ranks: dict[bytes, int], remember: int = 1 << 16):
         self.ranks, self.remember, self.known = ranks, remember, {}
         self.bytes_to_ids = [ranks[bytes([b])] for b in range(256)]
         #: Left id << 20 | right id, to the id of the two joined, for every way to cut a token in two tokens.

@@ -85,7 +85,7 @@ class Scorer(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 80_000:
             self.clear()
         value = self[word] = max((self.lexicon.get(s, 0.0) for s in stems_of(word)), default=0.0)
         return value

@@ -1,56 +1,147 @@
-"""Which tokens of two versions are the same, as joins and windows: no pair of versions is compared in one Python call.
+"""Which tokens of two versions are the same: joins find equal tokens, windows and folds keep a longest run of them in order.
 
-A token that occurs once in both versions of an id is an anchor, unless it crosses another one. Between anchors the k-th
-copy of a token meets the k-th copy, again unless pairs cross. What is matched is in order on both sides; the rest has changed.
+Each version of an id is an array of tokens. The common head and tail are cut off inside the row. What is left (the core) becomes rows; equal
+tokens of an id meet in a join, and a longest chain of pairs that rises in both versions is kept, so as many tokens as possible are
+matched and a token that moves unmatches no other. Of several longest chains the least is taken. A core with very many equal
+pairs is first cut at the longest chain of tokens that occur once in both versions; where a stretch between two of them still
+has too many (it repeats a few tokens for long), only pairs of near places are chained, so more may be reported as changed there.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def uncrossed(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, a, b) that are in order with every other row of their keys."""
-    order = Window.partitionBy(*keys).orderBy("a")
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    ranked = pairs.withColumns({"_high": F.max("b").over(before), "_low": F.min("b").over(after)})
-    return ranked.where((F.col("b") == F.col("_high")) & (F.col("b") == F.col("_low"))).drop("_high", "_low")
-
-
-def in_gaps(rows: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-    """The unmatched rows (id, pos, ...) with ``gap``, the number of matched rows before them on their side."""
-    own = matched.select(F.col("id"), F.col(side).alias("pos"), F.lit(1).alias("_m"))
-    marked = rows.join(own, ["id", "pos"], "left").withColumn("gap", F.count("_m").over(Window.partitionBy("id").orderBy("pos")))
+from pyspark.sql.types import ArrayType, LongType
+
+from proofline.session import materialise
+
+#: Equal pairs of a core that are chained at once.
+MAX_PAIRS = 1 << 20
+#: How far apart equal tokens may stand in a stretch that repeats a few tokens so often that their pairs exceed MAX_PAIRS.
+BAND = 64
+#: A pair of places is one number: the old place in the high half, the new one in the low half.
+_HALF = 1 << 32
+
+
+def least_longest_chain(codes: np.ndarray) -> np.ndarray:
+    """Of sorted pairs of places, a longest chain that rises in both, least in order; n log n."""
+    firsts, seconds = (codes >> 32).tolist(), (codes & (_HALF - 1)).tolist()
+    tops: list[int] = []                                 # negated: the largest second place from which a chain of k + 1 starts
+    lengths = [0] * len(firsts)
+    i = len(firsts)
+    while i:
+        j = i
+        while j and firsts[j - 1] == firsts[i - 1]:
+            j -= 1
+        for k in range(j, i):                            # pairs of one first place, by rising second place, cannot follow each other
+            at = bisect_left(tops, -seconds[k])
+            lengths[k] = at + 1
+            if at == len(tops):
+                tops.append(-seconds[k])
+            elif -seconds[k] < tops[at]:
+                tops[at] = -seconds[k]
+        i = j
+    want, first, second, chain = len(tops), -1, -1, []
+    for k, length in enumerate(lengths):
+        if length == want and firsts[k] > first and seconds[k] > second:
+            want, first, second = want - 1, firsts[k], seconds[k]
+            chain.append(k)
+    return codes[chain]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _chains(codes: pd.Series) -> pd.Series:
+    return codes.map(least_longest_chain)
+
+
+def longest_chains(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, a, b) of one longest chain per keys that rises in a and in b."""
+    code = F.col("a").cast("bigint") * _HALF + F.col("b")
+    chained = pairs.groupBy(*keys).agg(_chains_input(code).alias("codes")).select(*keys, F.explode(_chains("codes")).alias("code"))
+    return chained.select(*keys, F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(_HALF - 1).cast("int").alias("b"))
+
+
+def _chains_input(code: Column) -> Column:
+    return F.sort_array(F.collect_list(code))
+
+
+def _gapped(rows: DataFrame, chain: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Rows (keys, side, token) that the chain does not hold, with the number of chain rows before them as one more key."""
+    own = chain.select(*keys, side, F.lit(1).alias("_m"))
+    marked = rows.join(own, [*keys, side], "left").withColumn("gap", F.count("_m").over(Window.partitionBy(*keys).orderBy(side)))
     return marked.where("_m IS NULL").drop("_m")
 
 
-def matched_tokens(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, a, b): places of equal tokens in both versions, given rows (id, pos, token) of each."""
-    once = lambda df, name: df.groupBy("id", "token").agg(F.min("pos").alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    anchors = uncrossed(once(old, "a").join(once(new, "b"), ["id", "token"]).select("id", "a", "b"), ["id"])
-    copy = Window.partitionBy("id", "gap", "token").orderBy("pos")
-    left, right = (in_gaps(df, anchors, side).withColumn("k", F.row_number().over(copy)).withColumnRenamed("pos", side).select("id", "gap", "token", "k", side)
-                   for df, side in ((old, "a"), (new, "b")))
-    rest = uncrossed(left.join(right, ["id", "gap", "token", "k"]).select("id", "gap", "a", "b"), ["id", "gap"])
-    return anchors.unionByName(rest.select("id", "a", "b"))
-
-
-def token_rows(texts: DataFrame, text: str, pattern: str) -> DataFrame:
-    """(id, pos, token): the matches of a pattern that covers every character; pos counts the characters before."""
-    rows = texts.select("id", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("k", "token"))
-    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("id", F.coalesce(F.sum(F.char_length("token")).over(before), F.lit(0)).cast("int").alias("pos"), "token")
-
-
-def changed_spans(pairs: DataFrame, matched: DataFrame) -> DataFrame:
-    """(id, old_start, old_end, new_start, new_end) between matched tokens (id, a, b, size); ``pairs`` has id, old and new."""
-    ends = pairs.select("id", F.char_length("old").alias("a"), F.char_length("new").alias("b"), F.lit(0).alias("size"))
-    order = Window.partitionBy("id").orderBy("a", "b")
-    after = lambda c: F.coalesce(F.lag(F.col(c) + F.col("size")).over(order), F.lit(0))
-    rows = matched.select("id", "a", "b", "size").unionByName(ends).select(
-        "id", after("a").alias("old_start"), F.col("a").alias("old_end"), after("b").alias("new_start"), F.col("b").alias("new_end"))
-    return rows.where("old_end > old_start OR new_end > new_start")
+def _near_pairs(left: DataFrame, right: DataFrame, keys: list[str], band: int = BAND) -> DataFrame:
+    """(keys, a, b) of equal tokens whose places, counted from the start or from the end of the gap, lie at most ``band`` apart."""
+    def near(order):
+        placed = lambda df, side: df.withColumn(f"_{side}", F.row_number().over(Window.partitionBy(*keys).orderBy(order(side))))
+        cell = F.floor(F.col("_a") / band).cast("int")
+        cells = placed(left, "a").withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+        met = cells.join(placed(right, "b").withColumn("_cell", F.floor(F.col("_b") / band).cast("int")), [*keys, "token", "_cell"])
+        return met.where(F.abs(F.col("_a") - F.col("_b")) <= band).select(*keys, "a", "b")
+    return near(F.asc).union(near(F.desc)).distinct()
+
+
+def _matched_rows(left: DataFrame, right: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, a, b) of the matched tokens of rows (keys, a, token) and (keys, b, token)."""
+    once = lambda df, side: df.groupBy(*keys, "token").agg(F.count("*").alias(f"n{side}"), F.min(side).alias(side))
+    both = materialise(once(left, "a").join(once(right, "b"), [*keys, "token"]), "tokens")
+    weights = both.groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("_w"))
+    large = materialise(weights.where(F.col("_w") > limit).drop("_w"), "tokens")
+    if large.isEmpty():
+        return longest_chains(left.join(right, [*keys, "token"]), keys)
+    small = longest_chains(left.join(large, keys, "left_anti").join(right, [*keys, "token"]), keys)
+    left, right = (materialise(df.join(large, keys, "left_semi"), "tokens") for df in (left, right))
+    if "gap" in keys:                                    # few tokens, each very often
+        return small.unionByName(longest_chains(_near_pairs(left, right, keys), keys))
+    chain = materialise(longest_chains(both.where("na = 1 AND nb = 1").join(large, keys, "left_semi"), keys), "tokens")
+    inner = _matched_rows(_gapped(left, chain, keys, "a"), _gapped(right, chain, keys, "b"), [*keys, "gap"], limit)
+    return small.unionByName(chain).unionByName(inner.drop("gap"))
+
+
+def cores(pairs: DataFrame) -> DataFrame:
+    """(id, head, x, y) of (id, x, y): what is left of two arrays of tokens behind a common head and before a common tail."""
+    common = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda p, q: ~p.eqNullSafe(q)), True).cast("int"), F.lit(0)) - 1, F.size(a))
+    rows = pairs.select("id", "x", "y", common("x", "y").alias("head"))
+    rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
+    rows = rows.select("id", "head", rest("x").alias("x"), rest("y").alias("y"))
+    rows = rows.withColumn("_tail", common(F.reverse("x"), F.reverse("y")))
+    return rows.select("id", "head", *[F.slice(c, 1, F.size(c) - F.col("_tail")).alias(c) for c in ("x", "y")])
+
+
+def matched_in_cores(core: DataFrame, limit: int = MAX_PAIRS) -> DataFrame:
+    """(id, a, b): places of matched tokens within the cores (id, head, x, y), counted from 0."""
+    side = lambda c, name: core.where((F.size("x") > 0) & (F.size("y") > 0)).select("id", F.posexplode(c).alias(name, "token"))
+    return _matched_rows(side("x", "a"), side("y", "b"), ["id"], limit)
+
+
+def tokens(text: str, pattern: str) -> Column:
+    """The matches of a pattern that covers every character."""
+    return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+
+
+def changed_runs(core: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, a0, a1, b0, b1): runs of tokens between matched ones that differ, as places in the whole arrays; one row per id enters, no window."""
+    held = matched.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("m"))
+    ends = F.struct(F.size("x").alias("a"), F.size("y").alias("b"))
+    rows = core.join(held, "id", "left").select("id", "head", F.concat(F.coalesce("m", F.array().cast("array<struct<a:int,b:int>>")), F.array(ends)).alias("m"))
+    before = lambda i, f: F.when(i == 0, 0).otherwise(F.get("m", i - 1)[f] + 1)
+    runs = F.filter(F.transform("m", lambda p, i: F.struct(before(i, "a").alias("a0"), p["a"].alias("a1"), before(i, "b").alias("b0"), p["b"].alias("b1"))),
+                    lambda r: (r["a1"] > r["a0"]) | (r["b1"] > r["b0"]))
+    rows = rows.select("id", "head", F.explode(runs).alias("r"))
+    return rows.select("id", *[(F.col(f"r.{c}") + F.col("head")).alias(c) for c in ("a0", "a1", "b0", "b1")])
+
+
+def character_spans(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, old_start, old_end, new_start, new_end) of runs of tokens; ``pairs`` has id and the arrays x and y."""
+    at = lambda c, k: F.char_length(F.array_join(F.slice(c, F.lit(1), F.col(k)), ""))
+    return runs.join(pairs.select("id", "x", "y"), "id").select(
+        "id", at("x", "a0").alias("old_start"), at("x", "a1").alias("old_end"), at("y", "b0").alias("new_start"), at("y", "b1").alias("new_end"))
 
 
 def join_close(changes: DataFrame) -> DataFrame:
@@ -74,24 +165,39 @@ def join_close(changes: DataFrame) -> DataFrame:
     return rows.groupBy("id", "_group").agg(*[f(c).alias(c) for f, c in ((F.min, "old_start"), (F.max, "old_end"), (F.min, "new_start"), (F.max, "new_end"))]).drop("_group")
 
 
-def similar_paragraphs(old: DataFrame, new: DataFrame) -> DataFrame:
+def similar_paragraphs(old: DataFrame, new: DataFrame, share: float = 0.5) -> DataFrame:
     """(id, gap, a, b) of unmatched paragraphs (id, gap, pos, text) of one gap that are versions of each other.
 
-    Candidates share a word that only one paragraph of the gap on either side has, so a word makes one candidate at most. Two
-    are versions if at least half their distinct words agree (twice the common over the sum), each is the other's best, and no such pairs cross.
+    In order, each old paragraph takes the most alike of the new ones behind the last one taken (of equals, the last), if that is alike enough:
+    twice the distinct words in common over the sum of both. Candidates share one of their rarest words of the gap: two
+    paragraphs that are alike enough have at least share / (2 - share) of either's words in common, so a shared word stands among
+    all but that many of either's rarest; no pair is missed, and no word has to be unique.
     """
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
-    own = lambda df, name: df.select("id", "gap", F.col("pos").alias(name), words.alias(f"w{name}"))
-    left, right = own(old, "a"), own(new, "b")
-    rare = lambda df, name: df.select("id", "gap", name, F.explode(f"w{name}").alias("word")).groupBy("id", "gap", "word").agg(
-        F.min(name).alias(name), F.count("*").alias("_n")).where("_n = 1").drop("_n")
-    candidates = rare(left, "a").join(rare(right, "b"), ["id", "gap", "word"]).select("id", "gap", "a", "b").distinct()
-    scored = candidates.join(left, ["id", "gap", "a"]).join(right, ["id", "gap", "b"])
-    common, total = F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb")
-    scored = scored.select("id", "gap", "a", "b", (2 * common / total).alias("score")).where("score >= 0.5")
-    best = lambda side, other: F.row_number().over(Window.partitionBy("id", "gap", side).orderBy(F.desc("score"), other))
-    mutual = scored.withColumns({"_a": best("a", "b"), "_b": best("b", "a")}).where("_a = 1 AND _b = 1").select("id", "gap", "a", "b")
-    return uncrossed(mutual, ["id", "gap"])
+    distinct = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    sides = old.select("id", "gap", "pos", F.lit(0).alias("side"), distinct.alias("words")).unionByName(new.select("id", "gap", "pos", F.lit(1).alias("side"), distinct.alias("words")))
+    sides = materialise(sides, "paragraphs")
+    each = sides.select("id", "gap", "side", "pos", F.size("words").alias("n"), F.explode("words").alias("word"))
+    often = each.groupBy("id", "gap", "word").agg(F.count("*").alias("often"), F.count_distinct("side").alias("sides")).where("sides = 2").drop("sides")
+    rank = F.row_number().over(Window.partitionBy("id", "gap", "side", "pos").orderBy("often", "word"))
+    shared = F.count("*").over(Window.partitionBy("id", "gap", "side", "pos"))
+    # words that the other side lacks are rarest of all and can be left out of the index, not out of the count
+    needed = F.ceil(F.col("n") * (share / (2 - share)) - 1e-9)
+    index = each.join(often, ["id", "gap", "word"]).withColumns({"rank": rank, "shared": shared}).where(F.col("rank") <= F.col("shared") - needed + 1)
+    index = materialise(index.select("id", "gap", "side", "pos", "word"), "paragraphs")
+    of = lambda k, name: index.where(F.col("side") == k).select("id", "gap", F.col("pos").alias(name), "word")
+    candidates = of(0, "a").join(of(1, "b"), ["id", "gap", "word"]).select("id", "gap", "a", "b").distinct()
+    words = lambda k, name: sides.where(F.col("side") == k).select("id", "gap", F.col("pos").alias(name), F.col("words").alias(f"w{name}"))
+    scored = candidates.join(words(0, "a"), ["id", "gap", "a"]).join(words(1, "b"), ["id", "gap", "b"])
+    score = 2 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb"))
+    scored = scored.select("id", "gap", "a", F.struct(score.alias("score"), "b").alias("c")).where(F.col("c.score") >= share)
+    lists = scored.groupBy("id", "gap", "a").agg(F.collect_list("c").alias("c")).groupBy("id", "gap").agg(F.array_sort(F.collect_list(F.struct("a", "c"))).alias("rows"))
+
+    def step(acc, row):
+        best = F.array_max(F.filter(row["c"], lambda c: c["b"] >= acc["start"]))
+        return F.struct(F.when(best.isNull(), acc["start"]).otherwise(best["b"] + 1).cast("int").alias("start"),
+                        F.when(best.isNull(), acc["taken"]).otherwise(F.concat(acc["taken"], F.array(F.struct(row["a"].alias("a"), best["b"].alias("b"))))).alias("taken"))
+    start = F.struct(F.lit(-1).alias("start"), F.array().cast("array<struct<a:int,b:int>>").alias("taken"))
+    return lists.select("id", "gap", F.explode(F.aggregate("rows", start, step)["taken"]).alias("p")).select("id", "gap", "p.a", "p.b")
 
 
 def flags_at(spans: Column, place: Column) -> Column:

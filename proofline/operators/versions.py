@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from proofline.functions import text as T
 from proofline.operators import alignment as A
 from proofline.operators.units import revision_view
+from proofline.session import materialise
 
 # Protected atoms and special spaces.
 ATOM = "⟦[A-Z][0-9]+⟧"
@@ -22,12 +23,21 @@ WORD = "(?s)[^ ]+| "
 def paragraph_align(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changed, removed and added paragraphs of each document: (doc_id, idx, text) against (doc_id, idx, text).
 
-    Equal paragraphs are matched by their text's hash; between matched ones, versions of a paragraph find each other by rare words.
+    Equal paragraphs are matched by their text's hash, as many as can be in order; between matched ones, versions of a paragraph find
+    each other by the share of common words. Texts travel only for paragraphs without an equal one.
     """
-    rows = lambda df: df.select(F.col("doc_id").alias("id"), F.col("idx").alias("pos"), F.sha2("text", 256).alias("token"), "text")
-    o, n = rows(old), rows(new)
-    same = A.matched_tokens(o.drop("text"), n.drop("text"))
-    left, right = A.in_gaps(o.drop("token"), same, "a"), A.in_gaps(n.drop("token"), same, "b")
+    hashes = lambda df, name: df.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("idx", F.sha2("text", 256).alias("h")))).alias(name))
+    none = F.array().cast("array<struct<idx:int,h:string>>")
+    both = hashes(old.withColumn("idx", F.col("idx").cast("int")), "o").join(hashes(new.withColumn("idx", F.col("idx").cast("int")), "n"), "id", "full")
+    both = both.select("id", F.coalesce("o", none).alias("o"), F.coalesce("n", none).alias("n"))
+    both = materialise(both.select("id", F.col("o.idx").alias("ia"), F.col("n.idx").alias("ib"), F.col("o.h").alias("x"), F.col("n.h").alias("y")), "paragraphs")
+    core = materialise(A.cores(both), "paragraphs")
+    runs = materialise(A.changed_runs(core, A.matched_in_cores(core)), "paragraphs")
+    placed = runs.join(both.select("id", "ia", "ib"), "id")
+    named = lambda place, a, b: F.slice(place, F.col(a) + 1, F.col(b) - F.col(a))
+    open_ones = lambda df, place, a, b: placed.select("id", F.col("a0").alias("gap"), F.explode(named(place, a, b)).alias("pos")).join(
+        df.select(F.col("doc_id").alias("id"), F.col("idx").cast("int").alias("pos"), "text"), ["id", "pos"])
+    left, right = materialise(open_ones(old, "ia", "a0", "a1"), "paragraphs"), materialise(open_ones(new, "ib", "b0", "b1"), "paragraphs")
     pairs = A.similar_paragraphs(left, right)
     a = left.select("id", F.col("pos").alias("a"), F.col("text").alias("old"))
     b = right.select("id", F.col("pos").alias("b"), F.col("text").alias("new"))
@@ -37,18 +47,43 @@ def paragraph_align(old: DataFrame, new: DataFrame) -> DataFrame:
                        F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
 
 
+def _tokenised(pairs: DataFrame, pattern: str, *more: str) -> DataFrame:
+    return pairs.select("id", *more, A.tokens("old", pattern).alias("x"), A.tokens("new", pattern).alias("y"))
+
+
 def _changes(pairs: DataFrame, pattern: str, spaces: bool = True) -> DataFrame:
     """Changed spans of (id, old, new); with ``spaces`` false, a special space that became a plain one is no change."""
-    old, new = A.token_rows(pairs, "old", pattern), A.token_rows(pairs, "new", pattern)
+    rows = _tokenised(pairs, pattern)
     if spaces:
-        matched = A.matched_tokens(old, new)
-    else:
-        fold = lambda df: df.withColumn("token", F.translate("token", SPECIAL_SPACES, " " * len(SPECIAL_SPACES)))
-        named = lambda df, side: df.select("id", F.col("pos").alias(side), F.col("token").alias(f"t{side}"))
-        matched = A.matched_tokens(fold(old), fold(new)).join(named(old, "a"), ["id", "a"]).join(named(new, "b"), ["id", "b"])
-        matched = matched.where((F.col("ta") == F.col("tb")) | ~F.col("tb").rlike(f"[{SPECIAL_SPACES}]")).select("id", "a", "b")
-    sized = matched.join(old.select("id", F.col("pos").alias("a"), F.char_length("token").alias("size")), ["id", "a"])
-    return A.changed_spans(pairs, sized)
+        core = materialise(A.cores(rows), "tokens")
+        return A.character_spans(rows, A.changed_runs(core, A.matched_in_cores(core)))
+    fold = lambda c: F.transform(c, lambda t: F.translate(t, SPECIAL_SPACES, " " * len(SPECIAL_SPACES)))
+    folded = rows.select("id", fold("x").alias("x"), fold("y").alias("y"))
+    core = materialise(A.cores(folded), "tokens")
+    matched = materialise(A.matched_in_cores(core), "tokens")
+    # a new special space where an equal but plain one stood is a change of its own
+    plain = whole_matches(folded, core, matched).join(rows, "id").select("id", "a", "b", F.get("x", F.col("a")).alias("t"), F.get("y", F.col("b")).alias("u"))
+    asked = plain.where((F.col("t") != F.col("u")) & F.col("u").rlike(f"[{SPECIAL_SPACES}]")).select("id", F.col("a").alias("a0"), (F.col("a") + 1).alias("a1"), F.col("b").alias("b0"), (F.col("b") + 1).alias("b1"))
+    return A.character_spans(rows, _adjoined(A.changed_runs(core, matched).unionByName(asked)))
+
+
+def _adjoined(runs: DataFrame) -> DataFrame:
+    """Runs of changed tokens that follow each other on both sides, joined."""
+    order = Window.partitionBy("id").orderBy("a0", "b0")
+    apart = F.coalesce((F.col("a0") != F.lag("a1").over(order)) | (F.col("b0") != F.lag("b1").over(order)), F.lit(True))
+    grouped = runs.withColumn("_apart", apart).withColumn("_group", F.sum(F.col("_apart").cast("int")).over(order))
+    return grouped.groupBy("id", "_group").agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.max("b1").alias("b1")).drop("_group")
+
+
+def whole_matches(rows: DataFrame, core: DataFrame, matched: DataFrame) -> DataFrame:
+    """(id, a, b): all matched tokens as places in the whole arrays (id, x, y), those of the common head and tail among them."""
+    inner = matched.join(core.select("id", "head"), "id").select("id", (F.col("a") + F.col("head")).alias("a"), (F.col("b") + F.col("head")).alias("b"))
+    ends = rows.select("id", F.size("x").alias("nx"), F.size("y").alias("ny")).join(core.select("id", "head", F.size("x").alias("cx")), "id")
+    count = F.col("nx") - F.col("cx")                     # places of the head, then of the tail
+    places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    ends = ends.select("id", "nx", "ny", "head", F.explode(places(count)).alias("k"), count.alias("n"))
+    shift = lambda size: F.when(F.col("k") < F.col("head"), F.col("k")).otherwise(F.col("k") + F.col(size) - F.col("n"))
+    return inner.unionByName(ends.select("id", shift("nx").alias("a"), shift("ny").alias("b")))
 
 
 def word_diff(pairs: DataFrame, spaces: bool = True, joined: bool = True) -> DataFrame:
@@ -202,12 +237,21 @@ def formatting_delta(pairs: DataFrame) -> DataFrame:
     A token has the flags of its first character.
     """
     moved = pairs.where((F.col("old") != F.col("new")) | (F.col("old_spans") != F.col("new_spans")))
-    old, new = A.token_rows(moved, "old", TOKEN), A.token_rows(moved, "new", TOKEN)
-    rows = A.matched_tokens(old, new).join(old.select("id", F.col("pos").alias("a"), "token"), ["id", "a"]).where(F.trim("token") != "")
-    rows = rows.join(moved.select("id", "old_spans", "new_spans"), "id")
-    had, has = A.flags_at(F.col("old_spans"), F.col("a")), A.flags_at(F.col("new_spans"), F.col("b"))
-    rows = rows.select("id", F.col("a").alias("pos"), "token", F.array_sort(F.array_except(had, has)).alias("lost"), F.array_sort(F.array_except(has, had)).alias("gained"))
-    return rows.where((F.size("lost") > 0) | (F.size("gained") > 0))
+    rows = _tokenised(moved, TOKEN, "old_spans", "new_spans")
+    core = materialise(A.cores(rows), "tokens")
+    kept = whole_matches(rows, core, A.matched_in_cores(core)).join(_token_places(rows, "x", "a", "pos"), ["id", "a"]).join(
+        _token_places(rows, "y", "b", "at").drop("token"), ["id", "b"]).where(F.trim("token") != "")
+    kept = kept.join(moved.select("id", "old_spans", "new_spans"), "id")
+    had, has = A.flags_at(F.col("old_spans"), F.col("pos")), A.flags_at(F.col("new_spans"), F.col("at"))
+    kept = kept.select("id", "pos", "token", F.array_sort(F.array_except(had, has)).alias("lost"), F.array_sort(F.array_except(has, had)).alias("gained"))
+    return kept.where((F.size("lost") > 0) | (F.size("gained") > 0))
+
+
+def _token_places(rows: DataFrame, side: str, place: str, pos: str) -> DataFrame:
+    """(id, place, token, pos): every token of an array with the number of characters before it."""
+    each = rows.select("id", F.posexplode(side).alias(place, "token"))
+    before = Window.partitionBy("id").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn(pos, F.coalesce(F.sum(F.char_length("token")).over(before), F.lit(0)).cast("int"))
 
 
 def picture_set_check(base: DataFrame, new: DataFrame, swaps: DataFrame, removed: DataFrame) -> DataFrame:

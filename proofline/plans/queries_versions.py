@@ -13,7 +13,9 @@ from proofline.operators.units import paragraphs
 from proofline.plans.catalog import query, table
 from proofline.plans.queries_units import LINES_SQL, merged_sql, positional_sql, revision_runs
 
-NEWER = """flatten(transform(split(text, '\\n'), (l, i) -> CASE WHEN (doc_id + i) % 11 = 3 THEN cast(array() as array<string>)
+#: In every fifth document the first line has moved behind all others; then lines are changed, dropped and added by their place.
+MOVED = "if(doc_id % 5 = 0 AND size(split(text, '\\n')) > 1, concat(slice(split(text, '\\n'), 2, size(split(text, '\\n')) - 1), slice(split(text, '\\n'), 1, 1)), split(text, '\\n'))"
+NEWER = f"""flatten(transform({MOVED}, (l, i) -> CASE WHEN (doc_id + i) % 11 = 3 THEN cast(array() as array<string>)
   WHEN (doc_id + i) % 9 = 0 THEN array(concat(l, ' P = 0.05 higher')) WHEN (doc_id + i) % 13 = 5 THEN array(l, concat('New line ', i, ' with 12% more'))
   ELSE array(l) END))"""
 
@@ -33,35 +35,30 @@ def line_pairs(spark, sf):
     return rows.selectExpr("doc_id * 100000 + para_idx AS id", "doc_id", "text AS old", f"{EDIT} AS new")
 
 
-def matched_sql(old: str, new: str) -> str:
-    """CTEs that end in ``m(id, a, b)``: the tokens matched between two queries of (id, pos, token)."""
-    free = lambda source, keys: (f"(SELECT id, {keys} a, b FROM (SELECT *, max(b) OVER (PARTITION BY id, {keys} 1 ORDER BY a) AS hi, min(b) OVER (PARTITION BY id, {keys} 1 ORDER BY a "
-                                 f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM {source}) WHERE b = hi AND b = lo)")
-    gap = lambda table, side: (f"(SELECT *, row_number() OVER (PARTITION BY id, gap, token ORDER BY pos) AS k FROM (SELECT t.id, t.pos, t.token, count(x.{side}) OVER (PARTITION BY t.id ORDER BY t.pos) "
-                               f"AS gap, x.{side} IS NULL AS free FROM {table} t LEFT JOIN anchor x ON x.id = t.id AND x.{side} = t.pos) WHERE free)")
-    return f"""o AS MATERIALIZED ({old}), n AS MATERIALIZED ({new}),
-u AS (SELECT id, x.p AS a, y.p AS b FROM (SELECT id, token, min(pos) AS p FROM o GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT id, token, min(pos) AS p FROM n GROUP BY ALL HAVING count(*) = 1) y USING (id, token)),
-anchor AS MATERIALIZED {free('u', '')},
-r AS (SELECT id, gap, x.pos AS a, y.pos AS b FROM {gap('o', 'a')} x JOIN {gap('n', 'b')} y USING (id, gap, token, k)),
-m AS MATERIALIZED (SELECT id, a, b FROM anchor UNION ALL SELECT id, a, b FROM {free('r', 'gap,')})"""
+#: The signs of these edits stand in no text, so what stays the same is known from the edit, without comparing the versions: signs at
+#: the end, for every comma, around the line, two for every full stop, and one that moves over the whole line.
+_CASE = "(doc_id + para_idx) % 7"
+MARKED_OLD = f"CASE WHEN {_CASE} = 6 AND text LIKE '% %' THEN concat('¤', text) ELSE text END"
+MARKED_NEW = f"""CASE {_CASE} WHEN 0 THEN concat(text, '¤9') WHEN 1 THEN replace(text, ',', '¤') WHEN 2 THEN concat('¤', text, '§') WHEN 3 THEN replace(text, '.', '¤¤')
+ WHEN 6 THEN CASE WHEN text LIKE '% %' THEN concat(text, '¤') ELSE text END ELSE text END"""
 
 
-def tokens_sql(source: str, text: str, pattern: str) -> str:
-    return f"""SELECT id, CAST(coalesce(sum(length(token)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos, token
-FROM (SELECT id, w[k] AS token, k FROM (SELECT id, w, unnest(generate_series(1, len(w))) AS k FROM (SELECT id, regexp_extract_all({text}, '{pattern}') AS w FROM {source})))"""
-
-
-def changes_sql(pattern: str) -> str:
-    """CTEs that end in ``c(id, old_start, old_end, new_start, new_end, old, new)``; they read ``p(id, old, new)``."""
-    return f"""{matched_sql(tokens_sql('p', 'old', pattern), tokens_sql('p', 'new', pattern))},
-e AS (SELECT m.id, a, b, length(token) AS size FROM m JOIN o ON o.id = m.id AND o.pos = m.a UNION ALL SELECT id, length(old), length(new), 0 FROM p),
-s AS (SELECT id, coalesce(lag(a + size) OVER w, 0) AS old_start, a AS old_end, coalesce(lag(b + size) OVER w, 0) AS new_start, b AS new_end FROM e WINDOW w AS (PARTITION BY id ORDER BY a, b)),
-c AS (SELECT s.*, p.old, p.new FROM s JOIN p USING (id) WHERE old_end > old_start OR new_end > new_start)"""
-
-
-PAIRS_SQL = f"p AS MATERIALIZED (SELECT id, old, new FROM (SELECT doc_id * 100000 + para_idx AS id, text AS old, {EDIT} AS new FROM ({LINES_SQL})) WHERE old <> new)"
+def marked_pairs(spark, sf):
+    rows = paragraphs(table(spark, sf, "documents"))
+    return rows.selectExpr("doc_id * 100000 + para_idx AS id", "doc_id + para_idx AS n", f"{MARKED_OLD} AS old", f"{MARKED_NEW} AS new")
+
+
+MARKED_SQL = f"""p AS MATERIALIZED (SELECT * FROM (SELECT doc_id * 100000 + para_idx AS id, doc_id + para_idx AS n, {_CASE} AS k, text, length(text) AS size, {MARKED_OLD} AS old, {MARKED_NEW} AS new FROM ({LINES_SQL}))),
+d AS MATERIALIZED (SELECT * FROM p WHERE old <> new),
+sign AS (SELECT id, k, i - 1 AS place, i - 1 - row_number() OVER (PARTITION BY id ORDER BY i) AS run, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS before
+  FROM (SELECT id, k, text, unnest(range(1, size + 1)) AS i FROM d WHERE k IN (1, 3)) WHERE substr(text, i, 1) = CASE k WHEN 1 THEN ',' ELSE '.' END),
+e AS (SELECT id, size AS old_start, size AS old_end, size AS new_start, size + 2 AS new_end FROM d WHERE k = 0
+  UNION ALL SELECT id, min(place), max(place) + 1, min(place) + CASE WHEN k = 3 THEN min(before) ELSE 0 END, max(place) + 1 + CASE WHEN k = 3 THEN max(before) + 1 ELSE 0 END FROM sign GROUP BY id, k, run
+  UNION ALL SELECT id, 0, 0, 0, CASE WHEN size = 0 THEN 2 ELSE 1 END FROM d WHERE k = 2 UNION ALL SELECT id, size, size, size + 1, size + 2 FROM d WHERE k = 2 AND size > 0
+  UNION ALL SELECT id, 0, 1, 0, 0 FROM d WHERE k = 6 UNION ALL SELECT id, size + 1, size + 1, size, size + 1 FROM d WHERE k = 6),
+c AS (SELECT e.*, d.old, d.new FROM e JOIN d USING (id))"""
 _CUT = "CAST({0}_start AS INTEGER) AS {0}_start, CAST({0}_end AS INTEGER) AS {0}_end"
-JOINED_SQL = f"""WITH {PAIRS_SQL}, {changes_sql(V.TOKEN)},
+JOINED_SQL = f"""WITH {MARKED_SQL},
 z AS (SELECT *, greatest(old_end - old_start, new_end - new_start) AS size, old_end > old_start AND new_end > new_start AS two,
   trim(substr(old, old_start + 1, old_end - old_start)) = '' AND trim(substr(new, new_start + 1, new_end - new_start)) = '' AS blank FROM c),
 y AS (SELECT *, old_start - lag(old_end) OVER w AS gap, lag(size) OVER w AS size0, lag(two) OVER w AS two0, lag(blank) OVER w AS blank0, lag(old_end) OVER w AS end0 FROM z WINDOW w AS (PARTITION BY id ORDER BY old_start, new_start)),
@@ -71,20 +68,36 @@ j AS (SELECT id, any_value(old) AS old, any_value(new) AS new, min(old_start) AS
 
 
 def _alignment_sql() -> str:
-    old = f"SELECT doc_id AS id, para_idx AS pos, text FROM ({LINES_SQL})"
+    """Paragraphs by a quadratic table of longest common subsequences; versions by a search over all pairs of a gap, one old paragraph after the other."""
+    old = f"SELECT doc_id AS id, CAST(para_idx AS INTEGER) AS pos, text FROM ({LINES_SQL})"
     newer = """SELECT doc_id AS id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, h) - 1 AS INTEGER) AS pos, text FROM (
 SELECT doc_id, i, h, CASE WHEN (doc_id + i) % 9 = 0 THEN l || ' P = 0.05 higher' WHEN h = 1 THEN 'New line ' || i || ' with 12% more' ELSE l END AS text
-FROM (SELECT doc_id, para_idx AS i, text AS l FROM (LINES)), (SELECT unnest([0, 1]) AS h)
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN para_idx WHEN para_idx = 0 THEN count(*) OVER (PARTITION BY doc_id) - 1 ELSE para_idx - 1 END AS i, text AS l FROM (LINES)), (SELECT unnest([0, 1]) AS h)
 WHERE (doc_id + i) % 11 <> 3 AND (h = 0 OR ((doc_id + i) % 13 = 5 AND (doc_id + i) % 9 <> 0)))""".replace("LINES", LINES_SQL)
-    side = lambda name, rows: (f"(SELECT id, gap, pos AS {name}, text, list_distinct(regexp_extract_all(text, '\\S+')) AS w FROM (SELECT t.*, count(m.{name}) OVER (PARTITION BY t.id ORDER BY t.pos) AS gap, "
-                               f"m.{name} IS NULL AS free FROM {rows} t LEFT JOIN m ON m.id = t.id AND m.{name} = t.pos) WHERE free)")
-    rare = lambda name, rows: f"(SELECT id, gap, word, min({name}) AS {name} FROM (SELECT id, gap, {name}, unnest(w) AS word FROM {rows}) GROUP BY id, gap, word HAVING count(*) = 1)"
-    return f"""WITH ot AS MATERIALIZED ({old}), nt AS MATERIALIZED ({newer}), {matched_sql('SELECT id, pos, sha256(text) AS token FROM ot', 'SELECT id, pos, sha256(text) AS token FROM nt')},
-l AS MATERIALIZED {side('a', 'ot')}, r2 AS MATERIALIZED {side('b', 'nt')},
-cand AS (SELECT DISTINCT x.id, x.gap, a, b FROM {rare('a', 'l')} x JOIN {rare('b', 'r2')} y USING (id, gap, word)),
-sc AS (SELECT * FROM (SELECT c.id, c.gap, c.a, c.b, 2 * len(list_intersect(l.w, r2.w)) / (len(l.w) + len(r2.w)) AS score FROM cand c JOIN l ON l.id = c.id AND l.a = c.a JOIN r2 ON r2.id = c.id AND r2.b = c.b) WHERE score >= 0.5),
-mu AS (SELECT id, gap, a, b FROM (SELECT *, row_number() OVER (PARTITION BY id, gap, a ORDER BY score DESC, b) AS ra, row_number() OVER (PARTITION BY id, gap, b ORDER BY score DESC, a) AS rb FROM sc) WHERE ra = 1 AND rb = 1),
-pr AS (SELECT id, a, b FROM (SELECT *, max(b) OVER (PARTITION BY id, gap ORDER BY a) AS hi, min(b) OVER (PARTITION BY id, gap ORDER BY a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lo FROM mu) WHERE b = hi AND b = lo),
+    same = lambda a, b: f"(SELECT coalesce(x.id, y.id) AS id, min(coalesce(x.k, y.k)) FILTER (x.text IS DISTINCT FROM y.text) AS first FROM {a} x FULL JOIN {b} y ON x.id = y.id AND x.k = y.k GROUP BY 1)"
+    ranked = lambda table, size: f"(SELECT t.id, {size} - 1 - t.pos AS k, t.text FROM {table} t JOIN hd USING (id) WHERE t.pos >= head)"
+    core = lambda table, size, place: f"(SELECT t.id, t.pos - head AS {place}, t.text AS t, t.pos FROM {table} t JOIN tl USING (id) WHERE t.pos >= head AND t.pos < {size} - tail)"
+    side = lambda name, rows, place: (f"(SELECT r.id, r.pos AS {name}, r.t AS text, list_distinct(regexp_extract_all(r.t, '\\S+')) AS w, (SELECT count(*) FROM tr WHERE tr.id = r.id AND tr.want < tr.top AND tr.{'a' if place == 'i' else 'b'} < r.{place}) AS gap "
+                                      f"FROM {rows} r WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.id = r.id AND tr.want < tr.top AND tr.{'a' if place == 'i' else 'b'} = r.{place}))")
+    return f"""WITH RECURSIVE ot AS MATERIALIZED ({old}), nt AS MATERIALIZED ({newer}),
+sz AS (SELECT coalesce(x.id, y.id) AS id, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM (SELECT id, count(*) AS n1 FROM ot GROUP BY id) x FULL JOIN (SELECT id, count(*) AS n2 FROM nt GROUP BY id) y ON x.id = y.id),
+hd AS MATERIALIZED (SELECT id, n1, n2, coalesce(first, n1) AS head FROM sz JOIN {same('(SELECT id, pos AS k, text FROM ot)', '(SELECT id, pos AS k, text FROM nt)')} USING (id)),
+tl AS MATERIALIZED (SELECT id, n1, n2, head, coalesce(first, n1 - head) AS tail FROM hd LEFT JOIN {same(ranked('ot', 'n1'), ranked('nt', 'n2'))} USING (id)),
+x AS MATERIALIZED {core('ot', 'n1', 'i')}, y AS MATERIALIZED {core('nt', 'n2', 'j')},
+n AS (SELECT id, n1 - head - tail AS m1, n2 - head - tail AS m2 FROM tl WHERE n1 - head - tail > 0 AND n2 - head - tail > 0),
+lcs AS (SELECT id, CAST(m1 AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0 AS l FROM (SELECT id, m1, unnest(range(0, m2 + 1)) AS j FROM n)
+  UNION ALL SELECT id, CAST(i AS INTEGER), j, CAST(max(greatest(l, v)) OVER (PARTITION BY id ORDER BY j DESC) AS INTEGER) FROM (
+    SELECT w.id, w.i - 1 AS i, w.j, w.l, CASE WHEN x.t = y.t THEN 1 + lead(w.l) OVER (PARTITION BY w.id ORDER BY w.j) ELSE 0 END AS v FROM lcs w JOIN x ON x.id = w.id AND x.i = w.i - 1 LEFT JOIN y ON y.id = w.id AND y.j = w.j)),
+eq AS MATERIALIZED (SELECT x.id, x.i AS a, y.j AS b, l + 1 AS s FROM x JOIN y ON x.id = y.id AND x.t = y.t JOIN lcs ON lcs.id = x.id AND lcs.i = x.i + 1 AND lcs.j = y.j + 1),
+tr AS (SELECT id, l AS top, l AS want, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b FROM lcs WHERE i = 0 AND j = 0
+  UNION ALL SELECT id, top, want - 1, c // 1000000, c % 1000000 FROM (SELECT tr.id, tr.top, tr.want, min(eq.a * 1000000 + eq.b) AS c FROM tr JOIN eq ON eq.id = tr.id AND eq.s = tr.want AND eq.a > tr.a AND eq.b > tr.b GROUP BY ALL)),
+l AS MATERIALIZED {side('a', 'x', 'i')}, r2 AS MATERIALIZED {side('b', 'y', 'j')},
+sc AS MATERIALIZED (SELECT * FROM (SELECT l.id, l.gap, l.a, r2.b, 2 * len(list_intersect(l.w, r2.w)) / (len(l.w) + len(r2.w)) AS score FROM l JOIN r2 ON l.id = r2.id AND l.gap = r2.gap) WHERE score >= 0.5),
+ol AS MATERIALIZED (SELECT id, gap, a, row_number() OVER (PARTITION BY id, gap ORDER BY a) AS k FROM l),
+gr AS (SELECT DISTINCT id, gap, CAST(0 AS BIGINT) AS k, CAST(-1 AS INTEGER) AS start, CAST(NULL AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b FROM ol
+  UNION ALL SELECT id, gap, k + 1, CAST(coalesce(best.b + 1, start) AS INTEGER), a, best.b FROM (SELECT gr.id, gr.gap, gr.k, gr.start, ol.a, max({{'score': sc.score, 'b': sc.b}}) FILTER (sc.b IS NOT NULL) AS best
+    FROM gr JOIN ol ON ol.id = gr.id AND ol.gap = gr.gap AND ol.k = gr.k + 1 LEFT JOIN sc ON sc.id = ol.id AND sc.gap = ol.gap AND sc.a = ol.a AND sc.b >= gr.start GROUP BY ALL)),
+pr AS (SELECT id, a, b FROM gr WHERE b IS NOT NULL),
 al AS (SELECT coalesce(x.id, r2.id) AS doc_id, CASE WHEN x.a IS NULL THEN 'added' WHEN r2.b IS NULL THEN 'removed' ELSE 'changed' END AS kind, x.a AS old_idx, r2.b AS new_idx, coalesce(x.text, '') AS old, coalesce(r2.text, '') AS new
  FROM (SELECT l.id, l.a, l.text, pr.b FROM l LEFT JOIN pr ON pr.id = l.id AND pr.a = l.a) x FULL JOIN r2 ON r2.id = x.id AND r2.b = x.b)"""
 
@@ -98,16 +111,16 @@ def f1(spark, sf):
         "doc_id", "kind", "old_idx", "new_idx", F.sha2("old", 256).alias("old"), F.sha2("new", 256).alias("new"))
 
 
-@query("f2_word_diff", f"""WITH {PAIRS_SQL}, {changes_sql(V.TOKEN)}
+@query("f2_word_diff", f"""WITH {MARKED_SQL}
 SELECT id, false AS atoms_changed, {_CUT.format('old')}, {_CUT.format('new')}, substr(old, old_start + 1, old_end - old_start) AS old_text, substr(new, new_start + 1, new_end - new_start) AS new_text FROM c""")
 def f2(spark, sf):
-    return V.word_diff(line_pairs(spark, sf), joined=False)
+    return V.word_diff(marked_pairs(spark, sf), joined=False)
 
 
 @query("f3_diff_cleanup", f"""{JOINED_SQL}
 SELECT id, {_CUT.format('old')}, {_CUT.format('new')}, substr(old, old_start + 1, old_end - old_start) AS old_text, substr(new, new_start + 1, new_end - new_start) AS new_text FROM j""")
 def f3(spark, sf):
-    return V.word_diff(line_pairs(spark, sf)).drop("atoms_changed")
+    return V.word_diff(marked_pairs(spark, sf)).drop("atoms_changed")
 
 
 _SCIENCE = V.SCIENCE.replace("(?U)", "")
@@ -200,19 +213,18 @@ def f9(spark, sf):
     return V.citation_context_changes(V.citation_contexts(base, at(40)), V.citation_contexts(new, at(42))).select("doc_id", "pos")
 
 
-_MARKED = f"SELECT doc_id * 100000 + para_idx AS id, doc_id + para_idx AS n, text AS old, {EDIT} AS new FROM ({LINES_SQL})"
-
-
-@query("f10_formatting_delta", f"""WITH p AS MATERIALIZED (SELECT * FROM ({_MARKED}) WHERE old <> new OR n % 4 = 0),
-{matched_sql(tokens_sql('p', 'old', V.TOKEN), tokens_sql('p', 'new', V.TOKEN))},
-x AS (SELECT m.id, m.a AS pos, o.token, length(p.old) // 2 > m.a AS had, length(p.new) // 2 > m.b AS has, n % 4 = 0 AS bold FROM m JOIN o ON o.id = m.id AND o.pos = m.a JOIN p ON p.id = m.id WHERE trim(token) <> '')
+@query("f10_formatting_delta", f"""WITH {MARKED_SQL},
+t AS (SELECT id, n, k, old, new, w[i] AS token, CAST(coalesce(sum(length(w[i])) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, n, k, old, new, regexp_extract_all(old, '{V.TOKEN}') AS w FROM p WHERE old <> new OR n % 4 = 0))),
+m AS (SELECT *, pos + CASE WHEN k = 2 THEN 1 WHEN k = 3 THEN length(substr(old, 1, pos)) - length(replace(substr(old, 1, pos), '.', '')) WHEN k = 6 AND old <> new THEN -1 ELSE 0 END AS b
+  FROM t WHERE NOT (k = 1 AND token = ',') AND NOT (k = 3 AND token = '.') AND NOT (k = 6 AND token = '¤' AND pos = 0)),
+x AS (SELECT id, pos, token, length(old) // 2 > pos AS had, length(new) // 2 > b AS has, n % 4 = 0 AS bold FROM m WHERE trim(token) <> '')
 SELECT id, pos, token, CASE WHEN had AND (bold OR NOT has) THEN 'italic' ELSE '' END AS lost, CASE WHEN has AND bold THEN 'bold' WHEN has AND NOT had THEN 'italic' ELSE '' END AS gained
 FROM x WHERE (had AND (bold OR NOT has)) OR (has AND (bold OR NOT had))""")
 def f10(spark, sf):
     """The first half of every line is italic; in every fourth line of the newer version it is bold."""
     half = lambda text, name: f"array(named_struct('start', 0, 'end', cast(char_length({text}) div 2 AS int), 'flags', array('{name}')))"
-    rows = paragraphs(table(spark, sf, "documents")).selectExpr("doc_id * 100000 + para_idx AS id", "doc_id + para_idx AS n", "text AS old", f"{EDIT} AS new")
-    rows = rows.selectExpr("id", "old", "new", f"{half('old', 'italic')} AS old_spans", f"CASE WHEN n % 4 = 0 THEN {half('new', 'bold')} ELSE {half('new', 'italic')} END AS new_spans")
+    rows = marked_pairs(spark, sf).selectExpr("id", "old", "new", f"{half('old', 'italic')} AS old_spans", f"CASE WHEN n % 4 = 0 THEN {half('new', 'bold')} ELSE {half('new', 'italic')} END AS new_spans")
     return V.formatting_delta(rows).select("id", "pos", "token", F.array_join("lost", ",").alias("lost"), F.array_join("gained", ",").alias("gained"))
 
 
@@ -254,13 +266,19 @@ def f13(spark, sf):
     return V.view_compare(rows)
 
 
-@query("f14_diff_hunks", f"""WITH {PAIRS_SQL}, {changes_sql(V.WORD)}
+@query("f14_diff_hunks", f"""WITH {MARKED_SQL},
+w AS (SELECT id, k, old AS o, new AS w_new, t[i] AS token, i = 1 AS head, i = len(t) AS last, CAST(coalesce(sum(length(t[i])) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS pos
+  FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (SELECT id, k, old, new, regexp_extract_all(old, '[^ ]+| ') AS t FROM d))),
+s AS (SELECT *, length(token) AS size, pos + CASE k WHEN 2 THEN CASE WHEN head THEN 0 ELSE 1 END WHEN 3 THEN length(substr(o, 1, pos)) - length(replace(substr(o, 1, pos), '.', '')) WHEN 6 THEN CASE WHEN head THEN 0 ELSE -1 END ELSE 0 END AS b,
+  CASE k WHEN 0 THEN 2 WHEN 2 THEN CASE WHEN head AND last THEN 2 ELSE 1 END WHEN 3 THEN length(token) - length(replace(token, '.', '')) WHEN 6 THEN CASE WHEN head THEN -1 ELSE 1 END ELSE 0 END AS more
+  FROM w WHERE CASE k WHEN 0 THEN last WHEN 1 THEN contains(token, ',') WHEN 3 THEN contains(token, '.') ELSE head OR last END),
+h AS (SELECT id, pos AS old_start, pos + size AS old_end, b AS new_start, b + size + more AS new_end, o AS old, w_new AS new FROM s)
 SELECT id, CAST(old_start AS INTEGER) AS old_start, CASE WHEN old_end = old_start THEN 'insert' WHEN new_end = new_start THEN 'delete' ELSE 'replace' END AS op,
  array_to_string(list_reverse(list_slice(list_reverse(regexp_extract_all(substr(old, 1, old_start), '[^ ]+')), 1, 8)), ' ') AS before,
  substr(old, old_start + 1, old_end - old_start) AS old, substr(new, new_start + 1, new_end - new_start) AS new,
- array_to_string(list_slice(regexp_extract_all(substr(old, old_end + 1), '[^ ]+'), 1, 8), ' ') AS after FROM c""")
+ array_to_string(list_slice(regexp_extract_all(substr(old, old_end + 1), '[^ ]+'), 1, 8), ' ') AS after FROM h""")
 def f14(spark, sf):
-    return V.diff_hunks(line_pairs(spark, sf))
+    return V.diff_hunks(marked_pairs(spark, sf))
 
 
 @query("f15_snapshot_diff", """

@@ -368,3 +368,86 @@ def test_exclusive_output(spark, tmp_path):
     S.write_exclusive(df, str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exist"):
         S.write_exclusive(df, str(tmp_path / "out"))
+
+
+# -- alignment: as many tokens as possible stay matched ---------------------------------------
+
+def brute_chain(x, y):
+    """Behind a common head and before a common tail: the least longest common subsequence, from a quadratic table."""
+    head = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    x, y = x[head:], y[head:]
+    tail = next((i for i, (p, q) in enumerate(zip(x[::-1], y[::-1])) if p != q), min(len(x), len(y)))
+    n, m = len(x) - tail, len(y) - tail
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in reversed(range(n)):
+        for j in reversed(range(m)):
+            best[i][j] = 1 + best[i + 1][j + 1] if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while best[i][j]:
+        want = best[i][j]
+        i, j = next((a, b) for a in range(i, n) for b in range(j, m) if x[a] == y[b] and best[a + 1][b + 1] == want - 1)
+        out.append((i, j))
+        i, j = i + 1, j + 1
+    return head, out
+
+
+def matched(spark, cases, limit=1 << 20):
+    from proofline.operators import alignment as A
+
+    core = A.cores(spark.createDataFrame([(k, list(x), list(y)) for k, (x, y) in enumerate(cases)], "id int, x array<string>, y array<string>"))
+    heads = {r.id: r.head for r in core.collect()}
+    found = {k: [] for k in range(len(cases))}
+    for r in A.matched_in_cores(core, limit).collect():
+        found[r.id].append((r.a, r.b))
+    return [(heads[k], sorted(found[k])) for k in range(len(cases))]
+
+
+def test_matched_tokens_equal_a_quadratic_table(spark):
+    rng = random.Random(4)
+    cases = [("abcde", p) for p in itertools.permutations("abcde")]                       # every small permutation
+    cases += [("".join(rng.choice("ab ") for _ in range(rng.randint(0, 12))), "".join(rng.choice("ab ") for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+    cases += [("xaaa", "aaax"), ("0123456789", "1234567890"), ("", "a"), ("a", ""), ("aa", "aa")]
+    assert matched(spark, cases) == [brute_chain(list(x), list(y)) for x, y in cases]
+
+
+def test_large_cores_are_cut_at_single_tokens(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" if i % 3 else "the" for i in range(60)]
+    moved = [*words[1:], words[0]][:-1] + ["new", words[4]]
+    head, chain = matched(spark, [(words, moved)], limit=50)[0]
+    wanted = brute_chain(words, moved)
+    assert len(chain) == len(wanted[1]) and all(words[head + a] == moved[head + b] for a, b in chain)
+    few = [(["a", "b"] * 30, ["b", "a"] * 25)]
+    head, chain = matched(spark, few, limit=50)[0]
+    assert len(chain) >= 25 and all(p < q and r < s for (p, r), (q, s) in itertools.pairwise(chain))
+
+
+def test_a_moved_paragraph_unmatches_no_other(spark):
+    lines = [f"paragraph {chr(97 + i)} of its own" for i in range(10)]
+    frame = lambda rows: spark.createDataFrame([(0, i, t) for i, t in enumerate(rows)], "doc_id int, idx int, text string")
+    got = {(r.kind, r.old_idx, r.new_idx) for r in V.paragraph_align(frame(lines), frame([*lines[1:], lines[0]])).collect()}
+    assert got == {("removed", 0, None), ("added", None, 9)}
+
+
+def test_versions_of_repeated_wording_are_paired(spark):
+    """No word of the gap is unique; pairs are those of a greedy search over all."""
+    def greedy(old, new):
+        words = lambda t: set(t.split())
+        out, start = set(), 0
+        for i, a in enumerate(old):
+            score, j = max(((2 * len(words(a) & words(b)) / (len(words(a)) + len(words(b))), j) for j, b in enumerate(new) if j >= start), default=(0, None))
+            if score >= 0.5:
+                out.add((i, j))
+                start = j + 1
+        return out
+    rng, olds, news, expected = random.Random(3), [], [], {}
+    for doc in range(40):
+        old = [" ".join(rng.choice("abcdef") for _ in range(5)) + f" old{i % 2}" for i in range(rng.randint(1, 6))]
+        new = [" ".join(rng.choice("abcdef") for _ in range(5)) + f" new{i % 2}" for i in range(rng.randint(1, 6))]
+        olds += [(doc, i, t) for i, t in enumerate(old)]
+        news += [(doc, i, t) for i, t in enumerate(new)]
+        expected[doc] = greedy(old, new)
+    got = {doc: set() for doc in expected}
+    for r in V.paragraph_align(*(spark.createDataFrame(rows, "doc_id int, idx int, text string") for rows in (olds, news))).where("kind = 'changed'").collect():
+        got[r.doc_id].add((r.old_idx, r.new_idx))
+    assert got == expected

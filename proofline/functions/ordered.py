@@ -8,14 +8,16 @@ of ids), work inside a chunk, carry one summary row per chunk across, and join i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.session import materialise
+
 
 def _over(keys: Sequence[str], order):
-    window = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return window.orderBy(*order)
+    return Window.partitionBy(*keys).orderBy(*order)
 
 
 def running_total(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence, value: Column, out: str,
@@ -81,5 +83,21 @@ def previous_value(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequen
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence, out: str) -> DataFrame:
-    """1-based position per key (or over the whole table when ``keys`` is empty)."""
+    """1-based position per key."""
     return running_total(df, keys, chunk, order, F.lit(1).cast("bigint"), out)
+
+
+def table_row_numbers(df: DataFrame, order: Sequence, out: str) -> DataFrame:
+    """1-based position of each row in the order of the whole table, in three levels and without a window.
+
+    Rows are dealt by ranges of the order and sorted where they lie, which numbers them inside their range; the sizes of the
+    ranges (one row a task) add up to offsets; each row adds its range's offset.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed, "ranges")                       # ranges are sampled anew at every run, so they are fixed by writing them
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
+    starts = [0, *accumulate(n for _, n in sizes)]
+    offsets = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts, strict=False)], "_part bigint, _start bigint")
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_start") + inside).drop("_at", "_part", "_start")

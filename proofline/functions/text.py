@@ -227,6 +227,20 @@ def sentence_spans(text) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
+def register_sentences(spark, name: str = "sentence_rows") -> None:
+    """A table function for SQL, (sent_idx, start, end, sentence), usable in LATERAL; its body is the expression of ``sentence_spans``."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    mark, group = quoted(MATCH_MARK), quoted(MATCH_MARK + GROUP_MARK)
+    trimmed = lambda x: f"regexp_replace({x}, {quoted(r'(?U)^\s+|\s+$')}, '')"
+    lead = f"(length(p) - length(regexp_replace(p, {quoted(r'(?U)^\s+')}, '')))"
+    pieces = f"split(regexp_replace(translate(body, {group}, '  '), {quoted(SENTENCE_BOUNDARY)}, {quoted('$0' + MATCH_MARK)}), {mark}, -1)"
+    found = f"array(named_struct('start', acc.pos + {lead}, 'end', acc.pos + {lead} + length({trimmed('p')}), 'text', {trimmed('p')}))"
+    spans = (f"aggregate({pieces}, named_struct('pos', 0, 'out', from_json('[]', 'array<struct<start:int,end:int,text:string>>')), "
+             f"(acc, p) -> named_struct('pos', acc.pos + length(p), 'out', if({trimmed('p')} = '', acc.out, concat(acc.out, {found}))), acc -> acc.out)")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(body STRING) RETURNS TABLE (sent_idx INT, start INT, end INT, sentence STRING)
+RETURN SELECT pos, col.start, col.end, col.text FROM (SELECT posexplode({spans}))""")
+
+
 def heading_level(style) -> Column:
     """Level from a style name such as ``Heading 2``; 0 for any other style."""
     level = F.regexp_extract(F.translate(_col(style), "_", " "), r"(?i)^\s*heading\s*([1-9])\s*$", 1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofline.functions.ordered import previous_value, row_numbers, running_extreme, running_total
+from proofline.functions.ordered import previous_value, running_extreme, running_total, table_row_numbers
 from proofline.session import materialise
 
 
@@ -36,10 +36,9 @@ def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(order).alias("first_seen"))
 
 
-def category_index(df: DataFrame, value: str, order: str, chunk_size: int = 1_000_000) -> DataFrame:
+def category_index(df: DataFrame, value: str, order: str) -> DataFrame:
     """0-based index of each value by first appearance."""
-    seen = first_seen(df, value, order).withColumn("_chunk", F.floor(F.col("first_seen") / chunk_size))
-    return row_numbers(seen, [], "_chunk", ["first_seen"], "_n").select(value, (F.col("_n") - 1).alias("index"))
+    return table_row_numbers(first_seen(df, value, order), ["first_seen"], "_n").select(value, (F.col("_n") - 1).alias("index"))
 
 
 def explicit_order(observed: DataFrame, requested: DataFrame, value: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
-from proofline.functions.ordered import previous_value, row_numbers
+from proofline.functions.ordered import previous_value, table_row_numbers
 from proofline.session import materialise
 
 # Event kinds of an asset history.
@@ -305,16 +305,32 @@ def thread_comments(comments: DataFrame) -> DataFrame:
     return below.join(comments, ["doc_id", "id"])
 
 
+#: Runs in a cell of the join of runs and ranges.
+CELL = 64
+
+
 def anchor_texts(runs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Text between the start and end markers of each comment: runs in order, paragraphs joined by a line break.
 
     ``runs(doc_id, para_idx, run_idx, text)``, ``ranges(doc_id, id, start_para, start_run, end_para,
-    end_run)``, end exclusive. Runs and ranges meet on the document.
+    end_run)``, end exclusive; ranges of one id add up. A sweep over runs and markers in order turns both into numbers of runs; a range
+    then meets the runs of the cells of CELL runs that it covers, so work grows with runs, ranges and what they hold, not with their product.
     """
-    r = runs.alias("r").join(ranges.alias("a"), "doc_id")
-    at = F.struct("r.para_idx", "r.run_idx")
-    inside = (at >= F.struct("a.start_para", "a.start_run")) & (at < F.struct("a.end_para", "a.end_run"))
-    per = r.where(inside).groupBy("doc_id", "id", "para_idx").agg(F.array_join(
+    mark = lambda df, kind, para, run, *more: df.select("doc_id", F.col(para).alias("para_idx"), F.col(run).alias("run_idx"), F.lit(kind).alias("kind"), *more)
+    none = F.lit(None)
+    named = ranges.withColumn("range", F.monotonically_increasing_id())
+    named = materialise(named, "ranges")
+    sides = [mark(named, 0, f"{side}_para", f"{side}_run", "range", F.lit(side).alias("side"), none.cast("string").alias("text")) for side in ("start", "end")]
+    events = mark(runs, 1, "para_idx", "run_idx", none.cast("bigint").alias("range"), none.cast("string").alias("side"), "text").unionByName(sides[0]).unionByName(sides[1])
+    before = Window.partitionBy("doc_id").orderBy("para_idx", "run_idx", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    swept = materialise(events.withColumn("at", F.coalesce(F.sum("kind").over(before), F.lit(0))), "sweep")
+    at = lambda side: F.min(F.when(F.col("side") == side, F.col("at"))).alias(side)
+    spans = swept.where("kind = 0").groupBy("doc_id", "range").agg(at("start"), at("end")).where("end > start")
+    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL))))
+    cells = cells.join(named.select("range", "id"), "range").drop("range")
+    held = swept.where("kind = 1").select("doc_id", "para_idx", "run_idx", "text", "at", F.floor(F.col("at") / CELL).alias("cell"))
+    inside = held.join(cells, ["doc_id", "cell"]).where("start <= at AND at < end")
+    per = inside.groupBy("doc_id", "id", "para_idx").agg(F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("run_idx", "text"))), lambda x: x["text"]), "").alias("t"))
     return per.groupBy("doc_id", "id").agg(F.btrim(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("para_idx", "t"))), lambda x: x["t"]), "\n")).alias("anchor"))
@@ -383,10 +399,7 @@ def embedded_asset_check(wanted: DataFrame, parts: DataFrame, current: DataFrame
     return rows.select("project", "figure", "version", "target", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def batch_rows(df: DataFrame, size: int, order: str, chunk: Column) -> DataFrame:
-    """Number rows in order and cut them into batches of a fixed size, without a single-task sort.
-
-    ``chunk`` rises with ``order``; one row per chunk carries the offset.
-    """
-    numbered = row_numbers(df.withColumn("_chunk", chunk), [], "_chunk", [order], "row_number").drop("_chunk")
+def batch_rows(df: DataFrame, size: int, order: str) -> DataFrame:
+    """Number rows in order and cut them into batches of a fixed size, without a single-task sort."""
+    numbered = table_row_numbers(df, [order], "row_number")
     return numbered.withColumn("batch", F.ceil(F.col("row_number") / size))

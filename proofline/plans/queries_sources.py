@@ -92,6 +92,15 @@ def a6_labels(spark, sf):
     return S.library_map(S.parse_library(rows), "label").select("label", "rec_number", "copies")
 
 
+@query("a6_library_problems", """
+WITH r AS (SELECT p_partkey AS ord, p_name, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 300 AS VARCHAR) WHEN 1 THEN CAST(p_partkey % 500 AS VARCHAR) END AS pmid, CASE WHEN p_partkey % 6 = 0 THEN 'key' || (p_partkey % 50) END AS label FROM part),
+d AS (SELECT ord, 'duplicate id' AS problem, pmid AS value, min(ord) OVER (PARTITION BY pmid) AS first FROM r WHERE pmid IS NOT NULL UNION ALL SELECT ord, 'duplicate label', label, min(ord) OVER (PARTITION BY label) FROM r WHERE label IS NOT NULL)
+SELECT ord, CAST(ord AS VARCHAR) AS rec_number, problem, value, CAST(first AS VARCHAR) AS first FROM d WHERE ord <> first
+UNION ALL SELECT ord, CAST(ord AS VARCHAR), 'no id', 'Title ' || p_name, NULL FROM r WHERE pmid IS NULL UNION ALL SELECT ord, CAST(ord AS VARCHAR), 'accession is no id', 'WOS:1', NULL FROM r WHERE k = 2""")
+def a6_problems(spark, sf):
+    return S.library_problems(S.parse_library(table(spark, sf, "part").selectExpr("p_partkey AS ord", f"{LIBRARY} AS xml")))
+
+
 @query("a7_markdown_blocks", f"""
 WITH l AS (SELECT doc_id, para_idx + 1 AS line_no, trim(line) AS t FROM ({MANUSCRIPT_LINES_SQL})),
 c AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '^#{{1,3}} ') THEN 'heading' ELSE 'para' END AS kind FROM l),
@@ -113,8 +122,11 @@ def a8(spark, sf):
 
 
 @query("a9_content_digest", """
-WITH h AS (SELECT source, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || ':' || sha256(text)) AS h FROM documents)
-SELECT source, count(*) AS files, sha256(count(*) || ':' || concat_ws(':', sum(('0x' || substr(h, 1, 12))::BIGINT), sum(('0x' || substr(h, 13, 12))::BIGINT), sum(('0x' || substr(h, 25, 12))::BIGINT), sum(('0x' || substr(h, 37, 12))::BIGINT), sum(('0x' || substr(h, 49, 12))::BIGINT), sum(('0x' || substr(h, 61, 12))::BIGINT))) AS digest FROM h GROUP BY source""")
+WITH h AS (SELECT source, sha256(length(CAST(doc_id AS VARCHAR)) || ':' || doc_id || ':' || sha256(text)) AS h FROM documents),
+leaf AS (SELECT source, substr(h, 1, 6) AS k, sha256(string_agg(h, ':' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY ALL),
+node AS (SELECT source, substr(k, 1, 3) AS k, sha256(string_agg(h, ':' ORDER BY k)) AS h, sum(n) AS n FROM leaf GROUP BY source, substr(k, 1, 3)),
+root AS (SELECT source, sha256(string_agg(h, ':' ORDER BY k)) AS h, CAST(sum(n) AS BIGINT) AS n FROM node GROUP BY source)
+SELECT source, n AS files, sha256(n || ':' || h) AS digest FROM root""")
 def a9(spark, sf):
     return S.content_digest(table(spark, sf, "documents"), "source", "doc_id", "text")
 
@@ -139,7 +151,7 @@ def a10_rejected(spark, sf):
 SELECT event_id, row_number() OVER (ORDER BY event_id) AS row_number, CAST(ceil(row_number() OVER (ORDER BY event_id) / 40) AS BIGINT) AS batch FROM events""")
 def a11(spark, sf):
     rows = table(spark, sf, "events").select("event_id")
-    return batch_rows(rows, 40, "event_id", F.floor(F.col("event_id") / 1000))
+    return batch_rows(rows, 40, "event_id")
 
 
 @query("a12_write_exclusive", "SELECT s_suppkey, s_name FROM supplier")

@@ -15,13 +15,16 @@ def event_stream(spark, sf):
 
 
 @query("k1_open_operations_stream", f"""
-WITH l AS (SELECT {LEDGER_FIELDS} FROM events)
-SELECT seq, event FROM l WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM l r WHERE r.status <> 'pending' AND r.event = l.event AND r.ref = l.seq)
- AND epoch_ms(utc) + 3600000 < (SELECT epoch_ms(max(utc)) FROM l WHERE status = 'pending' OR ref IS NOT NULL) - 600000""")
+WITH l AS (SELECT {LEDGER_FIELDS} FROM events), t AS (SELECT *, epoch_us(utc) AS us FROM l),
+w AS (SELECT least(max(us) FILTER (status = 'pending'), max(us) FILTER (status <> 'pending' AND ref IS NOT NULL), max(us) FILTER (status = 'failed'), max(us) FILTER (status = 'complete')) - 600000000 AS mark FROM t)
+SELECT seq, event, 'interrupted' AS issue FROM t, w WHERE status = 'pending' AND us + 3600000000 < mark AND NOT EXISTS (
+  SELECT 1 FROM t r WHERE r.status <> 'pending' AND r.event = t.event AND r.ref = t.seq AND r.us BETWEEN t.us AND t.us + 3600000000)
+UNION ALL SELECT seq, event, 'failed' FROM t, w WHERE status = 'failed' AND us + 3600000000 < mark AND NOT EXISTS (
+  SELECT 1 FROM t d WHERE d.status = 'complete' AND d.pos > t.pos AND d.event = t.event AND d.version IS NOT DISTINCT FROM t.version AND d.reason IS NOT DISTINCT FROM t.reason AND d.us BETWEEN t.us AND t.us + 3600000000)""")
 def k1(spark, sf):
     rows = event_stream(spark, sf).selectExpr("event_id", "user_id", "event_type", "cast(ts as timestamp) AS ts")
     ledger = spark.sql(f"SELECT {LEDGER_FIELDS} FROM {{rows}}", rows=rows)
-    return S.replay(S.open_operations_stream(ledger), "append", "open-operations").select("seq", "event")
+    return S.replay(S.open_operations_stream(ledger), "append", "open-operations").select("seq", "event", "issue")
 
 
 @query("k2_history_fold_stream", FOLD_SQL + " SELECT * FROM f")

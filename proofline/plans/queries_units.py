@@ -56,6 +56,15 @@ def b4(spark, sf):
     return rows.select("doc_id", "para_idx", F.size("s").alias("sentences"), chars.alias("chars"))
 
 
+@query("l5_sentences_function", f"""
+SELECT doc_id, para_idx, sha256(replace(sentence, chr(2), '.')) AS sentence FROM ({SENTENCES_SQL.replace('@lines', LINES_SQL)})""")
+def l5(spark, sf):
+    """The sentences of every line, asked for in SQL."""
+    T.register_sentences(spark)
+    lines = U.paragraphs(table(spark, sf, "documents")).select("doc_id", "para_idx", "text")
+    return spark.sql("SELECT doc_id, para_idx, sha2(s.sentence, 256) AS sentence FROM {lines}, LATERAL sentence_rows(text) AS s", lines=lines)
+
+
 def region_case(text: str) -> str:
     return f"""CASE WHEN level = 1 AND regexp_matches({text}, '^(abstract|summary)', 'i') THEN 'abstract'
       WHEN level = 1 AND regexp_matches({text}, '^references', 'i') THEN 'references'

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
+from proofline.session import materialise
 
 
 def read_csv_checked(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
@@ -39,11 +40,20 @@ def parse_ledger(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """JSON-lines ledgers, one file per project, with line numbers."""
-    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
-    text = F.regexp_replace("value", "^﻿", "")
-    lines = files.select(F.col("file_path").alias("file"), F.posexplode(F.split(text, "\r\n|\r|\n", -1)).alias("n", "line"))
-    return parse_ledger(lines.select("file", (F.col("n") + 1).alias("line_no"), "line"))
+    """JSON-lines ledgers, one file per project, with line numbers; a long file is read by many tasks."""
+    lines = numbered_lines(spark, path)
+    return parse_ledger(lines.withColumn("line", F.when(F.col("line_no") == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line"))))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, which Spark splits into blocks: the numbers inside a block follow from its scan, and
+    each block starts behind the lines of the blocks before it (one row a block)."""
+    scanned = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    scanned = materialise(scanned, "lines")
+    blocks = scanned.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return scanned.join(blocks, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 # -- article XML -------------------------------------------------------------------------------
@@ -183,6 +193,23 @@ def library_map(records: DataFrame, key: str = "pmid") -> DataFrame:
         F.min_by(F.struct(*fields), "ord").alias("r"), F.count("*").alias("copies")).select(key, "r.*", "copies")
 
 
+def library_problems(records: DataFrame) -> DataFrame:
+    """Every record that needs a look, one row a problem: (ord, rec_number, problem, value, first).
+
+    ``first`` is the number of the record that has the id, label or record number already. Members of a group of repeats are rows that meet
+    the group's first member in a join; no list of a group is made.
+    """
+    row = lambda df, problem, value, first=None: df.select("ord", "rec_number", F.lit(problem).alias("problem"), F.col(value).alias("value"), (F.col(first) if first else F.lit(None)).cast("string").alias("first"))
+
+    def repeats(key: str, problem: str) -> DataFrame:
+        known = records.where(F.col(key).isNotNull())
+        firsts = known.groupBy(key).agg(F.min_by("rec_number", "ord").alias("first"), F.min("ord").alias("first_ord"), F.count("*").alias("n")).where("n > 1")
+        return row(known.join(firsts, key).where("ord <> first_ord"), problem, key, "first")
+    no_id = F.col("accession").isNotNull() & ~F.coalesce(F.col("pmid_from") == "accession", F.lit(False))
+    return (repeats("pmid", "duplicate id").unionByName(repeats("label", "duplicate label")).unionByName(repeats("rec_number", "duplicate record number"))
+            .unionByName(row(records.where("pmid IS NULL"), "no id", "title")).unionByName(row(records.where(no_id), "accession is no id", "accession")))
+
+
 def read_library(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", "</record>").text(path).withColumn("ord", F.monotonically_increasing_id())
     body = F.regexp_extract("value", r"(?s)(<record(?:\s[^>]*)?>.*)$", 1)
@@ -295,16 +322,18 @@ def normalise_ids(df: DataFrame, key: str, raw: str) -> tuple[DataFrame, DataFra
 def content_digest(files: DataFrame, group: str, name: str, body: str) -> DataFrame:
     """One digest per group over the names and contents of its files, whatever their order.
 
-    Each file is hashed alone; the group adds up the hashes limb by limb, so any number of files is
-    combined on the map side and no list of a group exists. Generated caches are left out.
+    A tree of hashes: each file is hashed alone; the sorted hashes of one beginning (six digits) give a digest, the digests of one
+    beginning (three digits) give another, and those the group's. No level lists more than 4,096 digests, or a 16-millionth of the files.
+    Generated caches are left out.
     """
     kept = files.where(~F.col(name).cast("string").rlike(r"(?:^|/)__pycache__(?:/|$)|\.py[co]$"))
     label = F.col(name).cast("string")
     one = F.sha2(F.concat_ws(":", F.length(label), label, F.sha2(F.col(body), 256)), 256)
-    limb = lambda i: F.conv(F.substr(F.col("_h"), F.lit(1 + 12 * i), F.lit(12)), 16, 10).cast("bigint")
-    sums = kept.select(group, one.alias("_h")).groupBy(group).agg(
-        F.count("*").alias("files"), *[F.sum(limb(i).cast("decimal(20,0)")).alias(f"_s{i}") for i in range(6)])
-    return sums.select(group, "files", F.sha2(F.concat_ws(":", "files", *[F.col(f"_s{i}").cast("decimal(38,0)").cast("string") for i in range(6)]), 256).alias("digest"))
+    level = kept.select(group, F.left(one, F.lit(6)).alias("_at"), one.alias("_h"), F.lit(1).cast("bigint").alias("files"))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_h"))), lambda x: x["_h"]), ":")
+        level = level.groupBy(group, F.left("_at", F.lit(digits)).alias("_at")).agg(F.sha2(joined, 256).alias("_h"), F.sum("files").alias("files"))
+    return level.select(group, "files", F.sha2(F.concat_ws(":", "files", "_h"), 256).alias("digest"))
 
 
 def write_exclusive(df: DataFrame, path: str) -> None:

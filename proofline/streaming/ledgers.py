@@ -2,77 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from proofline.operators.history import history_fold
+from proofline.operators.history import LEDGER_KEY, history_fold
 from proofline.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OPEN_SCHEMA = ST.StructType([
-    ST.StructField("event", ST.StringType()), ST.StructField("seq", ST.LongType()),
-    ST.StructField("opened_ms", ST.LongType())])
-
-
-class OpenOperation(StatefulProcessor):
-    """Per (event, operation): remembers a pending entry or an answer until its timer fires; then the key's state is gone."""
-
-    def __init__(self, timeout_ms: int):
-        self._timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._pending = handle.getValueState("pending", ST.StructType([ST.StructField("opened_ms", ST.LongType())]))
-        self._answered = handle.getValueState("answered", ST.StructType([ST.StructField("yes", ST.BooleanType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
-        for batch in rows:
-            latest = max(batch["opened_ms"].max(), latest) if latest is not None else batch["opened_ms"].max()
-            if (batch["status"] != "pending").any():
-                self._answered.update((True,))
-            opened = batch.loc[batch["status"] == "pending", "opened_ms"]
-            if len(opened) and not self._pending.exists():
-                self._pending.update((int(opened.min()),))
-        # one timer a key: an open operation's own deadline, else the end of what an answer has to be remembered for
-        for due in list(self._handle.listTimers()):
-            self._handle.deleteTimer(due)
-        waits = self._pending.exists() and not self._answered.exists()
-        self._handle.registerTimer(int(self._pending.get()[0] if waits else latest) + self._timeout_ms)
-        yield pd.DataFrame({"event": pd.Series(dtype="object"), "seq": pd.Series(dtype="int64"),
-                            "opened_ms": pd.Series(dtype="int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        opened = self._pending.get()[0] if self._pending.exists() else None
-        answered = self._answered.exists()
-        self._pending.clear()
-        self._answered.clear()
-        if opened is not None and not answered:
-            yield pd.DataFrame({"event": [key[0]], "seq": [int(key[1])], "opened_ms": [int(opened)]})
-
-    def close(self) -> None:
-        pass
 
 
 def open_operations_stream(ledger: DataFrame, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Operations still pending when the watermark passes their timeout (timeout and delay are ours).
+    """(seq, event, opened, issue): operations without an answer, and failed ones that no completion of their key follows, when the watermark
+    passes their timeout (timeout and delay are ours).
 
-    ``ledger(utc timestamp, seq, event, status, ref)`` as a stream. An answer is keyed by the entry
-    it refers to, so state is one small value per open operation.
+    ``ledger(utc timestamp, pos, seq, event, status, ref, version, reason, figure, figure_version)`` as a stream. Both are outer joins of
+    the stream with itself, bounded in time, so state ends with the timeout and no Python runs. Missing equals missing in the key.
     """
-    spark = ledger.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = ledger.where((F.col("status") == "pending") | F.col("ref").isNotNull()).select(
-        "utc", "event", F.when(F.col("status") == "pending", F.col("seq")).otherwise(F.col("ref")).cast("bigint").alias("op"),
-        "status", F.unix_millis("utc").alias("opened_ms")).withWatermark("utc", delay)
-    timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return rows.groupBy("event", "op").transformWithStateInPandas(
-        statefulProcessor=OpenOperation(timeout_ms), outputStructType=OPEN_SCHEMA, outputMode="append", timeMode="EventTime")
+    ledger.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    wait = F.expr(f"INTERVAL {timeout}")
+    part = lambda condition, *columns: ledger.where(condition).select(*columns)
+    opened = part("status = 'pending'", F.col("utc").alias("opened"), "seq", "event").withWatermark("opened", delay)
+    answers = part("status IN ('complete', 'failed') AND ref IS NOT NULL", F.col("utc").alias("answered"), F.col("ref").alias("_ref"), F.col("event").alias("_event")).withWatermark("answered", delay)
+    silent = opened.join(answers, (F.col("seq") == F.col("_ref")) & (F.col("event") == F.col("_event")) & (F.col("answered") >= F.col("opened"))
+                         & (F.col("answered") <= F.col("opened") + wait), "leftOuter").where("_ref IS NULL")
+    key = F.to_json(F.struct(*LEDGER_KEY), {"ignoreNullFields": "false"})
+    failed = part("status = 'failed'", F.col("utc").alias("opened"), "seq", "event", "pos", key.alias("key")).withWatermark("opened", delay)
+    done = part("status = 'complete'", F.col("utc").alias("done"), F.col("pos").alias("_pos"), key.alias("_key")).withWatermark("done", delay)
+    still = failed.join(done, (F.col("key") == F.col("_key")) & (F.col("_pos") > F.col("pos")) & (F.col("done") >= F.col("opened"))
+                        & (F.col("done") <= F.col("opened") + wait), "leftOuter").where("_key IS NULL")
+    return silent.select("seq", "event", "opened", F.lit("interrupted").alias("issue")).unionByName(
+        still.select("seq", "event", "opened", F.lit("failed").alias("issue")))
 
 
 def history_fold_stream(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as T
 from proofline.operators.findings import document_findings, rule, union_all
+from proofline.operators.settings import DocumentProfiles, with_settings
 from proofline.operators.units import REFERENCES_HEAD, TITLE_PAGE_LABEL
 
 # -- figures -----------------------------------------------------------------------------------
@@ -84,11 +85,9 @@ def figures(paras: DataFrame, profile: dict) -> DataFrame:
     gaps = figure_gaps(captions, calls)
     out.append(document_findings(gaps, "figures.gap", F.concat_ws(
         " ", F.lit("Figure"), F.col("figure"), F.lit("is never cited")), **at))
-    top = (profile.get("figures") or {}).get("recommended_max")
-    if top:
-        over = figure_counts(captions, calls).where(F.col("figures") > int(top))
-        out.append(document_findings(over, "limits.figures", F.concat_ws(
-            " ", F.col("figures"), F.lit(f"figures; at most {top} recommended"))))
+    over = with_settings(figure_counts(captions, calls), profile, _top="figures.recommended_max").where("_top > 0 AND figures > _top")
+    out.append(document_findings(over, "limits.figures", F.concat_ws(
+        " ", F.col("figures"), F.lit("figures; at most"), F.col("_top"), F.lit("recommended"))))
     return union_all(out)
 
 
@@ -261,39 +260,34 @@ def title_measures(paras: DataFrame, count_spaces: bool = True) -> DataFrame:
         "doc_id", title["para_idx"].alias("title_idx"), F.length(F.btrim(title["text"])).alias("title_chars"),
         F.col("running.para_idx").alias("running_idx"),
         F.length(running if count_spaces else F.replace(running, F.lit(" "), F.lit(""))).alias("running_chars"),
+        F.length(F.replace(running, F.lit(" "), F.lit(""))).alias("running_solid"),
         F.col("keywords.para_idx").alias("keywords_idx"),
         F.when(F.col("keywords").isNotNull(), F.size(words)).alias("keywords"))
 
 
 @rule("limits.title", "limits.running-title", "limits.keywords", "limits.missing")
 def title_limits(paras: DataFrame, profile: dict) -> DataFrame:
-    short, words = profile.get("short_title") or {}, profile.get("keywords") or {}
-    title_max = (profile.get("title") or {}).get("max_chars")
-    m = title_measures(paras, short.get("counts_spaces", True))
+    m = with_settings(title_measures(paras), profile, _title="title.max_chars", _short="short_title.max_chars",
+                      _spaces="short_title.counts_spaces", _most="keywords.max", _least="keywords.min")
+    m = m.withColumn("running_chars", F.when(F.coalesce("_spaces", F.lit(True)), F.col("running_chars")).otherwise(F.col("running_solid")))
     out = []
 
-    def over(column, limit, name, label, idx):
-        out.append(document_findings(m.where(F.col(column) > int(limit)), name, F.concat_ws(
-            " ", F.lit(label), F.col(column), F.lit(f"over the limit of {limit}")), para_idx=F.col(idx)))
-
-    def missing(column, label):
-        out.append(document_findings(m.where(F.col(column).isNull()), "limits.missing", f"no {label} found"))
-
-    if title_max:
-        over("title_chars", title_max, "limits.title", "title characters:", "title_idx")
-        missing("title_idx", "title")
-    if short.get("max_chars"):
-        over("running_chars", short["max_chars"], "limits.running-title", "running title characters:", "running_idx")
-        missing("running_idx", "running title")
-    if words.get("max"):
-        over("keywords", words["max"], "limits.keywords", "keywords:", "keywords_idx")
-    if words.get("min"):
-        few = m.where(F.col("keywords") < int(words["min"]))
-        out.append(document_findings(few, "limits.keywords", F.concat_ws(
-            " ", F.lit("keywords:"), F.col("keywords"), F.lit(f"under the minimum of {words['min']}")),
-            para_idx=F.col("keywords_idx")))
-        missing("keywords_idx", "keywords line")
-    return union_all(out) if out else document_findings(m.where("false"), "limits.missing", "")
+    def over(column, limit, name, label, idx, low=False):
+        beyond = (F.col(limit) > 0) & (F.col(column) < F.col(limit) if low else F.col(column) > F.col(limit))
+        out.append(document_findings(m.where(beyond), name, F.concat_ws(
+            " ", F.lit(label), F.col(column), F.lit("under the minimum of" if low else "over the limit of"), F.col(limit)), para_idx=F.col(idx)))
+
+    def missing(column, limit, label):
+        out.append(document_findings(m.where((F.col(limit) > 0) & F.col(column).isNull()), "limits.missing", f"no {label} found"))
+
+    over("title_chars", "_title", "limits.title", "title characters:", "title_idx")
+    missing("title_idx", "_title", "title")
+    over("running_chars", "_short", "limits.running-title", "running title characters:", "running_idx")
+    missing("running_idx", "_short", "running title")
+    over("keywords", "_most", "limits.keywords", "keywords:", "keywords_idx")
+    over("keywords", "_least", "limits.keywords", "keywords:", "keywords_idx", low=True)
+    missing("keywords_idx", "_least", "keywords line")
+    return union_all(out)
 
 
 def abstract_measures(paras: DataFrame) -> DataFrame:
@@ -305,32 +299,23 @@ def abstract_measures(paras: DataFrame) -> DataFrame:
 
 @rule("limits.abstract-words", "abstract.format")
 def abstract_limits(paras: DataFrame, profile: dict) -> DataFrame:
-    rules = profile.get("abstract") or {}
-    m = abstract_measures(paras)
-    out = []
-    if rules.get("max_words"):
-        out.append(document_findings(m.where(F.col("words") > int(rules["max_words"])), "limits.abstract-words",
-                                     F.concat_ws(" ", F.lit("abstract has"), F.col("words"), F.lit("words")),
-                                     para_idx=F.col("para_idx")))
-    if rules.get("format") == "single_paragraph":
-        out.append(document_findings(m.where(F.col("paragraphs") > 1), "abstract.format", F.concat_ws(
-            " ", F.lit("abstract has"), F.col("paragraphs"), F.lit("paragraphs")), para_idx=F.col("para_idx")))
-    return union_all(out) if out else document_findings(m.where("false"), "abstract.format", "")
+    m = with_settings(abstract_measures(paras), profile, _most="abstract.max_words", _form="abstract.format")
+    return union_all([
+        document_findings(m.where("_most > 0 AND words > _most"), "limits.abstract-words", F.concat_ws(
+            " ", F.lit("abstract has"), F.col("words"), F.lit("words")), para_idx=F.col("para_idx")),
+        document_findings(m.where("_form = 'single_paragraph' AND paragraphs > 1"), "abstract.format", F.concat_ws(
+            " ", F.lit("abstract has"), F.col("paragraphs"), F.lit("paragraphs")), para_idx=F.col("para_idx"))])
 
 
 @rule("limits.word-count", "limits.word-count-stated")
 def count_limits(paras: DataFrame, profile: dict) -> DataFrame:
-    limit = profile.get("word_limit") or {}
-    severity = str(limit.get("severity") or "warn").lower()
-    severity = severity if severity in ("error", "warn", "info") else (
-        "error" if severity in ("hard", "fail") else "warn")
     counts, stated = word_counts(paras), stated_counts(paras)
-    out = []
-    if limit.get("max"):
-        out.append(document_findings(counts.where(F.col("house") > int(limit["max"])), "limits.word-count", F.concat_ws(
-            " ", F.col("house"), F.lit(f"words; the limit is {limit['max']}")), severity=severity))
-        out.append(document_findings(section_bounds(paras).where(F.col("missing").isNotNull()), "limits.missing",
-                                     F.concat(F.lit("word count not computed: no "), F.col("missing"))))
+    asked = F.lower("_severity")
+    severity = F.when(asked.isin("error", "warn", "info"), asked).when(asked.isin("hard", "fail"), "error").otherwise("warn")
+    over = with_settings(counts, profile, _most="word_limit.max", _severity="word_limit.severity").where("_most > 0 AND house > _most")
+    unknown = with_settings(section_bounds(paras).where(F.col("missing").isNotNull()), profile, _most="word_limit.max").where("_most > 0")
+    out = [document_findings(over, "limits.word-count", F.concat_ws(" ", F.col("house"), F.lit("words; the limit is"), F.col("_most")), severity=severity),
+           document_findings(unknown, "limits.missing", F.concat(F.lit("word count not computed: no "), F.col("missing")))]
     wrong = stated.join(counts, "doc_id").where(~F.col("stated").eqNullSafe(F.col("house")))
     out.append(document_findings(wrong, "limits.word-count-stated", F.concat_ws(
         " ", F.lit("stated"), F.coalesce(F.col("stated").cast("string"), F.lit("no number")), F.lit("counted"),
@@ -340,11 +325,10 @@ def count_limits(paras: DataFrame, profile: dict) -> DataFrame:
 
 @rule("limits.references")
 def reference_limit(paras: DataFrame, profile: dict) -> DataFrame:
-    top = (profile.get("references") or {}).get("recommended_max")
     bib = paras.where(F.col("is_bib") & (F.btrim("text") != "")).groupBy("doc_id").agg(
         F.count("*").alias("n"), F.min("para_idx").alias("para_idx"))
-    return document_findings(bib.where(F.col("n") > int(top)) if top else bib.where("false"), "limits.references",
-                             F.concat_ws(" ", F.col("n"), F.lit(f"references; at most {top} recommended")),
+    bib = with_settings(bib, profile, _top="references.recommended_max").where("_top > 0 AND n > _top")
+    return document_findings(bib, "limits.references", F.concat_ws(" ", F.col("n"), F.lit("references; at most"), F.col("_top"), F.lit("recommended")),
                              para_idx=F.col("para_idx"))
 
 
@@ -401,12 +385,17 @@ def declaration_positions(paras: DataFrame, keys: list[str]) -> DataFrame:
 
 @rule("declarations.missing", "declarations.order")
 def declarations(paras: DataFrame, profile: dict) -> DataFrame:
-    keys = list((profile.get("declarations") or {}).get("order") or [])
+    if isinstance(profile, DocumentProfiles):
+        asked = profile.frame.select(F.explode("profile.declarations.order").alias("k")).distinct()
+        keys = sorted(r["k"] for r in asked.collect() if r["k"])      # names that profiles use, not documents
+    else:
+        keys = list((profile.get("declarations") or {}).get("order") or [])
     if not keys:
         return document_findings(paras.where("false"), "declarations.missing", "")
-    found = declaration_positions(paras, keys)
-    wanted = F.array(*[F.lit(k) for k in keys])
     docs = paras.where(~F.col("title_page_only")).groupBy("doc_id").agg(F.lit(1).alias("_one"))
+    docs = with_settings(docs, profile, _order="declarations.order").where(F.size("_order") > 0)
+    found = declaration_positions(paras, keys).join(docs.select("doc_id", "_order"), "doc_id").where(F.array_contains("_order", F.col("declaration"))).drop("_order")
+    wanted = F.col("_order")
     per = docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("para_idx", "declaration")).alias("f")),
                     "doc_id", "left")
     have = F.coalesce(F.transform("f", lambda x: x["declaration"]), F.array().cast("array<string>"))

@@ -24,12 +24,12 @@ WEAK_COMPANY = 2        # ours: a weak hit needs two other rules in the same par
 TITLE_CASE_SHARE = 0.6  # ours: share of capitalised long words in a heading
 
 # -- patterns ----------------------------------------------------------------------------------
-CONTRAST = (r"(?i)" + EDGE_LEFT + r"(?:not (?:just|only|merely|simply) [^.!?;]{1,80}[,;] ?but|"
-            r"(?:it|this|that)(?:'s|’s| is) not (?:just |only |merely )?[^.!?]{1,80}[;,.] (?:it|this|that)(?:'s|’s| is)|"
-            r"isn(?:'|’)t (?:just |only )?[^.!?;]{1,80}[,;] it(?:'|’)s|"
-            r"does not mean [^.!?]{1,120}[.] it means|"
+CONTRAST = (r"(?i)" + EDGE_LEFT + r"(?:not (?:just|only|merely|simply) [^.!?;]+[,;] ?but|"
+            r"(?:it|this|that)(?:'s|’s| is) not (?:just |only |merely )?[^.!?]+[;,.] (?:it|this|that)(?:'s|’s| is)|"
+            r"isn(?:'|’)t (?:just |only )?[^.!?;]+[,;] it(?:'|’)s|"
+            r"does not mean [^.!?]+[.] it means|"
             r", no guessing)" + EDGE_RIGHT)
-CONTRAST_OTHER = "不仅[^。！？]{1,40}而且|不仅仅是[^。！？]{1,40}而是"
+CONTRAST_OTHER = "不仅[^。！？]+而且|不仅仅是[^。！？]+而是"
 TRIAD = r"(?i)[\p{L}-]+(?: [\p{L}-]+)?, [\p{L}-]+(?: [\p{L}-]+)?,? and [\p{L}-]+"
 DASH = r"—|–| -- "
 PASSIVE = r"(?i)" + EDGE_LEFT + r"(?:is|are|was|were|be|been|being) (?:[a-z]+ly )?[a-z]+(?:ed|en)" + EDGE_RIGHT
@@ -38,7 +38,7 @@ BOLD = r"(?<!\*)\*\*[^*\s][^*]*\*\*(?!\*)"
 INLINE_HEADER = r"^\s*[-*•] \*\*[^*]+(?::\*\*|\*\*:)"
 CURLY = "[“”]"
 COLON = r"[\p{Ll}]: [\p{Ll}]"
-FALSE_RANGE = r"(?i)" + EDGE_LEFT + r"from [\p{L}' -]{2,40} to [\p{L}]+" + EDGE_RIGHT
+FALSE_RANGE = r"(?i)" + EDGE_LEFT + r"from [\p{L}' -]{2,} to [\p{L}]+" + EDGE_RIGHT
 DECORATION = r"[→⇒\x{1F300}-\x{1FAFF}\x{2705}\x{2728}\x{26A0}]"
 HYPHEN_AFTER = (r"(?i)" + EDGE_LEFT + "(?:" + "|".join(HYPHENATED) + r")(?=[.,;:!?]|$| (?:and|or|but)" + EDGE_RIGHT
                 + ")")
@@ -61,6 +61,79 @@ def phrase_pattern(phrases: Sequence[str], opens_sentence: bool = False, other_s
     return "(?i)" + (f"{words}|{others}" if others else words)
 
 
+#: Capitals and the typographic apostrophe, each for one plain character, so places stay.
+_PLAIN = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ’", "abcdefghijklmnopqrstuvwxyz'")
+OPENS_SENTENCE = r"(?:^|[.!?][\"'”’)]{0,2}\s{1,3})$"
+
+
+def trie_pattern(phrases: Sequence[str], edges: bool) -> str:
+    """A pattern for the longest of the phrases at a place, as a trie: a beginning that many share is tried once."""
+    root: dict = {}
+    for phrase in phrases:
+        node = root
+        for letter in phrase:
+            node = node.setdefault(letter, {})
+        node[""] = EDGE_RIGHT if edges and phrase[-1].isalnum() else ""
+
+    def written(node: dict) -> str:
+        tail = ""
+        while len(node) == 1 and "" not in node:         # an unbranched stretch
+            letter, node = next(iter(node.items()))
+            tail += re.escape(letter).replace("\\ ", " ")
+        options = [re.escape(c).replace("\\ ", " ") + written(child) for c, child in sorted(node.items()) if c]
+        if "" in node:
+            options.append(node[""])                     # last, so that longer phrases go first
+        return tail + (options[0] if len(options) == 1 else f"(?:{'|'.join(options)})")
+    return written(root)
+
+
+def _meanings(lexicon: Sequence[LexiconRule]) -> dict[str, list[tuple[str, int, bool, bool]]]:
+    """For each phrase, of every rule the longest phrase that it begins with: (rule, length, weak, opens a sentence)."""
+    found: dict[str, list] = {}
+    for edges in (True, False):
+        of_rule = [(r, {p.lower() if edges else p for p in (r.phrases if edges else r.other_scripts)}) for r in lexicon]
+        for phrase in set().union(*(own for _, own in of_rule)) if of_rule else ():
+            for r, own in of_rule:
+                fits = [p for p in own if phrase.startswith(p) and (len(p) == len(phrase) or not (edges and p[-1].isalnum() and (phrase[len(p)].isalnum() or phrase[len(p)] == "_")))]
+                if fits:
+                    found.setdefault(phrase, []).append((r.rule, max(map(len, fits)), r.weak, r.opens_sentence and edges))
+    return found
+
+
+def phrase_hits(text: Column, lexicon: Sequence[LexiconRule]) -> Column:
+    """Hits of all phrase rules in one pass over a line.
+
+    One trie marks the longest phrase at every place; what it means to each rule is looked up; within a rule, hits do not overlap.
+    """
+    kind = "array<struct<rule:string,start:int,end:int,phrase:string,weak:boolean>>"
+    words = sorted({p.lower() for r in lexicon for p in r.phrases})
+    others = sorted({p for r in lexicon for p in r.other_scripts})
+    if not words and not others:
+        return F.array().cast(kind)
+    either = [f"{EDGE_LEFT}{trie_pattern(words, True)}"] * bool(words) + [trie_pattern(others, False)] * bool(others)
+    known = _meanings(lexicon)
+    meaning = F.create_map(*[x for phrase, rules in known.items() for x in (F.lit(phrase), F.array(*[F.struct(
+        F.lit(rule).alias("rule"), F.lit(size).alias("size"), F.lit(weak).alias("weak"), F.lit(opens).alias("opens")) for rule, size, weak, opens in rules]))])
+    marked = F.regexp_replace(F.translate(T.without_marks(text), *_PLAIN), F.lit(f"(?=({'|'.join(either)}))"), F.lit(f"{T.MATCH_MARK}$1{T.GROUP_MARK}"))
+
+    def place(acc, piece):
+        phrase = F.substring_index(piece, T.GROUP_MARK, 1)
+        return F.struct((acc["pos"] + F.length(piece) - F.length(phrase) - 1).alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), phrase.alias("phrase")))).alias("out"))
+
+    def apart(acc, hit):
+        return F.when(F.exists(acc, lambda h: (h["rule"] == hit["rule"]) & (h["end"] > hit["start"])), acc).otherwise(F.concat(acc, F.array(hit)))
+
+    def hits(pieces):
+        start = F.struct(F.length(F.get(pieces, 0)).alias("pos"), F.array().cast("array<struct<start:int,phrase:string>>").alias("out"))
+        places = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, place, lambda acc: acc["out"])
+        found = F.flatten(F.transform(places, lambda p: F.transform(F.try_element_at(meaning, p["phrase"]), lambda m: F.struct(
+            m["rule"].alias("rule"), p["start"].alias("start"), (p["start"] + m["size"]).alias("end"), F.substr(text, p["start"] + 1, m["size"]).alias("phrase"), m["weak"].alias("weak"), m["opens"].alias("opens")))))
+        found = F.filter(found, lambda h: ~h["opens"] | F.substr(text, F.lit(1), h["start"]).rlike(OPENS_SENTENCE))
+        found = F.transform(found, lambda h: F.struct(*[h[c].alias(c) for c in ("rule", "start", "end", "phrase", "weak")])).cast(kind)
+        return F.when(F.size(pieces) > 1, F.aggregate(found, F.array().cast(kind), apart)).otherwise(F.array().cast(kind))
+    return T.let(F.split(marked, T.MATCH_MARK, -1), hits)
+
+
 def _hits(text: Column, rule: str, pattern: str, weak: bool = False, hints: tuple[str, ...] = ()) -> Column:
     return F.transform(T.spans(text, pattern, hints=hints), lambda s: F.struct(
         F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("phrase"),
@@ -78,9 +151,7 @@ def line_hits(text: str = "text", lexicon: Sequence[LexiconRule] = LEXICON) -> C
         _hits(body, "prose.inline-header", INLINE_HEADER, hints=("**",)), _hits(body, "prose.curly-quote", CURLY, True, ("“", "”")),
         _hits(body, "prose.colon", COLON, hints=(": ",)), _hits(body, "prose.false-range", FALSE_RANGE, hints=("from ",)),
     ]
-    found += [_hits(body, r.rule, phrase_pattern(r.phrases, r.opens_sentence, r.other_scripts), r.weak)
-              for r in lexicon]
-    return F.concat(*found)
+    return F.concat(*found, phrase_hits(body, lexicon))
 
 
 def outside_quotes(hits: Column, text: str = "text") -> Column:

@@ -12,9 +12,9 @@ from proofline.operators.matching import best_title_match, title_coverage
 
 # Placeholder forms.
 ID_GROUP = (r"(?i)\[PMIDs?\s*:\s*\d{1,9}(?!\d)(?:(?:\s*[,;]\s*|\s+)\d{1,9}(?!\d))*\s*[,;]?\s*\]")
-KEY_FORM = r"(?i)\[REF\s*:\s*[^\[\]\n]{1,120}?\s*\]"
-TEMPORARY = r"(?i)\{(?:(?!\{|\})[^\n]){1,600}?#\s*\d+(?:(?!\{|\})[^\n]){0,200}?\}"
-MALFORMED = r"(?i)\[(?:PMIDs?|REF)\b[^\]\n]{0,80}\]?"
+KEY_FORM = r"(?i)\[REF\s*:\s*[^\[\]\n]+\]"
+TEMPORARY = r"(?i)\{[^{}\n]+?#\s*\d+[^{}\n]*\}"
+MALFORMED = r"(?i)\[(?:PMIDs?|REF)\b[^\]\n]*\]?"
 CITE_FORM = r"^\s*(.*?)\s*(?:,\s*(\d{4}[a-z]?|n\.d\.))?\s*#\s*(\d+)\s*$"
 
 
@@ -233,12 +233,18 @@ def record_index(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_id.select("pmid", "r"), by_doi.select("doi", "r")
 
 
+def spread_nulls(key: Column, *by: str) -> Column:
+    """A join key whose NULLs, which match nothing, are dealt over all tasks instead of meeting in one."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*by).cast("string")))
+
+
 def lookup(requests: DataFrame, by_id: DataFrame, by_doi: DataFrame) -> DataFrame:
     """Attach the record found by id, else by DOI, as struct ``record`` (NULL when none)."""
     doi = T.normalise_doi("doi")
     ids = by_id.select(F.col("pmid").alias("_pmid"), F.col("r").alias("_by_id"))
     dois = by_doi.select(F.col("doi").alias("_doi"), F.col("r").alias("_by_doi"))
-    out = requests.join(ids, F.col("pmid") == F.col("_pmid"), "left").join(dois, doi == F.col("_doi"), "left")
+    own = [c for c in requests.columns if c not in ("pmid", "doi")] or ["pmid", "doi"]
+    out = requests.join(ids, spread_nulls(F.col("pmid"), *own) == F.col("_pmid"), "left").join(dois, spread_nulls(doi, *own) == F.col("_doi"), "left")
     return out.withColumn("record", F.coalesce("_by_id", "_by_doi")).drop("_pmid", "_by_id", "_doi", "_by_doi")
 
 
@@ -254,7 +260,8 @@ def bibliography_audit(entries: DataFrame, records: DataFrame, failed_dois: Data
     copies = rows.where("doi_key IS NOT NULL").groupBy("doc_id", "doi_key").agg(F.count("*").alias("copies"))
     rows = rows.join(copies, ["doc_id", "doi_key"], "left")
     _, by_doi = record_index(records)
-    rows = rows.join(by_doi.select(F.col("doi").alias("doi_key"), F.col("r").alias("by_doi")), "doi_key", "left")
+    key = spread_nulls(F.col("doi_key"), "doc_id", "para_idx")
+    rows = rows.join(by_doi.select(F.col("doi").alias("_doi"), F.col("r").alias("by_doi")), key == F.col("_doi"), "left").drop("_doi")
     bare = rows.where("doi_key IS NULL").select("doc_id", "para_idx", "text")
     titled = best_title_match(
         bare.withColumn("entry_id", F.struct("doc_id", "para_idx")),
@@ -264,8 +271,8 @@ def bibliography_audit(entries: DataFrame, records: DataFrame, failed_dois: Data
     rows = rows.join(by_title.select("doc_id", "para_idx", "by_title"), ["doc_id", "para_idx"], "left")
     rows = rows.withColumn("record", F.coalesce("by_doi", "by_title"))
     if failed_dois is not None:
-        failed = failed_dois.select(T.normalise_doi("doi").alias("doi_key"), F.lit(True).alias("failed")).distinct()
-        rows = rows.join(failed, "doi_key", "left")
+        failed = failed_dois.select(T.normalise_doi("doi").alias("_doi"), F.lit(True).alias("failed")).distinct()
+        rows = rows.join(failed, key == F.col("_doi"), "left").drop("_doi")
     else:
         rows = rows.withColumn("failed", F.lit(None).cast("boolean"))
     has = F.col("record").isNotNull()

@@ -38,10 +38,10 @@ EPONYM_PAIRS = (
     ("Wilcoxon", "Mann"), ("Welch", "Satterthwaite"),
 )
 EPONYM = r"(?U)\b(?:" + "|".join(f"{a}[-‐‑]{b}" for a, b in EPONYM_PAIRS) + r")\b"
-ADDRESS_PLACEHOLDER = (r"(?i)\[PMIDs?\s*:\s*[\d,;\s]+\]|\[REF\s*:\s*[^\]\n]{1,80}\]"
-                       r"|\{[^{}\n]{1,200}?#\d+[^{}\n]*\}")
+ADDRESS_PLACEHOLDER = (r"(?i)\[PMIDs?\s*:\s*[\d,;\s]+\]|\[REF\s*:\s*[^\]\n]+\]"
+                       r"|\{[^{}\n]+?#\d+[^{}\n]*\}")
 REFERENCE_PLACEHOLDER = r"(?i)\[REFS?\s*:\s*[^\]\n]+\]"
-BRACE_PLACEHOLDER = (r"\{[A-Z][^{}\n]{0,80}?,\s*(?:\d{4}[a-z]?|n\.d\.|in press)(?:\s*#\s*\d+)?"
+BRACE_PLACEHOLDER = (r"\{[A-Z][^{}\n]*?,\s*(?:\d{4}[a-z]?|n\.d\.|in press)(?:\s*#\s*\d+)?"
                      r"(?:\s*;[^{}\n]*)?\}")
 PLACEHOLDERS = (ADDRESS_PLACEHOLDER, REFERENCE_PLACEHOLDER, BRACE_PLACEHOLDER)
 CITATION_GROUP = rf"\d{{1,4}}(?:{SP}*[,–\-]{SP}*\d{{1,4}})*"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from proofline.functions import text as T
 from proofline.functions.spelling_table import US_FORM_VARIETIES, spelling_rows
-from proofline.operators.findings import COLUMNS, document_findings, finding, rule, spread, union_all
+from proofline.operators.findings import document_findings, finding, rule, spread, union_all
+from proofline.operators.settings import with_settings
 from proofline.operators.typography import flagged_at, placeholder_spans
 
 # -- spelling ----------------------------------------------------------------------------------
@@ -385,24 +386,17 @@ def abbreviations(paras: DataFrame, profile: dict) -> DataFrame:
 @rule("abstract.abbreviation", "abstract.citation")
 def abstract_content(paras: DataFrame, profile: dict) -> DataFrame:
     """Abbreviations and citations in the abstract when the profile forbids them."""
-    forbid = {str(x).lower() for x in ((profile.get("abstract") or {}).get("forbid") or [])}
     scope = paras.where((F.col("region") == "abstract") & (F.col("level") == 0) & (F.btrim("text") != ""))
-    kinds = []
-    if "abbreviations" in forbid:
-        kinds.append(F.transform(abbreviation_tokens(), lambda t: finding(
-            "abstract.abbreviation", t["start"], t["end"], F.concat(F.lit("abbreviation "), t["core"]),
-            "spell it out in the abstract")))
-    if forbid & {"citations", "references"}:
-        cited = F.filter("spans", lambda s: s["kind"] == "CITATION")
-        first = F.coalesce(F.get(cited, 0)["start"], F.get(placeholder_spans("text"), 0)["start"])
-        last = F.coalesce(F.get(cited, 0)["end"], F.get(placeholder_spans("text"), 0)["end"])
-        kinds.append(F.array_compact(F.array(F.when(first.isNotNull(), finding(
-            "abstract.citation", first, last, "citation in the abstract", "remove it from the abstract")))))
-    if not kinds:
-        return paras.sparkSession.createDataFrame([], ", ".join(
-            f"{c} {'bigint' if c == 'doc_id' else 'int' if c in ('para_idx', 'start', 'end') else 'string'}"
-            for c in COLUMNS))
-    return spread(scope, F.concat(*kinds))
+    scope = with_settings(scope, profile, _forbid="abstract.forbid").where(F.size("_forbid") > 0)
+    forbids = lambda *names: F.exists("_forbid", lambda x: F.lower(x).isin(*names))
+    short = F.transform(abbreviation_tokens(), lambda t: finding(
+        "abstract.abbreviation", t["start"], t["end"], F.concat(F.lit("abbreviation "), t["core"]), "spell it out in the abstract"))
+    cited = F.filter("spans", lambda s: s["kind"] == "CITATION")
+    first = F.coalesce(F.get(cited, 0)["start"], F.get(placeholder_spans("text"), 0)["start"])
+    last = F.coalesce(F.get(cited, 0)["end"], F.get(placeholder_spans("text"), 0)["end"])
+    citation = finding("abstract.citation", first, last, "citation in the abstract", "remove it from the abstract")
+    return spread(scope, F.concat(F.filter(short, lambda _: forbids("abbreviations")),
+                                  F.array_compact(F.array(F.when(forbids("citations", "references") & first.isNotNull(), citation)))))
 
 
 # Words beside a symbol that make it a gene or transcript.

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proofline.operators import findings as FX
-from proofline.operators import limits, typography, wording  # noqa: F401  (rules register on import)
+from proofline.operators import limits, typography, wording
+from proofline.operators.settings import CONVENTIONS, PROFILE_TYPE, DocumentProfiles
 from proofline.operators.units import structured_paragraphs
 from proofline.session import materialise
+from proofline.sources.readers import overlay
+
+#: Rules that compare a document's measures with limits, which are columns; the others follow conventions of notation.
+LIMIT_RULES = (limits.figures, limits.title_limits, limits.abstract_limits, limits.count_limits, limits.reference_limit, limits.declarations,
+               wording.abstract_content)
+_ = typography                                   # its rules register on import
 
 # House profile: limits and conventions used when a profile leaves a value open.
 DEFAULT_PROFILE = {
@@ -51,3 +63,47 @@ def lint_documents(docs: DataFrame, profile: dict | None = None, written: bool =
     """Findings over raw documents; the paragraphs are written to the shared folder once, unless ``written`` is false."""
     paras = structured_paragraphs(docs)
     return lint_paragraphs(materialise(paras, "lint-paragraphs") if written else paras, profile)
+
+
+def document_profiles(docs: DataFrame, profiles: DataFrame, default: dict | None = None) -> DataFrame:
+    """(doc_id, profile struct): each document's profile over the default, leaf by leaf.
+
+    ``docs(doc_id, profile_name)``, ``profiles(profile_name, profile)`` with ``profile`` of PROFILE_TYPE or a JSON text of it; a document of an
+    unknown name has the default.
+    """
+    base = merge_profile(DEFAULT_PROFILE, default or {})
+    kind = StructType.fromDDL(PROFILE_TYPE)
+    own = F.from_json("profile", kind) if dict(profiles.dtypes)["profile"] == "string" else F.col("profile").cast(kind)
+    rows = docs.select("doc_id", "profile_name").join(profiles.select("profile_name", own.alias("_own")), "profile_name", "left")
+    rows = rows.withColumn("_default", F.from_json(F.lit(json.dumps({k: v for k, v in base.items() if k in kind.names})), kind))
+    nothing = F.from_json(F.lit("{}"), kind)
+    return rows.withColumn("_own", F.coalesce("_own", nothing)).select("doc_id", overlay(F.col("_default"), F.col("_own"), kind).alias("profile"))
+
+
+def lint_paragraphs_by(paras: DataFrame, profiles: DataFrame, wanted: Iterable[str] | None = None) -> DataFrame:
+    """Findings of every registered rule, each document by its own profile (doc_id, profile), in one job.
+
+    Limits, declarations and what an abstract may hold are columns that meet each document's measures in a join. Conventions of notation
+    steer expressions, so documents are linted once for each set of conventions in use, of which there are as many as house styles.
+    With ``wanted`` rule ids, only the functions that can emit them run.
+    """
+    functions = list(dict.fromkeys(fn for name, fn in FX.REGISTRY.items() if wanted is None or name in set(wanted)))
+    profiles = materialise(profiles, "profiles")
+    style = F.to_json(F.struct(*[F.col(f"profile.{c}").alias(c.replace(".", "_")) for c in CONVENTIONS]))
+    styled = materialise(profiles.select("doc_id", style.alias("style"), "profile"), "profiles")
+    other = [fn for fn in functions if fn not in LIMIT_RULES]
+    first = styled.groupBy("style").agg(F.first(F.to_json("profile")).alias("profile")).collect() if other else []
+    found = [fn(paras, DocumentProfiles(DEFAULT_PROFILE, profiles)) for fn in functions if fn in LIMIT_RULES]
+    for row in sorted(first, key=lambda r: r["style"]):
+        own = paras if len(first) == 1 else paras.join(styled.where(F.col("style") == row["style"]).select("doc_id"), "doc_id", "left_semi")
+        found += [fn(own, json.loads(row["profile"])) for fn in other]
+    rows = FX.union_all(found).join(profiles.select("doc_id", F.col("profile.lint.disabled_rules").alias("_off")), "doc_id", "left")
+    off = F.exists("_off", lambda x: (F.col("rule") == x) | F.startswith("rule", F.concat(F.rtrim(x, F.lit(".")), F.lit("."))))
+    rows = rows.where(~F.coalesce(off, F.lit(False))).drop("_off")
+    return rows if wanted is None else rows.where(F.col("rule").isin(*wanted))
+
+
+def lint_documents_by(docs: DataFrame, profiles: DataFrame, default: dict | None = None) -> DataFrame:
+    """Findings over ``docs(doc_id, text, profile_name)``, each document by the profile that it names in ``profiles(profile_name, profile)``."""
+    paras = materialise(structured_paragraphs(docs.select("doc_id", "text")), "lint-paragraphs")
+    return lint_paragraphs_by(paras, document_profiles(docs, profiles, default))

@@ -11,7 +11,7 @@ from proofline.operators import typography as TY
 from proofline.operators import wording as W
 from proofline.operators.units import structured_paragraphs, with_defaults
 from proofline.plans.catalog import manuscripts, query, quoted, table
-from proofline.plans.lint import lint_paragraphs, merge_profile
+from proofline.plans.lint import document_profiles, lint_paragraphs, lint_paragraphs_by, merge_profile
 from proofline.plans.queries_units import REGIONS_SQL
 from proofline.session import materialise
 
@@ -377,7 +377,7 @@ def c38(spark, sf):
 
 @query("c39_declarations", f"""
 WITH c AS (SELECT doc_id, para_idx, CASE WHEN level > 0 THEN trim(text) ELSE split_part(trim(text), ':', 1) END AS label FROM ({REGIONS_SQL})
-  WHERE region IN ('body', 'appendix', 'front') AND (level > 0 OR contains(substr(trim(text), 1, 70), ':'))),
+  WHERE region IN ('body', 'appendix', 'front') AND (level > 0 OR contains(trim(text), ':'))),
 f AS (SELECT doc_id, declaration, min(para_idx) AS para_idx FROM (SELECT *, CASE WHEN lower(label) = 'funding' THEN 'funding' WHEN lower(label) = 'data availability' THEN 'data_availability'
    WHEN lower(label) = 'author contributions' THEN 'author_contributions' END AS declaration FROM c) WHERE declaration IS NOT NULL GROUP BY ALL),
 o AS (SELECT doc_id, array_to_string(list(declaration ORDER BY para_idx), ',') AS actual, array_to_string(list(declaration ORDER BY declaration), ',') AS wanted FROM f GROUP BY doc_id)
@@ -470,3 +470,25 @@ def c44(spark, sf):
     affiliations = table(spark, sf, "supplier").selectExpr("s_nationkey AS doc_id", "s_suppkey % 7 AS key")
     contacts = customer.where("c_custkey % 10 IN (0, 3)").selectExpr("c_nationkey AS doc_id", "c_name AS name")
     return L.reference_integrity(authors, affiliations, contacts)
+
+
+@query("l2_profile_limits", f"""
+WITH k AS (SELECT c_custkey AS doc_id, c_nationkey % 5 AS p FROM customer), l AS (SELECT p, CASE p WHEN 0 THEN 20 WHEN 1 THEN 60 WHEN 3 THEN 100 END AS title_max, CASE p WHEN 0 THEN 12 WHEN 1 THEN 40 WHEN 2 THEN 20 ELSE 250 END AS words_max, CASE p WHEN 2 THEN 1 WHEN 4 THEN 2 END AS refs_max FROM range(5) r(p)),
+d AS (SELECT doc_id, coalesce(p, 9) AS p, coalesce(title_max, NULL) AS title_max, coalesce(words_max, 250) AS words_max, refs_max FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN l USING (p)),
+t AS (SELECT doc_id, title_chars FROM ({TITLES_SQL})), a AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS words FROM ({REGIONS_SQL}) WHERE region = 'abstract' AND level = 0 AND trim(text) <> '' GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n FROM ({PARAS_SQL}) WHERE is_bib AND trim(text) <> '' GROUP BY doc_id)
+SELECT doc_id, 'limits.title' AS rule FROM d JOIN t USING (doc_id) WHERE title_chars > title_max
+UNION ALL SELECT doc_id, 'limits.abstract-words' FROM d JOIN a USING (doc_id) WHERE words > words_max AND p <> 3
+UNION ALL SELECT doc_id, 'limits.references' FROM d JOIN b USING (doc_id) WHERE n > refs_max""")
+def l2(spark, sf):
+    """Documents of five journals, each with its own limits; the third journal switches a rule off, and documents without a journal follow the default."""
+    journals = table(spark, sf, "nation").selectExpr("n_nationkey % 5 AS p").distinct().selectExpr("concat('journal ', p) AS profile_name", """CASE p
+      WHEN 0 THEN '{"title": {"max_chars": 20}, "abstract": {"max_words": 12}}' WHEN 1 THEN '{"title": {"max_chars": 60}, "abstract": {"max_words": 40}, "statistics": {"p_style": "P=0.01"}}'
+      WHEN 2 THEN '{"abstract": {"max_words": 20}, "references": {"recommended_max": 1}}' WHEN 3 THEN '{"title": {"max_chars": 100}, "lint": {"disabled_rules": ["limits.abstract-words"]}}'
+      ELSE '{"references": {"recommended_max": 2}}' END AS profile""")
+    named = table(spark, sf, "customer").selectExpr("c_custkey AS doc_id", "concat('journal ', c_nationkey % 5) AS profile_name")
+    docs = manuscripts(spark, sf)
+    chosen = docs.select("doc_id").join(named, "doc_id", "left")
+    found = lint_paragraphs_by(materialise(structured_paragraphs(docs), "lint-paragraphs"), document_profiles(chosen, journals),
+                               ["limits.title", "limits.abstract-words", "limits.references"])
+    return found.select("doc_id", "rule")

@@ -39,8 +39,8 @@ def marked_paragraphs(spark, sf):
 @query("e3_placeholder_inventory", r"""
 SELECT doc_id, CAST(ids + keys + temporary AS BIGINT) AS placeholders, CAST(ids AS BIGINT) AS id_groups, CAST(keys AS BIGINT) AS keys, CAST(temporary AS BIGINT) AS temporary, CAST(allm - ids - keys AS BIGINT) AS malformed FROM (
  SELECT doc_id, sum(len(regexp_extract_all(text, '(?i)\[PMIDs?\s*:\s*\d{1,9}(?:(?:\s*[,;]\s*|\s+)\d{1,9})*\s*[,;]?\s*\]'))) AS ids,
-  sum(len(regexp_extract_all(text, '(?i)\[REF\s*:\s*[^\[\]]{1,120}?\s*\]'))) AS keys, sum(len(regexp_extract_all(text, '\{[^{}]{1,600}?#\s*\d+[^{}]{0,200}?\}'))) AS temporary,
-  sum(len(regexp_extract_all(text, '(?i)\[(?:PMIDs?|REF)\b[^\]]{0,80}\]?'))) AS allm
+  sum(len(regexp_extract_all(text, '(?i)\[REF\s*:\s*[^\[\]]+\]'))) AS keys, sum(len(regexp_extract_all(text, '\{[^{}]+#\s*\d+[^{}]*\}'))) AS temporary,
+  sum(len(regexp_extract_all(text, '(?i)\[(?:PMIDs?|REF)\b[^\]\n]*\]?'))) AS allm
  FROM (SELECT doc_id, """ + MARKED + r""" AS text FROM documents) GROUP BY doc_id) WHERE ids + keys + temporary + allm > 0""")
 def e3(spark, sf):
     return R.inventory_summary(R.placeholder_inventory(marked_paragraphs(spark, sf))).drop("id_occurrences")

@@ -71,3 +71,68 @@ def test_scratch_needs_a_shared_folder_beyond_one_machine(monkeypatch):
 
     with pytest.raises(ValueError, match="share"):
         session.scratch_root(Session())
+
+
+def test_bodies_are_bounded_by_their_signs(spark):
+    """Bodies just past 40, 80, 120, 200 and 600 characters, and one of many thousands."""
+    from proofline.operators import prose as P
+    from proofline.operators import references as R
+    from proofline.operators import typography as TY
+    from proofline.functions import text as T
+
+    for size in (41, 81, 121, 201, 601, 20_000):
+        body = ("word " * (size // 5 + 1))[:size - 1] + "x"
+        texts = [f"a [REF: {body}] b", f"a {{{body}, 2020 #12; Roe, 2019 #7{' and more' * (size // 9)}}} b", f"[PMID: none {body}"]
+        paras = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id int, para_idx int, text string")
+        got = {r.para_idx: r for r in R.placeholder_inventory(paras).collect()}
+        assert [got[i].kind for i in range(3)] == ["ref", "temporary", "malformed"]
+        assert got[0].key == body and len(got[1].cites) == 2 and got[2].body == texts[2]
+        spans = spark.createDataFrame([(f"x [REF: {body}] y {{Doe {body}, 2020}} z",)], "text string").select(F.size(TY.placeholder_spans("text"))).first()[0]
+        assert spans == 2
+        lines = [f"It is not just {body}, but more.", f"from {body} to there", f"不仅{'长' * size}而且"]
+        hits = spark.createDataFrame([(t,) for t in lines], "text string").select(
+            F.size(T.spans("text", P.CONTRAST + "|" + P.CONTRAST_OTHER)).alias("c"), F.size(T.spans("text", P.FALSE_RANGE)).alias("f")).collect()
+        assert [(r.c, r.f) for r in hits] == [(1, 0), (0, 1), (1, 0)]
+
+
+def test_one_pass_of_phrases_equals_a_pattern_for_each_rule(spark):
+    import random
+
+    from proofline.functions.lexicon import LEXICON, lexicon_from_table
+    from proofline.operators import prose as P
+
+    rng = random.Random(3)
+    phrases = [p for r in LEXICON for p in (*r.phrases, *r.other_scripts)]
+    lines = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 8)):
+            p = rng.choice(phrases)
+            p = rng.choice([p, p.capitalize(), p.upper(), p.replace("'", "’")])
+            parts.append(rng.choice(["x ", "Yes. ", "", "é", "y-", "“", "marking "]) + p + rng.choice([" moment", " ", ". ", "s ", "! ", ", and", "，"]))
+        lines.append(rng.choice(["", " ", ". "]).join(parts))
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    each = F.concat(*[P._hits(F.col("text"), r.rule, P.phrase_pattern(r.phrases, r.opens_sentence, r.other_scripts), r.weak) for r in LEXICON])
+    table = spark.createDataFrame([(r.rule, p, r.weak, r.opens_sentence, p in r.other_scripts, r.replacements.get(p)) for r in LEXICON for p in (*r.phrases, *r.other_scripts)],
+                                  "rule string, phrase string, weak boolean, opens_sentence boolean, other_script boolean, replacement string")
+    given = lexicon_from_table(table)
+    assert {r.rule: (set(r.phrases), r.weak, r.replacements) for r in given} == {r.rule: (set(r.phrases), r.weak, r.replacements) for r in LEXICON}
+    rows = df.select(F.array_sort(each).alias("a"), F.array_sort(P.phrase_hits(F.col("text"), LEXICON)).alias("b"), F.array_sort(P.phrase_hits(F.col("text"), given)).alias("c")).collect()
+    assert all(r.a == r.b == r.c for r in rows) and sum(len(r.a) for r in rows) > 800
+
+
+def test_two_groups_with_unlike_limits_in_one_job(spark):
+    from proofline.plans.lint import document_profiles, lint_documents, lint_documents_by
+
+    text = "A rather long title of this study\nKeywords: a, b\n# Abstract\nOne two three four five six seven.\n# 1. Introduction\nP = 0.01 and P=0.02.\n# References\n1. X\n2. Y"
+    docs = spark.createDataFrame([(1, text, "tight"), (2, text, "loose"), (3, text, None)], "doc_id int, text string, profile_name string")
+    profiles = {"tight": {"title": {"max_chars": 10}, "abstract": {"max_words": 3}, "references": {"recommended_max": 1}, "declarations": {"order": ["funding"]}},
+                "loose": {"title": {"max_chars": 100}, "keywords": {"min": 1}, "lint": {"disabled_rules": ["declarations.", "stats"]}}}
+    import json
+    table = spark.createDataFrame([(k, json.dumps(v)) for k, v in profiles.items()], "profile_name string, profile string")
+    got = {d: sorted((r.rule, r.message) for r in rows) for d, rows in ((d, [r for r in lint_documents_by(docs, table).collect() if r.doc_id == d]) for d in (1, 2, 3))}
+    for d, name in ((1, "tight"), (2, "loose"), (3, None)):
+        alone = lint_documents(docs.where(F.col("doc_id") == d).select("doc_id", "text"), profiles.get(name)).collect()
+        assert got[d] == sorted((r.rule, r.message) for r in alone), name
+    assert {r for r, _ in got[1]} > {"limits.title", "limits.references", "limits.abstract-words"} and not {r for r, _ in got[2]} & {"limits.title", "declarations.missing"}
+    assert document_profiles(docs, table).count() == 3

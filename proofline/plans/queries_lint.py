@@ -10,7 +10,7 @@ from proofline.operators import limits as L
 from proofline.operators import typography as TY
 from proofline.operators import wording as W
 from proofline.operators.units import structured_paragraphs, with_defaults
-from proofline.plans.catalog import manuscripts, query, quoted, table
+from proofline.plans.catalog import EQUIVALENT_SQL, manuscripts, query, quoted, table
 from proofline.plans.lint import document_profiles, lint_paragraphs, lint_paragraphs_by, merge_profile
 from proofline.plans.queries_units import REGIONS_SQL
 from proofline.session import materialise
@@ -397,21 +397,33 @@ def c40(spark, sf):
     return TY.majority(table(spark, sf, "events"), ["user_id"], "event_type", "view", order="event_id")
 
 
-_SIMPLE = ("typo.eponym-dash", "typo.degree-sign", "typo.double-space", "typo.space-before-punctuation",
-           "callout.fig-abbreviation", "citation.placeholder", "citation.adjacent-groups")
-FOUND_SQL = " UNION ALL ".join(f"({s})" for s in (C7_SQL, C8_SQL, C10_SQL, C11_SQL, C12_SQL, C13_SQL, C14_SQL))
+#: Every rule whose findings SQL can count over the manuscripts, with that SQL: notation by the document's majority, typography, citation
+#: marks, limits and declarations. The others need lookarounds or an ordered state.
+_ERRORS = ("citation.placeholder", "limits.title", "limits.running-title", "limits.keywords", "limits.abstract-words")
+_LIMITS_SQL = f"""
+SELECT doc_id, 'limits.title' AS rule, CAST(1 AS BIGINT) AS n FROM ({TITLES_SQL}) WHERE title_chars > 60 UNION ALL SELECT doc_id, 'limits.running-title', 1 FROM ({TITLES_SQL}) WHERE running_chars > 40
+UNION ALL SELECT doc_id, 'limits.keywords', 1 FROM ({TITLES_SQL}) WHERE keywords < 4 OR keywords > 6
+UNION ALL SELECT doc_id, 'limits.abstract-words', 1 FROM (SELECT doc_id, sum(len(regexp_extract_all(text, '\\S+'))) AS w FROM ({REGIONS_SQL}) WHERE region = 'abstract' AND level = 0 AND trim(text) <> '' GROUP BY doc_id) WHERE w > 12
+UNION ALL SELECT doc_id, 'limits.references', 1 FROM (SELECT doc_id, count(*) AS k FROM ({PARAS_SQL}) WHERE is_bib AND trim(text) <> '' GROUP BY doc_id) WHERE k > 1"""
+_STATS = (EQUIVALENT_SQL[name] for name in ("c1_p_spacing", "c2_p_case", "c4_q_and_n_spacing", "c5_pm_spacing"))
+FOUND_SQL = " UNION ALL ".join(f"({s})" for s in (
+    C7_SQL, C8_SQL, C10_SQL, C11_SQL, C12_SQL, C13_SQL, C14_SQL, *_STATS, _LIMITS_SQL, f"SELECT doc_id, rule, count(*) AS n FROM ({EQUIVALENT_SQL['c39_declarations']}) GROUP BY ALL"))
+COUNTED = ("typo.eponym-dash", "typo.degree-sign", "typo.double-space", "typo.space-before-punctuation", "callout.fig-abbreviation", "citation.placeholder",
+           "citation.adjacent-groups", "stats.p-spacing", "stats.p-case", "stats.q-spacing", "stats.n-spacing", "stats.pm-spacing", "limits.title",
+           "limits.running-title", "limits.keywords", "limits.abstract-words", "limits.references", "declarations.missing", "declarations.order")
 
 
-def simple_findings(spark, sf):
-    p = paras(spark, sf)
-    both = TY.typography(p, PROFILE).unionByName(TY.citation_marks(p, PROFILE))
-    return both.where(F.col("rule").isin(*_SIMPLE))
+def counted_findings(spark, sf):
+    """Findings of the functions that can emit a counted rule, and of no other."""
+    p = materialise(paras(spark, sf), "lint-paragraphs")
+    functions = dict.fromkeys(FX.REGISTRY[name] for name in COUNTED)
+    return FX.union_all(fn(p, merge_profile({}, PROFILE)) for fn in functions).where(F.col("rule").isin(*COUNTED))
 
 
 @query("c41_filter_disabled", f"""
 SELECT * FROM ({FOUND_SQL}) WHERE rule <> 'typo.double-space' AND NOT starts_with(rule, 'citation.')""")
 def c41(spark, sf):
-    return counted(FX.filter_disabled(simple_findings(spark, sf), ["typo.double-space", "citation.", "typo.double"]))
+    return counted(FX.filter_disabled(counted_findings(spark, sf), ["typo.double-space", "citation.", "typo.double"]))
 
 
 @query("c41_filter_disabled_by_table", f"""
@@ -419,22 +431,19 @@ SELECT * FROM ({FOUND_SQL}) WHERE rule <> 'typo.double-space' AND NOT starts_wit
 def c41_table(spark, sf):
     names = F.expr("CASE r_regionkey WHEN 0 THEN 'typo.double-space' WHEN 1 THEN 'citation' ELSE concat('other.', r_name) END")
     disabled = table(spark, sf, "region").select(names.alias("prefix"))
-    return counted(FX.filter_disabled_by(simple_findings(spark, sf), disabled))
+    return counted(FX.filter_disabled_by(counted_findings(spark, sf), disabled))
 
 
 @query("c42_rank_findings")
 def c42(spark, sf):
-    return FX.rank_findings(simple_findings(spark, sf)).select("doc_id", "para_idx", "severity", "rule", "start", "snippet")
+    return FX.rank_findings(counted_findings(spark, sf)).select("doc_id", "para_idx", "severity", "rule", "start", "snippet")
 
 
 @query("c43_summarise", f"""
-SELECT doc_id, CAST(sum(n) FILTER (rule = 'citation.placeholder') AS BIGINT) AS e, CAST(sum(n) FILTER (rule <> 'citation.placeholder') AS BIGINT) AS w
-FROM ({FOUND_SQL}) GROUP BY doc_id""".replace("SELECT doc_id, CAST(sum(n) FILTER (rule = 'citation.placeholder') AS BIGINT) AS e, CAST(sum(n) FILTER (rule <> 'citation.placeholder') AS BIGINT) AS w",
-"""SELECT doc_id, CAST(coalesce(sum(n) FILTER (rule = 'citation.placeholder'), 0) AS BIGINT) AS error,
-  CAST(coalesce(sum(n) FILTER (rule <> 'citation.placeholder'), 0) AS BIGINT) AS warn, CAST(0 AS BIGINT) AS info,
-  CASE WHEN coalesce(sum(n) FILTER (rule = 'citation.placeholder'), 0) > 0 THEN 'error' ELSE 'warn' END AS status"""))
+WITH f AS (SELECT doc_id, CAST(coalesce(sum(n) FILTER (rule IN {_ERRORS}), 0) AS BIGINT) AS error, CAST(coalesce(sum(n) FILTER (rule NOT IN {_ERRORS}), 0) AS BIGINT) AS warn FROM ({FOUND_SQL}) GROUP BY doc_id)
+SELECT doc_id, error, warn, CAST(0 AS BIGINT) AS info, CASE WHEN error > 0 THEN 'error' ELSE 'warn' END AS status FROM f""")
 def c43(spark, sf):
-    return FX.summarise(simple_findings(spark, sf))
+    return FX.summarise(counted_findings(spark, sf))
 
 
 def all_findings(spark, sf):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofline.functions import text as T
-from proofline.functions.lexicon import HYPHENATED, LEXICON, QUALIFIERS, RIDERS
+from proofline.functions.lexicon import HYPHENATED, LEXICON, QUALIFIERS, RIDERS, lexicon_from_table
 from proofline.operators import prose as P
 from proofline.operators.units import paragraphs
 from proofline.plans.catalog import query, quoted, table
@@ -278,3 +278,20 @@ def d32(spark, sf):
 @query("d33_tell_profile")
 def d33(spark, sf):
     return P.tell_profile(tell_docs(spark, sf), table(spark, sf, "labels"))
+
+
+@query("l3_lexicon_table", """
+WITH x AS (SELECT lower(n_name) AS phrase, 'house.region-' || n_regionkey AS rule FROM nation UNION ALL SELECT lower(n_name) || ' and ' || lower(r_name), 'house.pair' FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 2 = 0),
+d AS (SELECT doc_id, text || ' In ' || n_name || ', ' || n_name || 'N and ' || lower(r_name) || ' or ' || upper(n_name) || ' and ' || r_name || '.' AS t, n_name, r_name, n_regionkey, n_nationkey FROM documents JOIN nation ON n_nationkey = doc_id % 25 JOIN region ON r_regionkey = n_regionkey)
+SELECT doc_id, 'house.region-' || n_regionkey AS rule, CAST(2 AS BIGINT) AS n FROM d UNION ALL SELECT doc_id, 'house.pair', 1 FROM d WHERE n_nationkey % 2 = 0""")
+def l3(spark, sf):
+    """A lexicon given as a table: names of nations by region, and pairs of nation and region, in documents that mention them."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    extra = "cast(null as boolean) AS weak, cast(null as boolean) AS opens_sentence, cast(null as boolean) AS other_script, cast(null as string) AS replacement"
+    lexicon = lexicon_from_table(both.selectExpr("concat('house.region-', n_regionkey) AS rule", "lower(n_name) AS phrase", *extra.split(", ")).unionByName(
+        both.where("n_nationkey % 2 = 0").selectExpr("'house.pair' AS rule", "lower(concat(n_name, ' and ', r_name)) AS phrase", *extra.split(", "))))
+    docs = table(spark, sf, "documents").join(both, F.col("doc_id") % 25 == F.col("n_nationkey")).selectExpr(
+        "doc_id", "concat(text, ' In ', n_name, ', ', n_name, 'N and ', lower(r_name), ' or ', upper(n_name), ' and ', r_name, '.') AS text")
+    hits = docs.select("doc_id", F.explode(P.phrase_hits(F.col("text"), lexicon)).alias("h"))
+    return hits.groupBy("doc_id", F.col("h.rule").alias("rule")).agg(F.count("*").alias("n"))

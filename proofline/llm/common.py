@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,7 +22,7 @@ __all__ = ["ARROW", "annotate", "combine", "mixed", "materialise", "read_table",
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
          "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
          "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         begin = end
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers live on, and the next stage's tasks may run in other ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):           # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def annotate(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[tuple[str, str]], *, raw: bool = True,
              keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) followed by ``fields``, computed from a text column batch by batch.
@@ -61,6 +72,9 @@ def annotate(df: DataFrame, text: str, make: Callable[[], Callable], fields: lis
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 arrays += [pa.array(v, ARROW[kind]) for v, (_, kind) in zip(results, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(name for name, _ in fields)])
+                del texts, results, arrays
+        del work
+        give_back()
 
     wanted = list(dict.fromkeys([*kept, text]))
     return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)

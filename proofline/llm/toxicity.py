@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +26,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.common import annotate, crc_mod, materialise, read_table, text_slices
+from proofline.llm.common import crc_mod, give_back, materialise, read_table, text_slices
 
 #: Bounds of the fit: labelled rows sampled (by hash of the id), lexicon entries kept.
 FIT_ROWS, LEXICON_SIZE = 24_000, 4_000
@@ -116,10 +118,16 @@ def features_of(text: str, scorer: Scorer) -> list[float]:
 def with_features(df: DataFrame, lexicon: dict[str, float], text: str, keep: list[str]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(lexicon)     # at most LEXICON_SIZE entries
 
-    def make():
+    def features(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        return lambda texts: [[features_of(t, scorer) for t in texts]]
-    return annotate(df, text, make, [("dense", "array<double>")], raw=False, keep=keep).withColumn("features", array_to_vector("dense")).drop("dense")
+        for column in columns:
+            yield pd.Series([features_of(t or "", scorer) for t in column])
+        scorer.clear()
+        give_back()
+
+    # only the text is sent to Python; the other columns wait in their rows
+    dense = F.pandas_udf(features, "array<double>")
+    return df.select(*keep, F.col(text)).withColumn("features", array_to_vector(dense(text))).select(*keep, "features")
 
 
 @dataclass

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofline.session import materialise
+
 MIN_OVERLAP, TEXT_INSET, CLIP_TOLERANCE, BACKGROUND_SHARE, CONTAIN_TOLERANCE = 0.05, 0.6, 0.5, 0.2, 0.25   # fixed values
+CROWD = 2000        # boxes of a cell that meet in one task
 TOP_LEVEL = 20      # cells double per level, so 2^20 units cover any page
 
 Box = tuple[Column, Column, Column, Column]
@@ -87,11 +90,24 @@ def _probes(df: DataFrame, levels: DataFrame, strictly: bool) -> DataFrame:
 
 
 def _meet(small: DataFrame, big: DataFrame, keep: Column) -> DataFrame:
-    """Pairs with shared area, each once: in the cell that holds the lower corner of the shared part."""
+    """Pairs with shared area, each once: in the cell that holds the lower corner of the shared part.
+
+    A cell that holds many boxes is cut into parts by their number, each its own join key: boxes as large as their cell gain nothing from smaller
+    cells. Boxes that look for partners go to all parts.
+    """
     s, b = box("s."), box("b.")
     size = F.pow(F.lit(2.0), "s.level")
     corner = ((F.floor(F.greatest(s[0], b[0]) / size) == F.col("s.cx")) & (F.floor(F.greatest(s[1], b[1]) / size) == F.col("s.cy")))
-    on = [F.col(f"s.{c}") == F.col(f"b.{c}") for c in ("page", "level", "cx", "cy")]
+    cell = ["page", "level", "cx", "cy"]
+    crowded = big.groupBy(*cell).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_parts")).where("_parts > 1")
+    crowded = materialise(crowded, "crowded")
+    if crowded.isEmpty():
+        small, big = (df.withColumn("part", F.lit(0)) for df in (small, big))
+    else:
+        parts = F.coalesce("_parts", F.lit(1))
+        big = big.join(crowded, cell, "left").withColumn("part", F.pmod(F.xxhash64("idx"), parts).cast("int")).drop("_parts")
+        small = small.join(crowded, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    on = [F.col(f"s.{c}") == F.col(f"b.{c}") for c in (*cell, "part")]
     return small.alias("s").join(big.alias("b"), on).where(keep & corner & (intersection_area(s, b) > 0))
 
 
@@ -244,6 +260,39 @@ def edge_spread(members: DataFrame, exemptions: DataFrame, tolerance: float) ->
         "layout", "orientation", "group_id", "panels", "spread")
 
 
+def boundary_spread(panels: DataFrame, exemptions: DataFrame, tolerance: float) -> DataFrame:
+    """Panels of unequal spans whose edges, or whose label anchors, do not line up at the grid boundary that they share.
+
+    ``panels(layout, grid_id, panel, row_start, row_stop, col_start, col_stop, x0..y1, label_x, label_y)``, ``exemptions`` as for
+    ``edge_spread`` (check ``panel-label`` frees the label alone). Labels are compared at top and left boundaries; a comparable panel without
+    an anchor is listed. Result: (layout, edge, grid_id, boundary, problem, panels, spread).
+    """
+    def at(edge, place, start, stop, coordinate, label):
+        return panels.where(F.col("grid_id").isNotNull() & F.col(start).isNotNull() & F.col(stop).isNotNull()).select(
+            "layout", F.lit(edge).alias("edge"), "grid_id", F.col(place).alias("boundary"), "panel", F.col(coordinate).alias("at"),
+            (F.col(label) if label else F.lit(None)).cast("double").alias("label"), F.lit(label is not None).alias("labelled"))
+    rows = (at("top", "row_start", "row_start", "row_stop", "y1", "label_y").unionByName(at("bottom", "row_stop", "row_start", "row_stop", "y0", None))
+            .unionByName(at("left", "col_start", "col_start", "col_stop", "x0", "label_x")).unionByName(at("right", "col_stop", "col_start", "col_stop", "x1", None)))
+    keys = ["layout", "edge", "grid_id", "boundary"]
+    rows = rows.join(boundary_groups(panels).select(*keys), keys, "left_semi")
+    free = exemptions.groupBy("layout", "panel").agg(F.collect_set("check").alias("_free"))       # at most the names of the checks
+    freed = lambda *names: F.coalesce(F.arrays_overlap("_free", F.array(*[F.lit(n) for n in (*names, "all")])), F.lit(False))
+    rows = rows.join(free, ["layout", "panel"], "left")
+    rows = rows.where(~F.when(F.col("edge").isin("top", "bottom"), freed("row")).otherwise(freed("column")))
+    anchored = F.col("label").isNotNull() & ~freed("panel-label")
+    spread = lambda c, when: F.max(F.when(when, F.col(c))) - F.min(F.when(when, F.col(c)))
+    every = F.lit(True)
+    per = rows.groupBy(*keys, "labelled").agg(
+        F.count("*").alias("n"), spread("at", every).alias("edge_spread"), F.count_if(anchored).alias("labels"), spread("label", anchored).alias("label_spread"),
+        F.count_if(F.col("label").isNull()).alias("missing")).where("n >= 2")
+    found = lambda problem, n, s: F.struct(F.concat(F.lit("shared-"), F.col("edge"), F.lit(f"-{problem}")).alias("problem"), F.col(n).alias("panels"), s.cast("double").alias("spread"))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("edge_spread") > tolerance, found("edge-misalignment", "n", F.col("edge_spread"))),
+        F.when(F.col("labelled") & (F.col("labels") >= 2) & (F.col("label_spread") > tolerance), found("panel-label-misalignment", "labels", F.col("label_spread"))),
+        F.when(F.col("labelled") & (F.col("missing") > 0), found("panel-label-missing", "missing", F.lit(None)))))
+    return per.select(*keys, F.explode(kinds).alias("k")).select(*keys, "k.*")
+
+
 def gutter_uniformity(members: DataFrame, tolerance: float, gutter_tolerance: float) -> DataFrame:
     """Overlapping neighbours, else uneven gaps, per group of ordered panels."""
     row = F.col("orientation") == "row"

@@ -134,6 +134,24 @@ def i8(spark, sf):
     return L.edge_spread(members(spark, sf), exempt, 0.75).withColumn("spread", F.round("spread", 6))
 
 
+_LABELLED = ("x0 + CASE WHEN panel % 17 = 0 THEN 5 ELSE 0 END AS label_x", "CASE WHEN panel % 7 > 0 THEN y1 - CASE WHEN panel % 19 = 0 THEN 3 ELSE 0 END END AS label_y")
+
+
+@query("i8_boundary_spread", f"""WITH p AS (SELECT *, {", ".join(_LABELLED)} FROM ({PANELS}) WHERE grid_id IS NOT NULL),
+r AS (SELECT layout, panel, 'top' AS edge, grid_id, row_start AS boundary, row_start AS a, row_stop AS b, y1 AS v, label_y AS l, true AS t FROM p UNION ALL SELECT layout, panel, 'bottom', grid_id, row_stop, row_start, row_stop, y0, NULL, false FROM p
+ UNION ALL SELECT layout, panel, 'left', grid_id, col_start, col_start, col_stop, x0, label_x, true FROM p UNION ALL SELECT layout, panel, 'right', grid_id, col_stop, col_start, col_stop, x1, NULL, false FROM p),
+g AS (SELECT layout, edge, grid_id, boundary FROM r GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT (a, b)) >= 2),
+k AS (SELECT r.*, l IS NOT NULL AND panel % 23 <> 0 AS anchored FROM r JOIN g USING (layout, edge, grid_id, boundary) WHERE NOT (panel % 10 = 0 AND edge IN ('top', 'bottom')) AND panel % 17 <> 1),
+m AS (SELECT layout, edge, grid_id, boundary, bool_or(t) AS t, count(*) AS n, max(v) - min(v) AS s, count(*) FILTER (anchored) AS ln, max(l) FILTER (anchored) - min(l) FILTER (anchored) AS ls, count(*) FILTER (l IS NULL) AS missing FROM k GROUP BY layout, edge, grid_id, boundary HAVING n >= 2)
+SELECT layout, edge, grid_id, boundary, 'shared-' || edge || '-edge-misalignment' AS problem, n AS panels, round(s, 6) AS spread FROM m WHERE s > 0.75
+UNION ALL SELECT layout, edge, grid_id, boundary, 'shared-' || edge || '-panel-label-misalignment', ln, round(ls, 6) FROM m WHERE t AND ln >= 2 AND ls > 0.75
+UNION ALL SELECT layout, edge, grid_id, boundary, 'shared-' || edge || '-panel-label-missing', missing, NULL FROM m WHERE t AND missing > 0""")
+def i8_boundary(spark, sf):
+    p = panels(spark, sf).selectExpr("*", *_LABELLED)
+    exempt = panels(spark, sf).selectExpr("layout", "panel", "explode(array_compact(array(if(panel % 10 = 0, 'row', null), if(panel % 17 = 1, 'all', null), if(panel % 23 = 0, 'panel-label', null)))) AS check")
+    return L.boundary_spread(p, exempt, 0.75).withColumn("spread", F.round("spread", 6))
+
+
 @query("i9_gutters", GROUPS_SQL + """, f AS (SELECT *, CASE WHEN orientation = 'row' THEN x0 ELSE -y1 END AS a, CASE WHEN orientation = 'row' THEN x1 ELSE -y0 END AS b FROM m),
 w AS (SELECT *, a - lag(b) OVER (PARTITION BY layout, orientation, group_id ORDER BY a, panel) AS gap FROM f),
 s AS (SELECT layout, orientation, group_id, count(gap) AS gaps, min(gap) AS least, max(gap) - min(gap) AS spread FROM w WHERE gap IS NOT NULL GROUP BY ALL)

@@ -113,3 +113,20 @@ def test_stream_of_open_operations_equals_the_batch(spark, tmp_path):
     got = {(r.seq, r.event, r.issue) for r in ledgers.replay(stream, "append", "open").collect()}
     expected = {(r.seq, r.event, r.issue) for r in batch.collect()}
     assert got == expected and {i for _, _, i in got} == {"interrupted", "failed"}
+
+
+def test_crowded_cells_are_spread_over_tasks(spark, monkeypatch):
+    from proofline.operators import layout as L
+
+    monkeypatch.setattr(L, "CROWD", 50)
+    rng = random.Random(9)
+    boxes = [(1, i, x := rng.uniform(0, 12), y := rng.uniform(0, 12), x + 3 + rng.random(), y + 3 + rng.random()) for i in range(600)]
+    boxes += [(1, 600 + i, x := rng.uniform(0, 90), y := rng.uniform(0, 90), x + rng.uniform(1, 40), y + rng.uniform(1, 40)) for i in range(60)]
+    frame = spark.createDataFrame(boxes, "page int, idx int, x0 double, y0 double, x1 double, y1 double")
+    meet = lambda a, b: min(a[4], b[4]) > max(a[2], b[2]) and min(a[5], b[5]) > max(a[3], b[3])
+    expected = {(a[1], b[1]) for i, a in enumerate(boxes) for b in boxes[i + 1:] if meet(a, b)}
+    pairs = [(r.left_idx, r.right_idx) for r in L.overlapping_pairs(frame).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+    left, right = frame.where("idx % 2 = 0"), frame.where("idx % 2 = 1")
+    both = {(r.left_idx, r.right_idx) for r in L.overlapping_pairs(left, right).collect()}
+    assert both == {(a, b) if a % 2 == 0 else (b, a) for a, b in expected if (a + b) % 2}

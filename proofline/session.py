@@ -51,6 +51,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+#: Intermediate tables of this process that are not deleted yet.
+_written: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far and returns their number. Call it when the results that were built on them are
+    written: frames that still read them fail afterwards."""
+    conf, count = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
@@ -58,5 +72,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     often it is read, and its real size, not an estimate, decides whether a join broadcasts it.
     """
     path = scratch_path(df.sparkSession, label)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -130,3 +130,11 @@ def test_crowded_cells_are_spread_over_tasks(spark, monkeypatch):
     left, right = frame.where("idx % 2 = 0"), frame.where("idx % 2 = 1")
     both = {(r.left_idx, r.right_idx) for r in L.overlapping_pairs(left, right).collect()}
     assert both == {(a, b) if a % 2 == 0 else (b, a) for a, b in expected if (a + b) % 2}
+
+
+def test_intermediate_tables_are_deleted_on_request(spark):
+    from proofline import session
+
+    session.clear_scratch(spark)
+    frame = session.materialise(spark.range(5), "kept")
+    assert frame.count() == 5 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0

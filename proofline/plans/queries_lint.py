@@ -114,7 +114,11 @@ C12_SQL = _count_sql("callout.fig-abbreviation", r"\bFigs?[.][ ]*S?[0-9]", where
 C13_SQL = _count_sql("citation.placeholder", r"\[PMIDs?\s*:\s*[\d,;\s]+\]", PARAS_SQL, "text", "NOT is_bib")
 C14_SQL = _count_sql("citation.adjacent-groups", TY.ADJACENT_GROUPS, PARAS_SQL, "text", "NOT is_bib")
 
-query("c6_minus")(_typo("typo.minus"))
+#: Place by place instead of by look-behind.
+C6_SQL = f"""SELECT doc_id, 'typo.minus' AS rule, count(*) AS n FROM (SELECT doc_id, masked AS t, unnest(range(1, length(masked) + 1)) AS i FROM ({PROSE_SQL}) WHERE contains(masked, '-') OR contains(masked, '‐'))
+WHERE substr(t, i, 1) IN ('-', '‐') AND regexp_matches(substr(t, i + 1, 2), '^[.]?[0-9]') AND (i = 1 OR regexp_matches(substr(t, i - 1, 1), '[\\s(\\[=<>≤≥±~≈,;:/\\x01]'))
+ AND NOT regexp_matches(rtrim(substr(t, 1, i - 1), ' ' || chr(160)), '[0-9]$') GROUP BY doc_id"""
+query("c6_minus", C6_SQL)(_typo("typo.minus"))
 query("c7_eponym_dash", C7_SQL)(_typo("typo.eponym-dash"))
 query("c8_degree_sign", C8_SQL)(_typo("typo.degree-sign"))
 query("c9_range_dash")(_typo("typo.range-dash"))

@@ -181,7 +181,9 @@ query("d15_riders", _pattern_sql("prose.rider", "(?i), (?:" + "|".join(RIDERS) +
 query("d16_sales", _lexicon_sql("prose.sales"))(_counts("prose.sales"))
 query("d17_authority", _lexicon_sql("prose.authority"))(_counts("prose.authority"))
 query("d18_copula", _lexicon_sql("prose.copula"))(_counts("prose.copula"))
-query("d19_bold")(_counts("prose.bold", "prose.inline-header"))
+#: Without look-behind: runs of three or more stars become one, which neither opens nor closes bold text and ends its content.
+query("d19_bold", _pattern_sql("prose.bold", r"\*\*[^*\s][^*]*\*\*", r"regexp_replace(text, '\*\*\*+', '*', 'g')") + " UNION ALL "
+      + _pattern_sql("prose.inline-header", P.INLINE_HEADER, "text"))(_counts("prose.bold", "prose.inline-header"))
 
 
 @query("d20_heading_style", f"""

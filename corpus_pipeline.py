@@ -26,7 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked fingerprints the document with the least id (of unlike texts of that id in the group, one)."""
     rows = materialise(simhash.near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    gone = rows.join(first, "component").where(F.struct("doc_id", "text_key") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    # rows and those that stay meet on their own keys, so a large group is no hot key
+    gone = rows.select("doc_id", "text_key").join(first.select("first.doc_id", "first.text_key"), ["doc_id", "text_key"], "left_anti").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     kept = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
     if rows.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return kept

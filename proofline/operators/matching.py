@@ -42,8 +42,9 @@ def best_title_match(entries: DataFrame, records: DataFrame, threshold: float =
     words = titles.select("record_id", F.size("w").alias("n"), F.explode("w").alias("word")).groupBy(
         "record_id", "word").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     present = entries.select("entry_id", F.explode(F.array_distinct(T.fold_tokens("text"))).alias("word"))
-    # only words of some title matter: the entry side shrinks before anything is grouped or joined
-    present = materialise(present.join(words.select("word").distinct(), "word", "left_semi"), "title-words")
+    # only words of some title matter: the entry side shrinks before anything is grouped or joined; its file is far smaller than its
+    # rows (a dictionary of few words), so it must never be taken for small enough to broadcast
+    present = materialise(present.join(words.select("word").distinct(), "word", "left_semi"), "title-words").hint("merge")
     frequency = present.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(frequency, "word", "left").groupBy("record_id").agg(
         F.first("n").alias("n"),

@@ -138,3 +138,19 @@ def test_intermediate_tables_are_deleted_on_request(spark):
     session.clear_scratch(spark)
     frame = session.materialise(spark.range(5), "kept")
     assert frame.count() == 5 and session.clear_scratch(spark) == 1 and session.clear_scratch(spark) == 0
+
+
+def test_words_of_entries_are_never_broadcast(spark):
+    """Their file is a dictionary and far smaller than their rows, so its size must not make the driver gather them."""
+    from proofline.operators.matching import best_title_match
+
+    entries = spark.range(50).selectExpr("id AS entry_id", "'renal outcome of adults' AS text")
+    records = spark.createDataFrame([(1, "Renal outcome of adults")], "record_id int, title string")
+    found = best_title_match(entries, records)
+    assert found.count() == 50
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("title-words" in below and "FileScan" in below for below in lines[i + 1:end])

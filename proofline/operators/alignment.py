@@ -1,21 +1,23 @@
 """Which tokens of two versions are the same: joins find equal tokens, windows and folds keep a longest run of them in order.
 
-Each version of an id is an array of tokens. The common head and tail are cut off inside the row. What is left (the core) becomes rows; equal
-tokens of an id meet in a join, and a longest chain of pairs that rises in both versions is kept, so as many tokens as possible are
-matched and a token that moves unmatches no other. Of several longest chains the least is taken. A core with very many equal
-pairs is first cut at the longest chain of tokens that occur once in both versions; where a stretch between two of them still
+Each version of an id is an array of tokens. The common head and tail are cut off inside the row. Of what is left (the core) a longest chain
+of equal pairs that rises in both versions is kept, so as many tokens as possible are matched and a token that moves unmatches no
+other. Of several longest chains the least is taken. It is found inside the row, over rows of bits, without a list of the equal pairs
+(a line of 500 words has 250,000 equal pairs of blanks). A core too large for that becomes rows: equal tokens of an id meet in a join. If it
+has very many equal pairs it is first cut at the longest chain of tokens that occur once in both versions; where a stretch between two of them still
 has too many (it repeats a few tokens for long), only pairs of near places are chained, so more may be reported as changed there.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from proofline.session import materialise
 
@@ -23,6 +25,8 @@ from proofline.session import materialise
 MAX_PAIRS = 1 << 20
 #: How far apart equal tokens may stand in a stretch that repeats a few tokens so often that their pairs exceed MAX_PAIRS.
 BAND = 64
+#: Cells (tokens of one version times tokens of the other) of a core that is aligned inside its row: 64 MB of bits at most.
+MAX_CELLS = 1 << 29
 #: A pair of places is one number: the old place in the high half, the new one in the low half.
 _HALF = 1 << 32
 
@@ -104,20 +108,101 @@ def _matched_rows(left: DataFrame, right: DataFrame, keys: list[str], limit: int
     return small.unionByName(chain).unionByName(inner.drop("gap"))
 
 
-def cores(pairs: DataFrame) -> DataFrame:
-    """(id, head, x, y) of (id, x, y): what is left of two arrays of tokens behind a common head and before a common tail."""
+def cores(pairs: DataFrame, *more: str, lead: bool = False) -> DataFrame:
+    """(id, head, x, y) of (id, x, y): what is left of two arrays of tokens behind a common head and before a common tail.
+
+    ``more`` columns are carried along; ``lead`` adds the number of characters of the common head.
+    """
     common = lambda a, b: F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda p, q: ~p.eqNullSafe(q)), True).cast("int"), F.lit(0)) - 1, F.size(a))
-    rows = pairs.select("id", "x", "y", common("x", "y").alias("head"))
+    rows = pairs.select("id", *more, "x", "y", common("x", "y").alias("head"))
+    if lead:
+        rows, more = rows.withColumn("lead", F.char_length(F.array_join(F.slice("x", F.lit(1), F.col("head")), ""))), (*more, "lead")
     rest = lambda c: F.slice(c, F.col("head") + 1, F.size(c) - F.col("head"))
-    rows = rows.select("id", "head", rest("x").alias("x"), rest("y").alias("y"))
+    rows = rows.select("id", *more, "head", rest("x").alias("x"), rest("y").alias("y"))
     rows = rows.withColumn("_tail", common(F.reverse("x"), F.reverse("y")))
-    return rows.select("id", "head", *[F.slice(c, 1, F.size(c) - F.col("_tail")).alias(c) for c in ("x", "y")])
+    return rows.select("id", *more, "head", *[F.slice(c, 1, F.size(c) - F.col("_tail")).alias(c) for c in ("x", "y")])
+
+
+def least_longest_common(x, y) -> list[int]:
+    """The least longest chain of equal pairs of two arrays as codes of places; a row of bits a token of x, so len(x) * len(y) / 64 steps.
+
+    Row i tells, for every end of y, how many tokens x[i:] and that end have in common: the zeros among its lowest bits.
+    """
+    m, at = len(y), {}
+    for b, token in enumerate(y):
+        if token is None:                                # equals nothing, as in a join
+            continue
+        at.setdefault(token, []).append(b)
+    masks = {token: sum(1 << (m - 1 - b) for b in at[token]) if len(at[token]) < 8 else int("".join(_ones(at[token], m)), 2) for token in set(x) & at.keys()}
+    full = (1 << m) - 1
+    rows, bits = [full] * (len(x) + 1), full
+    for i in range(len(x) - 1, -1, -1):
+        if (mask := masks.get(x[i])) is not None:
+            met = bits & mask
+            bits = (bits + met | bits & ~mask) & full
+        rows[i] = bits
+    common = lambda i, b: m - b - (rows[i] & ((1 << (m - b)) - 1)).bit_count()
+    want, start, chain = common(0, 0), 0, []
+    for i, token in enumerate(x):
+        if not want:
+            break
+        places = at.get(token)
+        if places is None or (k := bisect_left(places, start)) == len(places):
+            continue
+        if common(i + 1, places[k] + 1) == want - 1:     # the first equal token leaves most behind it
+            chain.append(i * _HALF + places[k])
+            want, start = want - 1, places[k] + 1
+    return chain
+
+
+def _ones(places: list[int], size: int) -> list[str]:
+    signs = ["0"] * size
+    for b in places:
+        signs[b] = "1"
+    return signs
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _common_chains(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([least_longest_common(p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)], index=x.index, dtype=object)
+
+
+def matched_in_cores(core: DataFrame, limit: int = MAX_PAIRS, cells: int | None = None) -> DataFrame:
+    """(id, a, b): places of matched tokens within the cores (id, head, x, y), counted from 0.
+
+    ``limit`` bounds the equal pairs that are chained at once where a core has more than ``cells`` cells (by default 64 MB of bits, or
+    ``limit`` if that is set lower).
+    """
+    cells = (MAX_CELLS if limit >= MAX_PAIRS else limit) if cells is None else cells
+    core = core.where((F.size("x") > 0) & (F.size("y") > 0))
+    fits = F.size("x").cast("bigint") * F.size("y") <= cells
+    inside = core.where(fits).select("id", F.explode(_common_chains("x", "y")).alias("code")).select(
+        "id", F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(_HALF - 1).cast("int").alias("b"))
+    large = core.where(~fits)
+    if large.isEmpty():
+        return inside
+    side = lambda c, name: large.select("id", F.posexplode(c).alias(name, "token"))
+    return inside.unionByName(_matched_rows(side("x", "a"), side("y", "b"), ["id"], limit))
+
+
+def aligned(core: DataFrame, limit: int = MAX_PAIRS) -> DataFrame:
+    """The cores with the places of their matched tokens, sorted, as codes in one more column ``m``; no row moves unless a core is too large for its row."""
+    fits = F.size("x").cast("bigint") * F.size("y") <= MAX_CELLS
+    inside = core.where(fits).withColumn("m", _common_chains("x", "y"))
+    large = core.where(~fits)
+    if large.isEmpty():
+        return inside
+    return inside.unionByName(_with_places(large, matched_in_cores(large, limit)))
 
 
-def matched_in_cores(core: DataFrame, limit: int = MAX_PAIRS) -> DataFrame:
-    """(id, a, b): places of matched tokens within the cores (id, head, x, y), counted from 0."""
-    side = lambda c, name: core.where((F.size("x") > 0) & (F.size("y") > 0)).select("id", F.posexplode(c).alias(name, "token"))
-    return _matched_rows(side("x", "a"), side("y", "b"), ["id"], limit)
+def _with_places(core: DataFrame, matched: DataFrame) -> DataFrame:
+    held = matched.groupBy("id").agg(F.sort_array(F.collect_list(F.col("a").cast("bigint") * _HALF + F.col("b"))).alias("m"))
+    return core.join(held, "id", "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
+
+
+def places(code: Column) -> tuple[Column, Column]:
+    """The two places of a code."""
+    return F.shiftright(code, 32).cast("int"), code.bitwiseAND(_HALF - 1).cast("int")
 
 
 def tokens(text: str, pattern: str) -> Column:
@@ -125,18 +210,37 @@ def tokens(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
 
 
+def _runs() -> Column:
+    """Of an aligned core: runs of tokens between matched ones that differ, as places in the core."""
+    def run(code, i):
+        (a0, b0), (a1, b1) = places(F.get("m", i - 1)), places(code)
+        return F.struct((F.when(i == 0, -1).otherwise(a0) + 1).alias("a0"), a1.alias("a1"), (F.when(i == 0, -1).otherwise(b0) + 1).alias("b0"), b1.alias("b1"))
+
+    ends = F.size("x").cast("bigint") * _HALF + F.size("y")
+    return F.filter(F.transform(F.concat("m", F.array(ends)), run), lambda r: (r["a1"] > r["a0"]) | (r["b1"] > r["b0"]))
+
+
 def changed_runs(core: DataFrame, matched: DataFrame) -> DataFrame:
     """(id, a0, a1, b0, b1): runs of tokens between matched ones that differ, as places in the whole arrays; one row per id enters, no window."""
-    held = matched.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("m"))
-    ends = F.struct(F.size("x").alias("a"), F.size("y").alias("b"))
-    rows = core.join(held, "id", "left").select("id", "head", F.concat(F.coalesce("m", F.array().cast("array<struct<a:int,b:int>>")), F.array(ends)).alias("m"))
-    before = lambda i, f: F.when(i == 0, 0).otherwise(F.get("m", i - 1)[f] + 1)
-    runs = F.filter(F.transform("m", lambda p, i: F.struct(before(i, "a").alias("a0"), p["a"].alias("a1"), before(i, "b").alias("b0"), p["b"].alias("b1"))),
-                    lambda r: (r["a1"] > r["a0"]) | (r["b1"] > r["b0"]))
-    rows = rows.select("id", "head", F.explode(runs).alias("r"))
+    rows = _with_places(core, matched).select("id", "head", F.explode(_runs()).alias("r"))
     return rows.select("id", *[(F.col(f"r.{c}") + F.col("head")).alias(c) for c in ("a0", "a1", "b0", "b1")])
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def offsets(tokens: pd.Series) -> pd.Series:
+    """The number of characters before each token, and after the last."""
+    return tokens.map(lambda row: [0, *accumulate(map(len, row.tolist()))])
+
+
+def changed_spans(core: DataFrame, *more: str) -> DataFrame:
+    """(id, more, old_start, old_end, new_start, new_end): changed runs of the cores (with ``lead``) as characters of the whole texts; inside the row."""
+    rows = aligned(core).select("id", *more, "lead", offsets("x").alias("_x"), offsets("y").alias("_y"), _runs().alias("r"))
+    # not explode, whose filter of empty arrays would chain everything twice
+    rows = rows.select("id", *more, "lead", "_x", "_y", F.explode_outer("r").alias("r")).where("r IS NOT NULL")
+    at = lambda c, k: F.get(c, F.col(f"r.{k}")) + F.col("lead")
+    return rows.select("id", *more, at("_x", "a0").alias("old_start"), at("_x", "a1").alias("old_end"), at("_y", "b0").alias("new_start"), at("_y", "b1").alias("new_end"))
+
+
 def character_spans(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     """(id, old_start, old_end, new_start, new_end) of runs of tokens; ``pairs`` has id and the arrays x and y."""
     at = lambda c, k: F.char_length(F.array_join(F.slice(c, F.lit(1), F.col(k)), ""))

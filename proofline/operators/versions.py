@@ -52,11 +52,10 @@ def _tokenised(pairs: DataFrame, pattern: str, *more: str) -> DataFrame:
 
 
 def _changes(pairs: DataFrame, pattern: str, spaces: bool = True) -> DataFrame:
-    """Changed spans of (id, old, new); with ``spaces`` false, a special space that became a plain one is no change."""
-    rows = _tokenised(pairs, pattern)
+    """Changed spans of (id, old, new), with old and new; with ``spaces`` false, a special space that became a plain one is no change."""
     if spaces:
-        core = materialise(A.cores(rows), "tokens")
-        return A.character_spans(rows, A.changed_runs(core, A.matched_in_cores(core)))
+        return A.changed_spans(materialise(A.cores(_tokenised(pairs, pattern, "old", "new"), "old", "new", lead=True), "tokens"), "old", "new")
+    rows = _tokenised(pairs, pattern)
     fold = lambda c: F.transform(c, lambda t: F.translate(t, SPECIAL_SPACES, " " * len(SPECIAL_SPACES)))
     folded = rows.select("id", fold("x").alias("x"), fold("y").alias("y"))
     core = materialise(A.cores(folded), "tokens")
@@ -64,7 +63,7 @@ def _changes(pairs: DataFrame, pattern: str, spaces: bool = True) -> DataFrame:
     # a new special space where an equal but plain one stood is a change of its own
     plain = whole_matches(folded, core, matched).join(rows, "id").select("id", "a", "b", F.get("x", F.col("a")).alias("t"), F.get("y", F.col("b")).alias("u"))
     asked = plain.where((F.col("t") != F.col("u")) & F.col("u").rlike(f"[{SPECIAL_SPACES}]")).select("id", F.col("a").alias("a0"), (F.col("a") + 1).alias("a1"), F.col("b").alias("b0"), (F.col("b") + 1).alias("b1"))
-    return A.character_spans(rows, _adjoined(A.changed_runs(core, matched).unionByName(asked)))
+    return A.character_spans(rows, _adjoined(A.changed_runs(core, matched).unionByName(asked))).join(pairs, "id")
 
 
 def _adjoined(runs: DataFrame) -> DataFrame:
@@ -94,8 +93,8 @@ def word_diff(pairs: DataFrame, spaces: bool = True, joined: bool = True) -> Dat
     comparable = marked.where("NOT atoms_changed").drop("atoms_changed")
     spans = _changes(comparable, TOKEN, spaces)
     if joined:
-        spans = A.join_close(spans.join(comparable, "id"))
-    rows = marked.join(spans, "id", "left").where("atoms_changed OR old_start IS NOT NULL")
+        spans = A.join_close(spans).join(comparable, "id")
+    rows = spans.withColumn("atoms_changed", F.lit(False)).unionByName(marked.where("atoms_changed"), allowMissingColumns=True)
     cut = lambda text, a, b: F.substr(F.col(text), F.col(a) + 1, F.col(b) - F.col(a))
     return rows.select("id", "atoms_changed", "old_start", "old_end", "new_start", "new_end",
                        cut("old", "old_start", "old_end").alias("old_text"), cut("new", "new_start", "new_end").alias("new_text"))
@@ -104,7 +103,7 @@ def word_diff(pairs: DataFrame, spaces: bool = True, joined: bool = True) -> Dat
 def diff_hunks(pairs: DataFrame, context: int = 8) -> DataFrame:
     """Every differing stretch of words of each pair, with up to ``context`` words of the old text on both sides."""
     changed = pairs.select("id", "old", "new").where(F.col("old") != F.col("new"))
-    rows = _changes(changed, WORD).join(changed, "id")
+    rows = _changes(changed, WORD)
     words = lambda text: F.regexp_extract_all(text, F.lit("[^ ]+"), F.lit(0))
     before = T.let(words(F.substr(F.col("old"), F.lit(1), F.col("old_start"))), lambda w: F.slice(w, F.greatest(F.size(w) - context + 1, F.lit(1)), F.lit(context)))
     after = F.slice(words(F.substr(F.col("old"), F.col("old_end") + 1, F.char_length("old"))), 1, context)
@@ -237,23 +236,25 @@ def formatting_delta(pairs: DataFrame) -> DataFrame:
     A token has the flags of its first character.
     """
     moved = pairs.where((F.col("old") != F.col("new")) | (F.col("old_spans") != F.col("new_spans")))
-    rows = _tokenised(moved, TOKEN, "old_spans", "new_spans")
-    core = materialise(A.cores(rows), "tokens")
-    kept = whole_matches(rows, core, A.matched_in_cores(core)).join(_token_places(rows, "x", "a", "pos"), ["id", "a"]).join(
-        _token_places(rows, "y", "b", "at").drop("token"), ["id", "b"]).where(F.trim("token") != "")
-    kept = kept.join(moved.select("id", "old_spans", "new_spans"), "id")
+    carried = ("old", "old_spans", "new_spans")
+    core = materialise(A.cores(_tokenised(moved, TOKEN, *carried), *carried, lead=True), "tokens")
+    # matched tokens are those of the head, of the chain and of the tail; all of it is inside the row
+    rows = A.aligned(core).withColumn("t", A.tokens("old", TOKEN))
+    rows = rows.select("*", A.offsets("t").alias("_t"), A.offsets("y").alias("_y"))
+    tail, shift = F.col("head") + F.size("x"), F.get("_y", F.size("y")) - (F.get("_t", F.col("head") + F.size("x")) - F.col("lead"))
+    place = lambda k, at: F.struct(F.get("t", k).alias("token"), F.get("_t", k).alias("pos"), at.alias("at"))
+    places = lambda start, size: F.when(size > 0, F.sequence(start, start + size - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.concat(
+        F.transform(places(F.lit(0), F.col("head")), lambda k: place(k, F.get("_t", k))),
+        F.transform("m", lambda code: place(A.places(code)[0] + F.col("head"), F.get("_y", A.places(code)[1]) + F.col("lead"))),
+        F.transform(places(tail, F.size("t") - tail), lambda k: place(k, F.get("_t", k) + shift)))
+    kept = rows.select("id", "old_spans", "new_spans", F.explode_outer(F.filter(kept, lambda k: F.trim(k["token"]) != "")).alias("k")).where("k IS NOT NULL").select(
+        "id", "old_spans", "new_spans", "k.*")
     had, has = A.flags_at(F.col("old_spans"), F.col("pos")), A.flags_at(F.col("new_spans"), F.col("at"))
     kept = kept.select("id", "pos", "token", F.array_sort(F.array_except(had, has)).alias("lost"), F.array_sort(F.array_except(has, had)).alias("gained"))
     return kept.where((F.size("lost") > 0) | (F.size("gained") > 0))
 
 
-def _token_places(rows: DataFrame, side: str, place: str, pos: str) -> DataFrame:
-    """(id, place, token, pos): every token of an array with the number of characters before it."""
-    each = rows.select("id", F.posexplode(side).alias(place, "token"))
-    before = Window.partitionBy("id").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn(pos, F.coalesce(F.sum(F.char_length("token")).over(before), F.lit(0)).cast("int"))
-
-
 def picture_set_check(base: DataFrame, new: DataFrame, swaps: DataFrame, removed: DataFrame) -> DataFrame:
     """Pictures of the new version against the base after declared removals and swaps.
 

@@ -451,3 +451,19 @@ def test_versions_of_repeated_wording_are_paired(spark):
     for r in V.paragraph_align(*(spark.createDataFrame(rows, "doc_id int, idx int, text string") for rows in (olds, news))).where("kind = 'changed'").collect():
         got[r.doc_id].add((r.old_idx, r.new_idx))
     assert got == expected
+
+
+def test_versions_of_a_line_meet_inside_its_row(spark):
+    """Blanks of a long line equal each other in pairs that grow with its square; no pair is listed and no token is sent anywhere."""
+    from proofline.operators import versions as V
+
+    old = " ".join(f"w{i % 50}," for i in range(600))
+    df = spark.createDataFrame([(1, old, old.replace(",", ";"))], "id int, old string, new string")
+    hunks = V.diff_hunks(df)
+    spans = "array(named_struct('start', 0, 'end', 4, 'flags', array('{0}')))"
+    delta = V.formatting_delta(df.selectExpr("*", f"{spans.format('italic')} AS old_spans", f"{spans.format('bold')} AS new_spans"))
+    for frame in (hunks, delta):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
+    assert hunks.count() == 600
+    assert [tuple(r) for r in delta.orderBy("pos").collect()] == [(1, 0, "w0", ["italic"], ["bold"])]

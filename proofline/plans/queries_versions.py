@@ -285,10 +285,12 @@ def f14(spark, sf):
 SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'removed' ELSE 'changed' END AS kind, p_size AS old, CASE WHEN p_size % 10 <> 0 THEN p_size + 1 END AS new FROM part WHERE p_size % 10 IN (0, 1)
 UNION ALL SELECT p_partkey + 1000000, 'added', NULL, p_size FROM part WHERE p_size % 10 = 2""")
 def f15(spark, sf):
+    # new parts are parts of their own even where a million further on there is a part already
+    key = lambda place, new: f"named_struct('part', p_partkey + {place}, 'new', {new}) AS key"
     p = table(spark, sf, "part")
-    after = p.where("p_size % 10 <> 0").selectExpr("p_partkey", "cast(if(p_size % 10 = 1, p_size + 1, p_size) as int) AS p_size").unionByName(
-        p.where("p_size % 10 = 2").selectExpr("p_partkey + 1000000 AS p_partkey", "p_size"))
-    return V.snapshot_diff(p, after, "p_partkey", "p_size")
+    after = p.where("p_size % 10 <> 0").selectExpr(key(0, "false"), "cast(if(p_size % 10 = 1, p_size + 1, p_size) as int) AS p_size").unionByName(
+        p.where("p_size % 10 = 2").selectExpr(key(1000000, "true"), "p_size"))
+    return V.snapshot_diff(p.selectExpr(key(0, "false"), "p_size"), after, "key", "p_size").select(F.col("key.part").alias("p_partkey"), "kind", "old", "new")
 
 
 @query("f16_lockstep", "SELECT p_name, count(DISTINCT p_brand) AS versions, min(p_brand) AS least, max(p_brand) AS greatest FROM part GROUP BY p_name HAVING versions > 1")

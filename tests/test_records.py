@@ -467,3 +467,12 @@ def test_versions_of_a_line_meet_inside_its_row(spark):
         assert "Join" not in plan and "Exchange" not in plan and "Window" not in plan
     assert hunks.count() == 600
     assert [tuple(r) for r in delta.orderBy("pos").collect()] == [(1, 0, "w0", ["italic"], ["bold"])]
+
+
+def test_snapshot_of_more_than_a_million_parts(spark, tmp_path, rows):
+    """A new part whose key is taken by a part of the older snapshot is still added, and the older one still counts."""
+    import __spark_entry__ as entry_module
+
+    spark.createDataFrame([(5, 12), (1_000_005, 10), (7, 12), (1_000_007, 33)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = entry_module.queries()["f15_snapshot_diff"](spark, str(tmp_path))
+    assert rows(found) == sorted([(1_000_005, "added", None, 12), (1_000_005, "removed", 10, None), (1_000_007, "added", None, 12)], key=repr)

@@ -1,4 +1,4 @@
-"""Which tokens of two versions are the same: joins find equal tokens, windows and folds keep a longest run of them in order.
+"""Which tokens of two versions are the same: a longest run of equal tokens in order, found inside the row or, for very long ones, by joins.
 
 Each version of an id is an array of tokens. The common head and tail are cut off inside the row. Of what is left (the core) a longest chain
 of equal pairs that rises in both versions is kept, so as many tokens as possible are matched and a token that moves unmatches no

@@ -1,6 +1,6 @@
 """Comparison of two versions of documents, snapshots and packages.
 
-Equal rows are removed by joins or equality first; the rest is aligned by joins and windows (``alignment``).
+Equal rows are removed by joins or equality first; the rest is aligned inside its row (``alignment``).
 """
 
 from __future__ import annotations

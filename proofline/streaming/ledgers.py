@@ -16,23 +16,22 @@ def open_operations_stream(ledger: DataFrame, timeout: str = "1 hour", delay: st
     """(seq, event, opened, issue): operations without an answer, and failed ones that no completion of their key follows, when the watermark
     passes their timeout (timeout and delay are ours).
 
-    ``ledger(utc timestamp, pos, seq, event, status, ref, version, reason, figure, figure_version)`` as a stream. Both are outer joins of
+    ``ledger(utc timestamp, pos, seq, event, status, ref, version, reason, figure, figure_version)`` as a stream. Both are one outer join of
     the stream with itself, bounded in time, so state ends with the timeout and no Python runs. Missing equals missing in the key.
     """
     ledger.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     wait = F.expr(f"INTERVAL {timeout}")
-    part = lambda condition, *columns: ledger.where(condition).select(*columns)
-    opened = part("status = 'pending'", F.col("utc").alias("opened"), "seq", "event").withWatermark("opened", delay)
-    answers = part("status IN ('complete', 'failed') AND ref IS NOT NULL", F.col("utc").alias("answered"), F.col("ref").alias("_ref"), F.col("event").alias("_event")).withWatermark("answered", delay)
-    silent = opened.join(answers, (F.col("seq") == F.col("_ref")) & (F.col("event") == F.col("_event")) & (F.col("answered") >= F.col("opened"))
-                         & (F.col("answered") <= F.col("opened") + wait), "leftOuter").where("_ref IS NULL")
-    key = F.to_json(F.struct(*LEDGER_KEY), {"ignoreNullFields": "false"})
-    failed = part("status = 'failed'", F.col("utc").alias("opened"), "seq", "event", "pos", key.alias("key")).withWatermark("opened", delay)
-    done = part("status = 'complete'", F.col("utc").alias("done"), F.col("pos").alias("_pos"), key.alias("_key")).withWatermark("done", delay)
-    still = failed.join(done, (F.col("key") == F.col("_key")) & (F.col("_pos") > F.col("pos")) & (F.col("done") >= F.col("opened"))
-                        & (F.col("done") <= F.col("opened") + wait), "leftOuter").where("_key IS NULL")
-    return silent.select("seq", "event", "opened", F.lit("interrupted").alias("issue")).unionByName(
-        still.select("seq", "event", "opened", F.lit("failed").alias("issue")))
+    text = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("kind"), *columns), {"ignoreNullFields": "false"})
+    asked = lambda seq: F.when(F.col(seq).isNotNull() & F.col("event").isNotNull(), text("interrupted", F.col(seq).alias("seq"), "event"))
+    key = text("failed", *LEDGER_KEY)
+    part = lambda condition, at, *columns: ledger.where(condition).select(F.col("utc").alias(at), *columns).withWatermark(at, delay)
+    opened = part("status = 'pending'", "opened", "seq", "event", F.lit("interrupted").alias("issue"), asked("seq").alias("key"), F.lit(None).cast("bigint").alias("pos")).unionByName(
+        part("status = 'failed'", "opened", "seq", "event", F.lit("failed").alias("issue"), key.alias("key"), F.col("pos").cast("bigint").alias("pos")))
+    closed = part("status IN ('complete', 'failed') AND ref IS NOT NULL", "closed", asked("ref").alias("_key"), F.lit(None).cast("bigint").alias("_pos")).unionByName(
+        part("status = 'complete'", "closed", key.alias("_key"), F.col("pos").cast("bigint").alias("_pos")))
+    later = F.col("_pos").isNull() | (F.col("_pos") > F.col("pos"))        # the answer to an operation names it and needs no place
+    both = opened.join(closed, (F.col("key") == F.col("_key")) & later & (F.col("closed") >= F.col("opened")) & (F.col("closed") <= F.col("opened") + wait), "leftOuter")
+    return both.where("_key IS NULL").select("seq", "event", "opened", "issue")
 
 
 def history_fold_stream(events: DataFrame) -> DataFrame:
@@ -44,7 +43,8 @@ def replay(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """Run a stream over all available input and read back what it wrote.
 
     Each micro-batch owns one folder, overwritten when the batch is retried, so a lost executor
-    cannot leave duplicates.
+    cannot leave duplicates. State is kept on disk in as many parts as there are cores: each part costs some commits a batch,
+    however few rows it holds.
     """
     spark: SparkSession = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
@@ -52,8 +52,13 @@ def replay(stream: DataFrame, mode: str, label: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-           .trigger(availableNow=True).foreachBatch(write).start())
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), max(spark.sparkContext.defaultParallelism, 1))))
+    try:                                                         # a stream takes the session's settings when it starts
+        run = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).foreachBatch(write).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     run.awaitTermination()
     return spark.read.schema(ST.StructType([*stream.schema.fields, ST.StructField("batch", ST.LongType())])).parquet(out)
 

@@ -115,6 +115,28 @@ def test_stream_of_open_operations_equals_the_batch(spark, tmp_path):
     assert got == expected and {i for _, _, i in got} == {"interrupted", "failed"}
 
 
+def test_stream_keeps_one_join_in_as_many_parts_as_cores(spark, tmp_path, monkeypatch):
+    start = datetime(2024, 1, 1)
+    fields = "pos long, utc timestamp, seq long, event string, status string, ref long, version string, reason string, figure string, figure_version string"
+    rows = [(1, start, 1, "a", "pending", None, None), (2, start, 2, "a", "failed", 1, None), (3, start, None, "a", "pending", None, None), (4, start, 4, "a", "complete", 9, None),
+            (5, start, 5, "b", "failed", None, "v"), (6, start, 6, None, "pending", None, None), (7, start, 7, "b", "complete", None, "w")]
+    rows += [(90 + i, start + timedelta(days=2), 90 + i, "z", s, 90 + i, f"w{i}") for i, s in enumerate(["pending", "complete", "failed"])]
+    spark.createDataFrame([(*r, None, None, None) for r in rows], fields).coalesce(1).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(ledgers, "scratch_path", lambda spark, label: str(tmp_path / label))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        stream = ledgers.open_operations_stream(spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in")))
+        got = ledgers.replay(stream, "append", "open").collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    state = tmp_path / "open-checkpoint" / "state"
+    assert [d.name for d in state.iterdir() if d.is_dir() and d.name.isdigit()] == ["0"]
+    assert len([d for d in (state / "0").iterdir() if d.name.isdigit()]) <= spark.sparkContext.defaultParallelism
+    assert {(r.seq, r.event, r.issue) for r in got} == {(None, "a", "interrupted"), (6, None, "interrupted"), (5, "b", "failed")}
+
+
 def test_crowded_cells_are_spread_over_tasks(spark, monkeypatch):
     from proofline.operators import layout as L
 

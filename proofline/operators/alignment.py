@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,10 @@ from proofline.session import materialise
 MAX_PAIRS = 1 << 20
 #: How far apart equal tokens may stand in a stretch that repeats a few tokens so often that their pairs exceed MAX_PAIRS.
 BAND = 64
-#: Cells (tokens of one version times tokens of the other) of a core that is aligned inside its row: 64 MB of bits at most.
-MAX_CELLS = 1 << 29
+#: Cells (tokens of one version times tokens of the other) of a core that is aligned inside its row: a million tokens each.
+MAX_CELLS = 1 << 40
+#: Bits that are held at once while a core is aligned inside its row (64 MB), and again for the places of its tokens.
+HELD_BITS = 1 << 29
 #: A pair of places is one number: the old place in the high half, the new one in the low half.
 _HALF = 1 << 32
 
@@ -123,45 +126,65 @@ def cores(pairs: DataFrame, *more: str, lead: bool = False) -> DataFrame:
     return rows.select("id", *more, "head", *[F.slice(c, 1, F.size(c) - F.col("_tail")).alias(c) for c in ("x", "y")])
 
 
-def least_longest_common(x, y) -> list[int]:
+def least_longest_common(x, y, held: int = HELD_BITS) -> list[int]:
     """The least longest chain of equal pairs of two arrays as codes of places; a row of bits a token of x, so len(x) * len(y) / 64 steps.
 
-    Row i tells, for every end of y, how many tokens x[i:] and that end have in common: the zeros among its lowest bits.
+    Row i tells, for every end of y, how many tokens x[i:] and that end have in common: the zeros among its lowest bits. Rows of more than
+    ``held`` bits are not all held: some are, and the rows between two of them are made again when the chain gets there.
     """
-    m, at = len(y), {}
+    n, m, at = len(x), len(y), {}
     for b, token in enumerate(y):
         if token is None:                                # equals nothing, as in a join
             continue
         at.setdefault(token, []).append(b)
-    masks = {token: sum(1 << (m - 1 - b) for b in at[token]) if len(at[token]) < 8 else int("".join(_ones(at[token], m)), 2) for token in set(x) & at.keys()}
-    full = (1 << m) - 1
-    rows, bits = [full] * (len(x) + 1), full
-    for i in range(len(x) - 1, -1, -1):
-        if (mask := masks.get(x[i])) is not None:
-            met = bits & mask
-            bits = (bits + met | bits & ~mask) & full
-        rows[i] = bits
-    common = lambda i, b: m - b - (rows[i] & ((1 << (m - b)) - 1)).bit_count()
-    want, start, chain = common(0, 0), 0, []
-    for i, token in enumerate(x):
+    full, masks = (1 << m) - 1, {}
+    step = max(n, 1) if n * m <= held else max(isqrt(n), 1)
+
+    def mask(token) -> int | None:
+        if (made := masks.get(token)) is None and (places := at.get(token)) is not None:
+            signs = bytearray(m // 8 + 1)
+            for b in places:
+                signs[m - 1 - b >> 3] |= 1 << (m - 1 - b & 7)
+            made = int.from_bytes(signs, "little")
+            if len(masks) * m <= held:
+                masks[token] = made
+        return made
+
+    def rows_above(bits: int, first: int, last: int) -> list[int]:
+        """Rows first to last, of which ``bits`` is the last one."""
+        rows = [bits] * (last - first + 1)
+        for i in range(last - 1, first - 1, -1):
+            if (own := mask(x[i])) is not None:
+                met = bits & own
+                bits = (bits + met | bits & ~own) & full
+            rows[i - first] = bits
+        return rows
+
+    starts = range(0, n, step)
+    tops, rows = {n: full}, [full]
+    for first in reversed(starts):
+        rows = rows_above(tops[min(first + step, n)], first, min(first + step, n))
+        tops[first] = rows[0]
+    common = lambda row, b: m - b - (row & ((1 << (m - b)) - 1)).bit_count()
+    want, start, chain = common(rows[0], 0), 0, []
+    for first in starts:
         if not want:
             break
-        places = at.get(token)
-        if places is None or (k := bisect_left(places, start)) == len(places):
-            continue
-        if common(i + 1, places[k] + 1) == want - 1:     # the first equal token leaves most behind it
-            chain.append(i * _HALF + places[k])
-            want, start = want - 1, places[k] + 1
+        last = min(first + step, n)
+        if first:                                        # those of the first stretch were made last
+            rows = rows_above(tops[last], first, last)
+        for i in range(first, last):
+            if not want:
+                break
+            places = at.get(x[i])
+            if places is None or (k := bisect_left(places, start)) == len(places):
+                continue
+            if common(rows[i + 1 - first], places[k] + 1) == want - 1:      # the first equal token leaves most behind it
+                chain.append(i * _HALF + places[k])
+                want, start = want - 1, places[k] + 1
     return chain
 
 
-def _ones(places: list[int], size: int) -> list[str]:
-    signs = ["0"] * size
-    for b in places:
-        signs[b] = "1"
-    return signs
-
-
 @F.pandas_udf(ArrayType(LongType()))
 def _common_chains(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([least_longest_common(p.tolist(), q.tolist()) for p, q in zip(x, y, strict=True)], index=x.index, dtype=object)
@@ -170,7 +193,7 @@ def _common_chains(x: pd.Series, y: pd.Series) -> pd.Series:
 def matched_in_cores(core: DataFrame, limit: int = MAX_PAIRS, cells: int | None = None) -> DataFrame:
     """(id, a, b): places of matched tokens within the cores (id, head, x, y), counted from 0.
 
-    ``limit`` bounds the equal pairs that are chained at once where a core has more than ``cells`` cells (by default 64 MB of bits, or
+    ``limit`` bounds the equal pairs that are chained at once where a core has more than ``cells`` cells (by default MAX_CELLS, or
     ``limit`` if that is set lower).
     """
     cells = (MAX_CELLS if limit >= MAX_PAIRS else limit) if cells is None else cells

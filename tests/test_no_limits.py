@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,17 @@ def test_two_groups_with_unlike_limits_in_one_job(spark):
         assert got[d] == sorted((r.rule, r.message) for r in alone), name
     assert {r for r, _ in got[1]} > {"limits.title", "limits.references", "limits.abstract-words"} and not {r for r, _ in got[2]} & {"limits.title", "declarations.missing"}
     assert document_profiles(docs, table).count() == 3
+
+
+def test_long_lines_of_few_words_are_aligned_whole(spark):
+    """One sign moves over a line of 30,000 tokens that repeats three words; nothing else has changed. Rows of bits made twice change nothing."""
+    from proofline.operators import alignment as A
+    from proofline.operators import versions as V
+
+    rng = random.Random(5)
+    for _ in range(200):
+        x, y = (["abc"[rng.randrange(3)] for _ in range(rng.randrange(40))] for _ in range(2))
+        assert A.least_longest_common(x, y) == A.least_longest_common(x, y, held=16)
+    line = " ".join(rng.choice(["one", "two", "three"]) for _ in range(15_000))
+    got = V.word_diff(spark.createDataFrame([(1, "¤" + line, line + "¤")], "id long, old string, new string"), joined=False).collect()
+    assert sorted((r.old_text, r.new_text, r.old_start, r.new_start) for r in got) == [("", "¤", len(line) + 1, len(line)), ("¤", "", 0, 0)]

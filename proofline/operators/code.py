@@ -76,8 +76,61 @@ MIN_POINTS, SCRIPT_SCALE = 5.0, 0.7
 COLUMN_WIDTHS = ((89.0, 4.0), (183.0, 6.0))
 
 
+#: Of each pattern, pieces of lower-case ASCII of which every match holds at least one: a byte search for them comes first, as most text holds none.
+#: A pattern that is not listed always runs.
+SIGNS: dict[str, tuple[str, ...]] = {}
+
+
+def _signed(patterns: tuple[str, ...], *signs: str) -> None:
+    """``signs`` in the order of the patterns; those of one pattern are parted by a blank."""
+    SIGNS.update({p: tuple(s.split(" ")) for p, s in zip(patterns, signs, strict=True)})
+
+
+_OF = {r.check: r for r in GUARDED_RULES}
+_signed(_OF["FONT-FAMILY"].triggers[0], "arial", "helvetica", "liberation", "sans-serif", "base_family")
+_signed(_OF["INTERP-MONOTONIC"].triggers[0], "np.interp")
+_signed(_OF["INTERP-MONOTONIC"].guards, "interp_", "np.diff", "np.argsort", "::")
+_signed(_OF["UNCERTAINTY-ENCODING"].triggers[0], "seed", "random_state", "_fold", "fold_", "n_fold", "n_splits", "_split")
+_signed(_OF["UNCERTAINTY-ENCODING"].triggers[1], "median", "mean", "average")
+_signed(_OF["UNCERTAINTY-ENCODING"].guards, "xerr yerr", ".errorbar", ".fill_between", "geom_")
+_signed(_OF["ANNOTATION-WORKAROUND"].triggers[0], "_y", "bbox")
+_signed(_OF["COLOR-MAP"].triggers[0], "jet rainbow hsv", "plt.cm.", "scale_", "rainbow")
+_signed(_OF["DATA-SAMPLING"].triggers[0], "np.random.choice", ".sample", "sample_n", "sample_frac", "slice_sample")
+_signed(_OF["DATA-EXCLUSION"].triggers[0], ".dropna", "na.omit", "complete.cases", "drop_na")
+_signed(_OF["DATA-EXCLUSION"].guards, "n_before n_after before_count after_count excluded_count dropped_count")
+_signed(_OF["DEMO-DATA"].triggers[0], "np.random.", "default_rng", "rng.", "rnorm runif rpois", "make_")
+_signed(_OF["LOG-GUARD"].triggers[0], "np.log", "log", "set_", "_log10")
+_signed(_OF["LOG-GUARD"].guards, "clip", "pmax", "not", "np.any", "padj pval p_value", "positive", "strictly pseudocount eps")
+_signed(_OF["PANEL-ALIGNMENT-GATE"].triggers[0], "plot_layout", "wrap_plots", "patchworkgrob", "|")
+_signed(_OF["PANEL-ALIGNMENT-GATE"].guards, "require_patchwork_panel_alignment", "audit_panel_alignment.py")
+_signed(BACKEND_MIX["python"], "rscript", "rpy2", "ggplot2 complexheatmap patchwork")
+_signed(BACKEND_MIX["r"], "matplotlib seaborn plotly reticulate")
+_signed(EDITABLE["python"], "svg.fonttype", "pdf.fonttype")
+_signed(EDITABLE["r"], "svglite", "cairo_pdf")
+_signed(VECTOR, "svg", "pdf")
+_signed(RASTER, "tif", "png")
+_signed(FONT_SIZES, "font.size fontsize labelsize titlesize", "base_size", "element_text")
+_signed((MATHTEXT, DPI, WIDTH_MM, FIGSIZE, R_WIDTH), "$", "dpi res", "width_mm", "figsize", "units")
+_signed((ROTATION, ANCHOR), "rotation", "rotation_mode")
+
+
+def _maybe(pattern: str) -> Column:
+    """Whether the text, of which ``_low`` is the lower-case form, holds what every match of the pattern holds."""
+    maybe = F.lit(pattern not in SIGNS)
+    for sign in SIGNS.get(pattern, ()):
+        maybe = maybe | F.col("_low").contains(sign)
+    return maybe
+
+
+def _has(pattern: str, source: Column, flags: str = "") -> Column:
+    return _maybe(pattern) & source.rlike(flags + pattern)
+
+
 def _any(patterns, source: Column) -> Column:
-    return source.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | _has(pattern, source, "(?i)")
+    return found
 
 
 def guarded_level(rule: GuardedRule, source: Column, lang: Column) -> Column:
@@ -90,7 +143,10 @@ def guarded_level(rule: GuardedRule, source: Column, lang: Column) -> Column:
 
 
 def _numbers(patterns, source: Column) -> Column:
-    return F.concat(*[F.transform(F.regexp_extract_all(source, F.lit(p), F.lit(1)), lambda v: v.cast("double")) for p in patterns])
+    def of(pattern):
+        found = F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), lambda v: v.cast("double"))
+        return F.when(source.isNull() | _maybe(pattern), found).otherwise(F.array().cast("array<double>"))
+    return F.concat(*[of(p) for p in patterns])
 
 
 def font_size_level(source: Column) -> Column:
@@ -100,7 +156,7 @@ def font_size_level(source: Column) -> Column:
 
 def glyph_floor_level(source: Column, lang: Column) -> Column:
     least = F.array_min(_numbers(FONT_SIZES, source))
-    return F.when((lang != "python") | ~source.rlike(MATHTEXT), "PASS").when(
+    return F.when((lang != "python") | ~_has(MATHTEXT, source), "PASS").when(
         least.isNull() | (least * SCRIPT_SCALE < MIN_POINTS), "WARN").otherwise("PASS")
 
 
@@ -120,24 +176,25 @@ def width_level(source: Column, lang: Column) -> Column:
 
 
 def both_level(patterns, source: Column) -> Column:
-    return F.when(source.rlike(patterns[0]) & source.rlike(patterns[1]), "PASS").otherwise("FAIL")
+    return F.when(_has(patterns[0], source) & _has(patterns[1], source), "PASS").otherwise("FAIL")
 
 
-def code_findings(files: DataFrame, rules: tuple[GuardedRule, ...] = GUARDED_RULES) -> DataFrame:
-    """One row per file and check with its level."""
+def code_findings(files: DataFrame, rules: tuple[GuardedRule, ...] = GUARDED_RULES, checks: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per file and check with its level; of all checks, or of those named."""
     source, lang = F.col("source"), F.col("lang")
     by_lang = lambda table, fn: F.when(lang == "python", fn(table["python"])).otherwise(fn(table["r"]))
     levels = [(r.check, guarded_level(r, source, lang)) for r in rules]
+    turned = _maybe(ROTATION) & (F.regexp_count(source, F.lit(ROTATION)) > F.regexp_count(source, F.lit(ANCHOR)))
     levels += [
         ("FONT-SIZE", font_size_level(source)), ("FONT-GLYPH-FLOOR", glyph_floor_level(source, lang)),
-        ("ROTATION-ANCHOR", F.when((lang == "python") & (F.regexp_count(source, F.lit(ROTATION)) > F.regexp_count(source, F.lit(ANCHOR))), "WARN").otherwise("PASS")),
+        ("ROTATION-ANCHOR", F.when((lang == "python") & turned, "WARN").otherwise("PASS")),
         ("EDITABLE-TEXT", by_lang(EDITABLE, lambda p: both_level(p, source))), ("EXPORT-VECTOR", both_level(VECTOR, source)),
-        ("EXPORT-RASTER", F.when(source.rlike(RASTER[0]), "PASS").when(source.rlike(RASTER[1]), "WARN").otherwise("FAIL")),
+        ("EXPORT-RASTER", F.when(_has(RASTER[0], source), "PASS").when(_has(RASTER[1], source), "WARN").otherwise("FAIL")),
         ("RASTER-DPI", dpi_level(source)), ("FINAL-WIDTH", width_level(source, lang)),
         ("BACKEND-EXCLUSIVE", by_lang(BACKEND_MIX, lambda p: F.when(_any(p, source), "WARN").otherwise("PASS"))),
     ]
-    rows = F.array(*[F.struct(F.lit(check).alias("check"), level.alias("level")) for check, level in levels])
-    return files.select("path", "lang", F.inline(rows))
+    rows = F.array(*[F.struct(F.lit(check).alias("check"), level.alias("level")) for check, level in levels if checks is None or check in checks])
+    return files.withColumn("_low", F.lower("source")).select("path", "lang", F.inline(rows))
 
 
 def code_rollup(findings: DataFrame, strict: bool = False) -> DataFrame:

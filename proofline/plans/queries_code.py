@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from proofline.operators import code as K
 from proofline.plans.catalog import query, quoted, table
 
@@ -70,7 +68,7 @@ def _register(name, *checks):
 
     @query(name, sql)
     def run(spark, sf):
-        return K.code_findings(files(spark, sf)).where(F.col("check").isin(*checks)).select("path", "check", "level")
+        return K.code_findings(files(spark, sf), checks=checks).select("path", "check", "level")
     return run
 
 

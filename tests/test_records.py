@@ -476,3 +476,20 @@ def test_snapshot_of_more_than_a_million_parts(spark, tmp_path, rows):
     spark.createDataFrame([(5, 12), (1_000_005, 10), (7, 12), (1_000_007, 33)], "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     found = entry_module.queries()["f15_snapshot_diff"](spark, str(tmp_path))
     assert rows(found) == sorted([(1_000_005, "added", None, 12), (1_000_005, "removed", 10, None), (1_000_007, "added", None, 12)], key=repr)
+
+
+def test_code_checks_run_only_when_asked_for_and_signs_change_nothing(spark, rows, monkeypatch):
+    from proofline.plans import queries_code as Q
+    from proofline.plans.catalog import QUERIES
+
+    odd = ["SEED; MEAN(v); YERR=e", "Fold_ID mean", "x <- a |b", "NP.RANDOM.RAND(", "RANDOM_SPLIT AVERAGE", "Drop_NA(", "Pdf.FontType: 42; SVG.fonttype='none'", "[ ::-1 ]; np.interp (", "LABEL_Y = 2",
+           "element_text(a, SIZE = 4)", "$a_b$ labelsize=3", "rotation=1", "res=72", "FIGSIZE=(7.2", "ggsave('x', width = 89, units = 'mm')", "Liberation Sans", "GEOM_Ribbon( random_state median", "strictly  positive np.log(", "İ K log2(", "", None]
+    data = [(100 * k + i, lang, s) for k, lang in enumerate(("python", "r")) for i, s in enumerate([*Q.SNIPPETS, *odd])]
+    files = spark.createDataFrame(data, "path long, lang string, source string")
+    quick = rows(K.code_findings(files), "path", "check", "level")
+    asked = rows(K.code_findings(files, checks=("LOG-GUARD", "FONT-SIZE")), "path", "check", "level")
+    assert asked == [r for r in quick if r[1] in ("LOG-GUARD", "FONT-SIZE")]
+    monkeypatch.setattr(K, "SIGNS", {})
+    assert quick == rows(K.code_findings(files), "path", "check", "level") and len(quick) == 19 * len(data)
+    plan = QUERIES["j3_annotations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "bbox" in plan and "default_rng" not in plan

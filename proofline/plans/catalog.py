@@ -34,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     scan already has far more partitions than cores and nothing is shuffled.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, TEXT_KEYS[name])
-    return df
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key over the session's cores where the scan has fewer partitions, for work that is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def quoted(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofline.operators.charts import coerce_numeric
 from proofline.operators.history import batch_rows
-from proofline.plans.catalog import MANUSCRIPT, MANUSCRIPT_LINES_SQL, manuscripts, query, table
+from proofline.plans.catalog import MANUSCRIPT, MANUSCRIPT_LINES_SQL, manuscripts, query, spread, table
 from proofline.session import scratch_path
 from proofline.sources import readers as S
 
@@ -77,19 +77,21 @@ LIBRARY = """concat('<record><rec-number>', p_partkey, '</rec-number><foreign-ke
   CASE WHEN p_partkey % 6 = 0 THEN concat('<label>key', p_partkey % 50, '</label>') ELSE '' END, '</record>')"""
 
 
+def library(spark, sf):
+    return S.parse_library(spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").selectExpr("p_partkey AS ord", f"{LIBRARY} AS xml"))
+
+
 @query("a6_library_map", """
 WITH r AS (SELECT p_partkey, p_size, p_name, CASE p_partkey % 4 WHEN 0 THEN p_partkey % 300 WHEN 1 THEN p_partkey % 500 END AS pmid FROM part)
 SELECT CAST(pmid AS VARCHAR) AS pmid, CAST(min(p_partkey) AS VARCHAR) AS rec_number, 'Doe' || arg_min(p_size, p_partkey) AS surname, 'Title ' || arg_min(p_name, p_partkey) AS title, count(*) AS copies FROM r WHERE pmid IS NOT NULL GROUP BY pmid""")
 def a6(spark, sf):
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS ord", f"{LIBRARY} AS xml")
-    return S.library_map(S.parse_library(rows)).select("pmid", "rec_number", "surname", "title", "copies")
+    return S.library_map(library(spark, sf)).select("pmid", "rec_number", "surname", "title", "copies")
 
 
 @query("a6_library_labels", """
 SELECT 'key' || (p_partkey % 50) AS label, CAST(min(p_partkey) AS VARCHAR) AS rec_number, count(*) AS copies FROM part WHERE p_partkey % 6 = 0 GROUP BY p_partkey % 50""")
 def a6_labels(spark, sf):
-    rows = table(spark, sf, "part").selectExpr("p_partkey AS ord", f"{LIBRARY} AS xml")
-    return S.library_map(S.parse_library(rows), "label").select("label", "rec_number", "copies")
+    return S.library_map(library(spark, sf), "label").select("label", "rec_number", "copies")
 
 
 @query("a6_library_problems", """
@@ -98,7 +100,7 @@ d AS (SELECT ord, 'duplicate id' AS problem, pmid AS value, min(ord) OVER (PARTI
 SELECT ord, CAST(ord AS VARCHAR) AS rec_number, problem, value, CAST(first AS VARCHAR) AS first FROM d WHERE ord <> first
 UNION ALL SELECT ord, CAST(ord AS VARCHAR), 'no id', 'Title ' || p_name, NULL FROM r WHERE pmid IS NULL UNION ALL SELECT ord, CAST(ord AS VARCHAR), 'accession is no id', 'WOS:1', NULL FROM r WHERE k = 2""")
 def a6_problems(spark, sf):
-    return S.library_problems(S.parse_library(table(spark, sf, "part").selectExpr("p_partkey AS ord", f"{LIBRARY} AS xml")))
+    return S.library_problems(library(spark, sf))
 
 
 @query("a7_markdown_blocks", f"""

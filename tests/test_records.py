@@ -493,3 +493,15 @@ def test_code_checks_run_only_when_asked_for_and_signs_change_nothing(spark, row
     assert quick == rows(K.code_findings(files), "path", "check", "level") and len(quick) == 19 * len(data)
     plan = QUERIES["j3_annotations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "bbox" in plan and "default_rng" not in plan
+
+
+def test_library_records_are_spread_and_dropped_fields_not_parsed(spark, rows):
+    from proofline.plans import queries_sources as Q
+
+    assert Q.library(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    xml = "<record><rec-number>{0}</rec-number><contributors><authors><author>A{0}, B</author></authors></contributors><accession-num>{1}</accession-num><label>{2}</label></record>"
+    data = [(k, xml.format(k, pmid, label)) for k, pmid, label in [(7, "12", "x"), (3, "12", "y"), (5, "WOS", "y"), (9, "13", "x")]]
+    found = S.library_map(S.parse_library(spark.createDataFrame(data, "ord long, xml string")))
+    assert rows(found, "pmid", "rec_number", "surname", "copies") == [("12", "3", "A3", 2), ("13", "9", "A9", 1)]
+    plan = found.select("pmid", "rec_number")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rec-number" in plan and "contributors" not in plan

@@ -23,6 +23,7 @@ ADDRESS_PATTERN = (
 )
 
 SPAN_SCHEMA = "array<struct<start:int,end:int,match:string,groups:array<string>>>"
+SPAN_PIECES = 128   # matches and gaps that are folded together
 
 # Tokens whose full stop does not end a sentence.
 SENTENCE_ABBREVIATIONS = (
@@ -49,7 +50,9 @@ def let(value: Column, body) -> Column:
 
 def word_count(text) -> Column:
     """Runs of characters other than ASCII white space; an embedded object counts as space."""
-    return F.regexp_count(F.translate(_col(text), OBJECT_MARK, " "), F.lit(r"\S+"))
+    body = _col(text)
+    plain = F.when(body.contains(OBJECT_MARK), F.translate(body, OBJECT_MARK, " ")).otherwise(body)
+    return F.regexp_count(plain, F.lit(r"\S+"))
 
 
 def clean(text) -> Column:
@@ -75,22 +78,35 @@ def spans(text, pattern: str, groups: int = 0, keep=None, hints: tuple[str, ...]
     pieces = F.split(F.regexp_replace(body, F.lit(pattern), F.lit(MATCH_MARK + inner + MATCH_MARK)), MATCH_MARK, -1)
     empty = F.from_json(F.lit("[]"), SPAN_SCHEMA)
 
+    bare = lambda piece: F.translate(piece, GROUP_MARK, "") if groups else piece
+
     def step(acc, piece):
-        plain = F.translate(piece, GROUP_MARK, "")
-        end = acc["pos"] + F.length(plain)
+        end = acc["pos"] + F.length(bare(piece))
         found = F.struct(
-            acc["pos"].alias("start"), end.alias("end"), plain.alias("match"),
+            acc["pos"].alias("start"), end.alias("end"), bare(piece).alias("match"),
             F.split(piece, GROUP_MARK, -1).alias("groups"),
         )
-        wanted = acc["inside"] & keep(plain) if keep is not None else acc["inside"]
+        wanted = acc["inside"] & keep(bare(piece)) if keep is not None else acc["inside"]
         return F.struct(
             end.alias("pos"), (~acc["inside"]).alias("inside"),
             F.when(wanted, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
         )
 
+    def part(pieces, begin):
+        start = F.struct(begin.alias("pos"), F.lit(False).alias("inside"), empty.alias("out"))
+        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+
+    def in_parts(pieces):
+        # a fold copies what it carries at every step, so a text of many matches is folded in parts of an even number of pieces
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / SPAN_PIECES).cast("int")),
+                            lambda k: F.slice(pieces, k * SPAN_PIECES + 1, F.lit(SPAN_PIECES)))
+        sized = F.transform(parts, lambda ps: F.struct(ps.alias("pieces"), F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(bare(p))).alias("size")))
+        begins = lambda rows: F.aggregate(rows, F.array(F.lit(0)), lambda at, r: F.concat(at, F.array(F.element_at(at, -1) + r["size"])))
+        return let(sized, lambda rows: let(begins(rows), lambda at: F.flatten(
+            F.transform(rows, lambda r, k: part(r["pieces"], F.get(at, k))))))
+
     # one evaluation of the pattern: a text without a match is a single piece and folds to nothing
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), empty.alias("out"))
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    found = let(pieces, lambda ps: F.when(F.size(ps) <= 1, empty).otherwise(in_parts(ps)))
     if not hints:
         return found
     body = F.lower(_col(text)) if any(sign.lower() != sign.upper() for sign in hints) else _col(text)

@@ -9,6 +9,7 @@ from proofline.functions import text as T
 from proofline.operators.findings import document_findings, rule, union_all
 from proofline.operators.settings import DocumentProfiles, with_settings
 from proofline.operators.units import REFERENCES_HEAD, TITLE_PAGE_LABEL
+from proofline.session import materialise
 
 # -- figures -----------------------------------------------------------------------------------
 
@@ -43,19 +44,31 @@ def _is_caption() -> Column:
         (F.col("region") == "legends") | (F.col("level") > 0) | F.lower("style").contains("caption"))
 
 
-def figure_captions(paras: DataFrame) -> DataFrame:
+def figure_marks(paras: DataFrame, also: Column | None = None) -> DataFrame:
+    """Captions and call-outs (and paragraphs for which ``also`` holds) in one pass over the text, written to the shared folder.
+
+    (doc_id, para_idx, caption, calls, also): a caption's figure number, call-outs with offsets and groups. Everything about figures is derived
+    from these few rows, so the paragraphs are not made again for each question.
+    """
+    number = F.when(_is_caption() & ~F.col("title_page_only"), F.regexp_extract("text", CAPTION, 1).try_cast("int"))
+    captioned = _is_caption() & ~F.col("title_page_only")
+    cited = (F.col("text").contains("Fig") & F.col("region").isin("abstract", "body") & ~F.col("is_bib") & ~F.col("title_page_only")
+             & ~_is_caption())
+    calls = F.filter(T.spans("text", CALL_OUT, 4, hints=("Fig",)), lambda s: F.get(s["groups"], 0) == "")
+    also = F.lit(False) if also is None else also
+    rows = paras.where(F.col("text").contains("Fig") | also)
+    rows = rows.select("doc_id", "para_idx", captioned.alias("captioned"), number.alias("caption"), F.when(cited, calls).alias("calls"), also.alias("also"))
+    return materialise(rows.where(F.col("captioned") | F.col("also") | (F.size("calls") > 0)), "figure-marks")
+
+
+def figure_captions(marks: DataFrame) -> DataFrame:
     """First caption paragraph of each figure number."""
-    number = F.regexp_extract("text", CAPTION, 1).try_cast("int")
-    return paras.where(_is_caption() & ~F.col("title_page_only")).groupBy("doc_id", number.alias("figure")).agg(
-        F.min("para_idx").alias("para_idx"))
+    return marks.where("captioned").groupBy("doc_id", F.col("caption").alias("figure")).agg(F.min("para_idx").alias("para_idx"))
 
 
-def figure_calls(paras: DataFrame) -> DataFrame:
+def figure_calls(marks: DataFrame) -> DataFrame:
     """First call-out of each figure number, in text order."""
-    scope = paras.where(F.col("region").isin("abstract", "body") & ~_is_caption() & ~F.col("is_bib")
-                        & ~F.col("title_page_only") & F.col("text").rlike("Fig"))
-    calls = F.filter(T.spans("text", CALL_OUT, 4, hints=("Fig",)), lambda s: F.get(s["groups"], 0) == "")
-    rows = scope.select("doc_id", "para_idx", F.explode(calls).alias("s"))
+    rows = marks.select("doc_id", "para_idx", F.explode("calls").alias("s"))
     rows = rows.select("doc_id", "para_idx", "s.start", "s.end",
                        F.posexplode(callout_numbers(F.get("s.groups", 3))).alias("pos", "figure"))
     return rows.groupBy("doc_id", "figure").agg(F.min(F.struct("para_idx", "start", "pos", "end")).alias("first"))
@@ -69,7 +82,8 @@ def figure_order(calls: DataFrame) -> DataFrame:
 
 @rule("figures.order", "figures.uncited", "figures.missing-legend", "figures.gap", "limits.figures")
 def figures(paras: DataFrame, profile: dict) -> DataFrame:
-    captions, calls = figure_captions(paras), figure_calls(paras)
+    marks = figure_marks(paras)
+    captions, calls = figure_captions(marks), figure_calls(marks)
     at = {"para_idx": F.col("first.para_idx"), "start": F.col("first.start"), "end": F.col("first.end")}
     out = [document_findings(figure_order(calls), "figures.order", F.concat_ws(
         " ", F.lit("Figure"), F.col("figure"), F.lit("is first cited after Figure"), F.col("highest")), **at)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ LEGENDS_HEAD = (
 TITLE_PAGE_LABEL = (
     r"(?i)^\s*(running\s+(title|head)|short\s+title|key\s?-?words?|word count|\*?\s*corresponding)\b"
 )
+# The label of a list of abbreviations, alone on its line.
+ABBREVIATIONS_LINE = r"^(?U:\s*)(?i:abbreviations)[\s:]*(?U:\s*)\z"
 
 EMPTY_SPANS = "array<struct<start:int,end:int,flags:array<string>,kind:string,lang:string>>"
 STATE_SCHEMA = "array<struct<idx:int,region:string>>"
@@ -33,13 +37,12 @@ def _region_event(level: Column, text: Column, in_table: Column) -> Column:
     """The class of a paragraph that can change the region, else NULL."""
     body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     first = level == 1
-    return (
+    # text lines, which are most of a document, are only looked at from their start
+    return F.when(level == 0, F.when(in_table | text.rlike(ABBREVIATIONS_LINE), "front")).otherwise(
         F.when(first & body.rlike(ABSTRACT_HEAD), "abstract")
         .when(first & body.rlike(REFERENCES_HEAD), "references")
         .when((level > 0) & (level <= 2) & body.rlike(LEGENDS_HEAD), "legends")
         .when(first, "section")
-        .when((level == 0) & (in_table | (F.lower(F.regexp_replace(body, r"[\s:]+$", "")) == "abbreviations")),
-              "front")
     )
 
 
@@ -77,8 +80,10 @@ def structured_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     marked = lambda line: line.startswith("#")
     level_of = lambda line: F.when(marked(line), F.length(F.regexp_extract(line, r"^(#{1,6})\s+", 1))).otherwise(0)
     plain = lambda line: F.when(marked(line), F.regexp_replace(line, r"^#{1,6}\s+", "")).otherwise(line)
-    lines = F.split(F.translate(F.col(text), T.MATCH_MARK + T.GROUP_MARK + T.MASK_CHAR, "   "), "\n", -1)
-    base = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("_lines"))
+    marks = (T.MATCH_MARK, T.GROUP_MARK, T.MASK_CHAR)
+    dirty = reduce(Column.__or__, (F.col(text).contains(m) for m in marks))
+    plain_text = F.when(dirty, F.translate(F.col(text), "".join(marks), "   ")).otherwise(F.col(text))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.split(plain_text, "\n", -1).alias("_lines"))
     events = F.transform(
         F.col("_lines"),
         lambda line, i: F.struct(i.alias("idx"), _region_event(
@@ -92,11 +97,11 @@ def structured_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         F.regexp_replace(F.btrim(plain(h["line"])), r"(?U)\s+", " ").alias("text")))
     base = base.select(
         "*", F.filter(events, lambda e: e["event"].isNotNull()).alias("_events"), headings.alias("_heads"),
-        F.exists(F.col("_lines"), lambda line: line.rlike(TITLE_PAGE_LABEL)).alias("_label"),
     )
     first_heading = F.get(F.col("_heads"), 0)["idx"]
+    labelled = F.exists(F.col("_lines"), lambda line: line.rlike(TITLE_PAGE_LABEL))
     base = base.select(
-        "doc_id", "_lines", "_heads", (F.col("_label") & (F.size("_heads") == 0)).alias("title_page_only"),
+        "doc_id", "_lines", "_heads", ((F.size("_heads") == 0) & labelled).alias("title_page_only"),
         F.when(first_heading > 0, "title").otherwise("body").alias("_initial"), "_events",
     ).withColumn("_states", _fold_regions(F.col("_events"), F.col("_initial")))
     rows = base.select(

@@ -296,9 +296,9 @@ query("c30_figures_gap", """SELECT doc_id, unnest(CASE WHEN doc_id % 4 = 3 THEN
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 5 = 1 THEN 1 WHEN doc_id % 5 = 2 THEN 4 WHEN doc_id % 4 = 3 THEN 2 END AS figures,
   (SELECT count(*) FROM ({PARAS_SQL}) p WHERE p.is_bib AND trim(p.text) <> '' AND p.doc_id = documents.doc_id) AS reference_entries FROM documents""")
 def c31(spark, sf):
-    p = paras(spark, sf)
-    refs = p.where(F.col("is_bib") & (F.btrim("text") != "")).groupBy("doc_id").agg(F.count("*").alias("reference_entries"))
-    return refs.join(L.figure_counts(L.figure_captions(p), L.figure_calls(p)), "doc_id", "left").select(
+    marks = L.figure_marks(paras(spark, sf), F.col("is_bib") & (F.btrim("text") != ""))
+    refs = marks.where("also").groupBy("doc_id").agg(F.count("*").alias("reference_entries"))
+    return refs.join(L.figure_counts(L.figure_captions(marks), L.figure_calls(marks)), "doc_id", "left").select(
         "doc_id", "figures", "reference_entries")
 
 

@@ -59,14 +59,14 @@ def spread(paras: DataFrame, found: Column) -> DataFrame:
 
 
 def document_findings(df: DataFrame, rule, message, suggestion="", para_idx=None, start=None, end=None,
-                      severity=None, section=None) -> DataFrame:
+                      severity=None, section=None, snippet=None) -> DataFrame:
     """Findings about a whole document, or one located paragraph, from a frame with ``doc_id``."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return df.select(
         "doc_id", as_col(para_idx).cast("int").alias("para_idx"),
-        finding(rule, start, end, message, suggestion, severity).alias("f"), as_col(section or "").alias("section"),
-    ).select("doc_id", "para_idx", "f.rule", "f.severity", "f.start", "f.end", F.lit("").alias("snippet"),
-             "f.message", "f.suggestion", "section")
+        finding(rule, start, end, message, suggestion, severity).alias("f"), as_col("" if section is None else section).alias("section"),
+        as_col("" if snippet is None else snippet).alias("snippet"),
+    ).select("doc_id", "para_idx", "f.rule", "f.severity", "f.start", "f.end", "snippet", "f.message", "f.suggestion", "section")
 
 
 def union_all(frames: Iterable[DataFrame]) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from proofline.functions import text as T
 from proofline.functions.spelling_table import US_FORM_VARIETIES, spelling_rows
 from proofline.operators.findings import document_findings, finding, rule, spread, union_all
+from proofline.operators.prose import trie_pattern
 from proofline.operators.settings import with_settings
 from proofline.operators.typography import flagged_at, placeholder_spans
+from proofline.session import materialise
 
 # -- spelling ----------------------------------------------------------------------------------
 
@@ -20,21 +22,21 @@ VARIETY_NAMES = {"en-us": "en-US", "en-gb": "en-GB", "en-ca": "en-CA", "us": "en
 def spelling_hits(paras: DataFrame) -> DataFrame:
     """Every word of the spelling table in running text, with category and form.
 
-    The word set is a hash-set predicate inside the scan, so only known words leave the text; the
-    table itself (about 2,600 fixed rows) is then broadcast.
+    The words are one trie, so only known words leave the text; the table itself (about 2,600 fixed rows) is then broadcast. A hit
+    takes its snippet along, not its paragraph.
     """
     spark = paras.sparkSession
     table = spelling_rows()
-    words = [row[0] for row in table]
+    pattern = rf"(?<![A-Za-z])(?i:{trie_pattern(sorted({row[0] for row in table}), False)})(?![A-Za-z])"
     scope = paras.where(~F.col("region").isin("title", "references") & ~F.col("is_bib"))
-    known = T.spans("masked", "[A-Za-z]+", keep=lambda w: (
-        F.lower(w).isin(words) & ~((w == F.upper(w)) & (F.length(w) > 1))))
+    known = T.spans("masked", pattern, keep=lambda w: ~((w == F.upper(w)) & (F.length(w) > 1)))
     rows = scope.select("doc_id", "para_idx", "section", "text", "masked", "level", F.explode(known).alias("s"))
     before = F.regexp_replace(F.substr("masked", F.lit(1), F.col("s.start")), r"(?U)\s+$", "")
     proper = (
         F.col("s.match").rlike("^[A-Z]") & (before != "") & ~before.rlike("[.!?:;\u0000]$") & (F.col("level") == 0))
     rows = rows.where(~proper).select(
-        "doc_id", "para_idx", "section", "text", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+        "doc_id", "para_idx", "section", T.snippet("text", F.col("s.start"), F.col("s.end")).alias("snippet"),
+        F.col("s.start").alias("start"), F.col("s.end").alias("end"),
         F.col("s.match").alias("word"), F.lower("s.match").alias("key"))
     known_words = spark.createDataFrame(list(table), "key string, category string, form string, other string")
     return rows.join(F.broadcast(known_words), "key").drop("key")
@@ -66,24 +68,31 @@ def spelling_varieties(paras: DataFrame, profile: dict) -> tuple[DataFrame, Data
     for variety in options:
         wrong = wrong | ((F.col("best.variety") == variety) & _deviates(variety))
     hits = hits.withColumn("variety", F.col("best.variety")).withColumn("deviates", wrong).drop("best")
-    summary = hits.groupBy("doc_id", "variety").agg(
+    return hits, spelling_summary(hits)
+
+
+def spelling_summary(hits: DataFrame) -> DataFrame:
+    """Forms and deviations of each document."""
+    return hits.groupBy("doc_id", "variety").agg(
         F.count_if(F.col("form") == "us").alias("us_forms"), F.count_if(F.col("form") == "uk").alias("uk_forms"),
         F.count_if("deviates").alias("deviations"))
-    return hits, summary
 
 
 @rule("spelling.variety", "spelling.mixed")
 def spelling(paras: DataFrame, profile: dict) -> DataFrame:
     hits, summary = spelling_varieties(paras, profile)
+    hits = materialise(hits, "spelling")
+    summary = spelling_summary(hits)
     notes = document_findings(summary, "spelling.variety", F.concat_ws(
         " ", F.col("variety"), F.lit("spelling:"), F.col("us_forms"), F.lit("US-form and"), F.col("uk_forms"),
         F.lit("UK-form words,"), F.col("deviations"), F.lit("deviation(s)")))
     cased = F.when(F.col("word").rlike("^[A-Z]"), F.initcap("other")).otherwise(F.col("other"))
-    mixed = spread(hits.where("deviates"), F.array(finding(
-        "spelling.mixed", F.col("start"), F.col("end"),
+    mixed = document_findings(
+        hits.where("deviates"), "spelling.mixed",
         F.concat(F.upper("form"), F.lit(" spelling '"), F.col("word"), F.lit("' in an "), F.col("variety"),
                  F.lit(" text")),
-        F.concat(F.lit("write '"), cased, F.lit("'")))))
+        F.concat(F.lit("write '"), cased, F.lit("'")), para_idx=F.col("para_idx"), start=F.col("start"), end=F.col("end"),
+        section=F.col("section"), snippet=F.col("snippet"))
     return union_all([notes, mixed])
 
 
@@ -262,7 +271,8 @@ def reference_spacing_rule(paras: DataFrame, profile: dict) -> DataFrame:
 
 # Token and definition forms, exempt tokens, address codes.
 TOKEN = r"[A-Z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)*"
-ABBREVIATION = rf"(?U)(?<![\w\-‐.])({TOKEN})(?![\w\-‐])"
+CAPITALS = r"(?=[A-Z0-9\-]+s?(?![A-Za-z0-9\-]))"     # what a token needs to hold an abbreviation; passes over capitalised words
+ABBREVIATION = rf"(?U){CAPITALS}(?=[A-Z])(?<![\w\-‐.])({TOKEN})(?![\w\-‐])"
 DEFINITION_PAREN = rf"(?U)(\(\s*)({TOKEN})(\s*(?:[;,][^()]*)?\))"
 DEFINITION_REVERSE = rf"(?U)\b({TOKEN})(\s+\((?:i\.e\.,?\s*)?[a-z][^()]{{3,}}\))"
 DEFINITION_LIST = rf"(?U)(^|[.;]\s+)({TOKEN})(,\s+[a-z])"
@@ -404,13 +414,16 @@ GENE_CUE_AFTER = (r"(?U)^[\s\-‐]*(gene|genes|mRNA|mRNAs|transcripts?|expressio
                   r"locus|polymorphisms?|siRNA|shRNA|overexpression|deletion|silencing|null|deficient)\b")
 GENE_CUE_BEFORE = (r"(?U)\b(expression|knockout|knockdown|overexpression|deletion|silencing|transcription|"
                    r"transcripts?) of\s+$")
-GENE_SYMBOL = r"(?U)(?<![\w\-])([A-Z][A-Z0-9]{1,9})(?![\w])"
+GENE_SYMBOL = r"(?U)(?=[A-Z][A-Z0-9])(?<![\w\-])([A-Z][A-Z0-9]{1,9})(?![\w])"
+# What a paragraph with a cue holds somewhere; the cues look at parts of a paragraph, whose ends may cut a word.
+GENE_CUE = (r"(?U)(?:gene|mRNA|transcript|expression|knock(?:out|down)|promoter|allele|locus|polymorphism|s[ih]RNA|deletion|silencing|null|deficient)")
 
 
 @rule("nomenclature.gene-italic")
 def gene_italics(paras: DataFrame, profile: dict) -> DataFrame:
     universal = [*UNIVERSAL, *((profile.get("lint") or {}).get("universal_abbreviations") or [])]
     scope = paras.where(~F.col("region").isin("title", "references") & ~F.col("is_bib") & ~F.col("title_page_only"))
+    scope = scope.where(F.col("masked").rlike(GENE_CUE))
     found = T.spans("masked", GENE_SYMBOL, 1, keep=lambda m: (
         ~m.isin(universal) & ~m.rlike(ROMAN) & (F.regexp_count(m, F.lit("[A-Z]")) >= 2)))
     cued = F.filter(found, lambda s: ~flagged_at(s["start"], "italic") & (

@@ -28,6 +28,7 @@ HEAVY = 1 << 18
 #: Words that are a class of their own, classes of word endings, weight rows, rounds, step size, tokens in a step.
 SINGLE, ENDINGS, ROWS, ROUNDS, STEP, BATCH = 16, 23, 1 << 14, 3, 0.35, 4096
 CLASSES = SINGLE + ENDINGS + 1
+SHORT = 12      # rows of a run that are added run by run
 END = b""
 FEATURES = 4
 
@@ -105,27 +106,51 @@ def learn_vocabulary(counts: DataFrame, heavy: int = HEAVY) -> Vocabulary:
     return Vocabulary(tokens, types, words.view(np.uint64)[order], np.log10(n[order] + 1.0), single, endings, np.log10(sizes))
 
 
+class Places(dict):
+    """A number for each word, in the order in which words are first asked for; ``fresh`` are those not looked at yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class Reader:
-    """Word hashes and classes of texts; remembers words."""
+    """Word hashes, classes and counts of texts; remembers words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.hashes, self.classes = vocabulary, {}, {}
+        self.vocabulary = vocabulary
+        self.forget()
 
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and class of every token of all texts (an end token closes each), and where each text begins."""
+    def forget(self) -> None:
+        #: Of each word remembered: hash, class, and log10(n + 1) if it is a heavy word, else -1.
+        self.places, self.hashes, self.classes, self.logs = Places(), np.empty(0, np.uint64), np.empty(0, np.int16), np.empty(0)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, class and log count of every token of all texts (an end token closes each), and where each text begins."""
         words, begins = [], []
         for text in texts:
             begins.append(len(words))
             words += text.lower().split()
             words.append(END)
-        if len(self.hashes) > 300_000:
-            self.hashes.clear()
-            self.classes.clear()
-        for w in set(words).difference(self.hashes):
-            h = self.hashes[w] = xxhash.xxh3_64_intdigest(w)
-            self.classes[w] = self.vocabulary.class_of(h - (1 << 64) if h >> 63 else h, ending(w))
-        n = len(words)
-        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n), np.fromiter(map(self.classes.__getitem__, words), np.int16, n), np.array(begins, np.int64)
+        if len(self.places) > 300_000:
+            self.forget()
+        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        if fresh := self.places.fresh:
+            known = self.vocabulary
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            classes = np.fromiter((known.class_of(h, ending(w)) for h, w in zip(hashes.view(np.int64).tolist(), fresh, strict=True)), np.int16, len(fresh))
+            logs = np.full(len(fresh), -1.0)
+            if len(known.words):
+                near = np.minimum(np.searchsorted(known.words, hashes), len(known.words) - 1)
+                logs = np.where(known.words[near] == hashes, known.log_counts[near], -1.0)
+            self.hashes, self.classes, self.logs = (np.concatenate(x) for x in ((self.hashes, hashes), (self.classes, classes), (self.logs, logs)))
+            fresh.clear()
+        return self.hashes[at], self.classes[at], self.logs[at], np.array(begins, np.int64)
 
 
 def feature_rows(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -148,6 +173,18 @@ def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the rows values[order] over runs of them. Most runs are short: the first rows of all are added, then the second ones of those that have them, and so on."""
+    sums, at, longer = values[order[first]], 1, np.flatnonzero(counts > 1)
+    while len(longer) and at < SHORT:
+        sums[longer] += values[order[first[longer] + at]]
+        at += 1
+        longer = longer[counts[longer] > at]
+    for run, begin, size in zip(longer.tolist(), first[longer].tolist(), counts[longer].tolist(), strict=True):
+        sums[run] += values[order[begin + at:begin + size]].sum(axis=0)
+    return sums
+
+
 def gradient_steps(weights: np.ndarray, touched: np.ndarray, rows: np.ndarray, classes: np.ndarray, step: float) -> None:
     """One pass in batches; a row's summed gradient is divided by the root of how often the batch has it."""
     for a in range(0, len(classes), BATCH):
@@ -157,12 +194,12 @@ def gradient_steps(weights: np.ndarray, touched: np.ndarray, rows: np.ndarray, c
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
         logits[np.arange(len(target)), target] -= 1
-        flat = own.ravel()
+        flat = own.ravel().astype(np.uint16)               # ROWS fit, and so short numbers are sorted by their digits
         order = np.argsort(flat, kind="stable")
         sorted_rows = flat[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
         counts = np.diff(np.append(first, len(flat)))
-        sums = np.add.reduceat(logits[order // own.shape[1]], first, axis=0)
+        sums = run_sums(logits, order // own.shape[1], first, counts)
         weights[sorted_rows[first]] -= (step / FEATURES) * sums / np.sqrt(counts)[:, None].astype(np.float32)
         weights[ROWS] -= (step / FEATURES) * logits.sum(axis=0) / np.float32(np.sqrt(len(target)))
         touched[sorted_rows[first]] += counts
@@ -185,7 +222,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, step:
             own, touched = start.copy(), np.zeros(ROWS + 1, np.int64)
             for whole in batches:
                 for batch in text_slices(whole, "text", 1 << 21):
-                    hashes, classes, begins = reader.read([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()])
+                    hashes, classes, _, begins = reader.read([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()])
                     gradient_steps(own, touched, feature_rows(hashes, begins), classes, rate)
             at = np.flatnonzero(touched)
             change = (own[at] - start[at]).astype(np.float64) * touched[at, None]
@@ -210,7 +247,7 @@ def score_texts(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
         reader = Reader(own)
 
         def work(texts):
-            hashes, classes, begins = reader.read(texts)
+            hashes, classes, logs, begins = reader.read(texts)
             features, context = feature_rows(hashes, begins), np.empty(len(hashes))
             for a in range(0, len(hashes), BATCH):
                 logits = class_logits(table, features[a:a + BATCH])
@@ -219,9 +256,8 @@ def score_texts(rows: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
                 chosen = logits[np.arange(len(target)), target] - top
                 np.exp(logits - top[:, None], out=logits)
                 context[a:a + BATCH] = (chosen - np.log(logits.sum(axis=1))) / np.log(10) - own.log_sizes[target]
-            at = np.minimum(np.searchsorted(own.words, hashes), max(0, len(own.words) - 1))
-            known = own.words[at] == hashes if len(own.words) else np.zeros(len(hashes), bool)
-            logs = np.where(known, own.log_counts[at] if len(own.words) else 0.0, 0.0)
+            known = logs >= 0
+            logs[~known] = 0.0
             cuts = np.concatenate(([0], np.cumsum(~known)))
             ends = np.append(begins[1:], len(hashes))
             light = hashes[~known].view(np.int64)

@@ -386,10 +386,11 @@ def untracked_formatting(base: DataFrame, new: DataFrame) -> DataFrame:
 def intended_replacements(docs: DataFrame) -> DataFrame:
     """Applying each intended replacement once must give the new text: (doc_id, old, new, intended array).
 
-    ``intended`` holds (old, new) structs in order; each old text must occur exactly once by then.
+    ``intended`` holds (old, new) structs in order; each old text must occur exactly once by then, so an empty one counts as not found.
     """
     def step(acc, item):
-        count = (F.length(acc["text"]) - F.length(F.replace(acc["text"], item["old"], F.lit("")))) / F.length(item["old"])
+        # an empty old text is found nowhere, and without the test it would be divided by
+        count = F.when(F.length(item["old"]) > 0, (F.length(acc["text"]) - F.length(F.replace(acc["text"], item["old"], F.lit("")))) / F.length(item["old"]))
         return F.struct(
             F.when(count == 1, F.replace(acc["text"], item["old"], item["new"])).otherwise(acc["text"]).alias("text"),
             (acc["missing"] + F.when(count == 1, 0).otherwise(1)).alias("missing"))

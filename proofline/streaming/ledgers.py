@@ -18,19 +18,25 @@ def open_operations_stream(ledger: DataFrame, timeout: str = "1 hour", delay: st
 
     ``ledger(utc timestamp, pos, seq, event, status, ref, version, reason, figure, figure_version)`` as a stream. Both are one outer join of
     the stream with itself, bounded in time, so state ends with the timeout and no Python runs. Missing equals missing in the key.
+    Operations of a key that is used all the time meet only the completions of their own stretch of one timeout and of the next one.
     """
-    ledger.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf = ledger.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")       # a count for reports that costs a read for each write
     wait = F.expr(f"INTERVAL {timeout}")
+    epoch = F.timestamp_micros(F.lit(0))
+    stretch = lambda at: F.floor(F.unix_micros(at) / F.greatest(F.unix_micros(epoch + wait), F.lit(1)))
     text = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("kind"), *columns), {"ignoreNullFields": "false"})
     asked = lambda seq: F.when(F.col(seq).isNotNull() & F.col("event").isNotNull(), text("interrupted", F.col(seq).alias("seq"), "event"))
     key = text("failed", *LEDGER_KEY)
     part = lambda condition, at, *columns: ledger.where(condition).select(F.col("utc").alias(at), *columns).withWatermark(at, delay)
-    opened = part("status = 'pending'", "opened", "seq", "event", F.lit("interrupted").alias("issue"), asked("seq").alias("key"), F.lit(None).cast("bigint").alias("pos")).unionByName(
-        part("status = 'failed'", "opened", "seq", "event", F.lit("failed").alias("issue"), key.alias("key"), F.col("pos").cast("bigint").alias("pos")))
-    closed = part("status IN ('complete', 'failed') AND ref IS NOT NULL", "closed", asked("ref").alias("_key"), F.lit(None).cast("bigint").alias("_pos")).unionByName(
-        part("status = 'complete'", "closed", key.alias("_key"), F.col("pos").cast("bigint").alias("_pos")))
+    at = F.col("utc")
+    opened = part("status = 'pending'", "opened", "seq", "event", F.lit("interrupted").alias("issue"), asked("seq").alias("key"), F.lit(None).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("stretch")).unionByName(
+        part("status = 'failed'", "opened", "seq", "event", F.lit("failed").alias("issue"), key.alias("key"), F.col("pos").cast("bigint").alias("pos"), stretch(at).alias("stretch")))
+    closed = part("status IN ('complete', 'failed') AND ref IS NOT NULL", "closed", asked("ref").alias("_key"), F.lit(None).cast("bigint").alias("_pos"), F.lit(0).cast("bigint").alias("_stretch")).unionByName(
+        part("status = 'complete'", "closed", key.alias("_key"), F.col("pos").cast("bigint").alias("_pos"), F.explode(F.array(stretch(at) - 1, stretch(at))).alias("_stretch")))
     later = F.col("_pos").isNull() | (F.col("_pos") > F.col("pos"))        # the answer to an operation names it and needs no place
-    both = opened.join(closed, (F.col("key") == F.col("_key")) & later & (F.col("closed") >= F.col("opened")) & (F.col("closed") <= F.col("opened") + wait), "leftOuter")
+    both = opened.join(closed, (F.col("key") == F.col("_key")) & (F.col("stretch") == F.col("_stretch")) & later & (F.col("closed") >= F.col("opened")) & (F.col("closed") <= F.col("opened") + wait), "leftOuter")
     return both.where("_key IS NULL").select("seq", "event", "opened", "issue")
 
 
